@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+if sys.platform == "linux" and hasattr(_libc := ctypes.CDLL(None), "mallopt"):
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: freed arrays go back to the system, so that workers stay small
 
 #: Bytes of text that one vectorised step works on; longer texts are taken in slices.
-STEP = 2 << 20
+STEP = 1 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -160,3 +169,19 @@ def first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = keys[0][order], keys[1][order]
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     return order, new
+
+
+def squeezed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _text: texts (also null) as zstd blocks, two fifths of their size, for the shuffle of a join."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def work(batches):
+        c = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else c.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], ["_id", "_text"])
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"_id {kind}, _text binary")
+
+
+def unsqueezed(block: bytes | None) -> str:
+    return "" if block is None else zstandard.decompress(block).decode()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import groups_from_buckets
-from .kernels import Rolling, mix64, text_bytes
+from .kernels import Rolling, mix64, squeezed, text_bytes, unsqueezed
 from .phrase_dedup import groups_of, normal_words, word_hashes
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 10, 3, 0.8
@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     buckets = first.select(F.col("rep").alias("id"), "total", F.explode("bands").alias("key"))
     sent = spark.sparkContext.broadcast(idf)
 
-    def prepare(text):
+    def prepare(block):
+        text = unsqueezed(block)
         low = text if text.isascii() else text.lower()
         raw, off = text_bytes(pa.array([low]))
         _, h, tf = shingles(raw, off - off[0])
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     def allowed(x, y):
         return (x("total") >= y("total") * (similarity * 0.999)) & (y("total") >= x("total") * (similarity * 0.999))
 
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = squeezed(docs.filter(F.col(id_col).isNotNull()), id_col, text_col).select(F.col("_id").cast("long").alias("id"), F.col("_text").alias("text"))
     groups = groups_from_buckets(buckets, texts, allowed, prepare, alike, ["total"])
     own = sig.select("id", "digest").distinct().join(first.select("digest", "rep"), "digest").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
     own = own.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))

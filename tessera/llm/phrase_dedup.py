@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
 from . import shards as S
-from .kernels import STEP, Rolling, byte_values, expand, minimizer_runs, text_bytes
+from .kernels import STEP, Rolling, byte_values, expand, minimizer_runs, mix64, squeezed, text_bytes, unsqueezed
 from .suffix_dedup import SPANS, covered
 
-GRAM = 6
+GRAM = 5
 #: Phrases in one automaton, about; windows of one minimizer go to one automaton.
 PHRASES = 12_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,8 +48,7 @@ def normal_words(raw: np.ndarray, off: np.ndarray):
     begins = word.copy()
     begins[1:] &= space[:-1] | row_start[1 : len(raw)]
     start = np.flatnonzero(begins)
-    after = np.flatnonzero(space | False)
-    edges = np.union1d(after, off[1:])
+    edges = np.union1d(np.flatnonzero(space), off[1:])
     end = edges[np.searchsorted(edges, start, side="right")] if len(start) else start
     size = end - start
     to = np.cumsum(size + 1) - (size + 1)
@@ -130,7 +129,7 @@ def deal(parts: list[S.Runs], shards: int):
 def repeated_in(r: S.Runs, length: int, out: list) -> None:
     """Adds spans of runs r (whole minimizer groups) with recurring windows."""
     data = r.contents()
-    words_of = data.tobytes().decode("utf-8", "replace") if False else data.tobytes()
+    words_of = data.tobytes()
     size = r.size
     at = np.cumsum(size) - size
     number: dict[bytes, int] = {}
@@ -140,7 +139,7 @@ def repeated_in(r: S.Runs, length: int, out: list) -> None:
     base = np.cumsum(lens) - lens
     windows = expand(base, r.count)
     own = np.repeat(np.arange(len(r)), r.count)
-    h = Rolling(byte_values_of(flat)).spans(windows, windows + length)
+    h = Rolling(mix64(flat + np.uint64(1))).spans(windows, windows + length)
     uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     seen = np.bincount(inverse, weights=r.weight[own])
     recurring = np.flatnonzero(seen > 1)
@@ -171,12 +170,6 @@ def repeated_in(r: S.Runs, length: int, out: list) -> None:
     out.append((doc[real], start[real], count[real]))
 
 
-def byte_values_of(flat: np.ndarray) -> np.ndarray:
-    from .kernels import mix64
-
-    return mix64(flat + np.uint64(1))
-
-
 def solve_shard(blocks: list[bytes], length: int):
     out, parts = [], []
     for b in blocks:
@@ -201,7 +194,7 @@ def solve_shard(blocks: list[bytes], length: int):
         r = r.take(first)
         _, inverse, counts = np.unique(r.key, return_inverse=True, return_counts=True)
         r = r.take(np.flatnonzero((counts[inverse] > 1) | r.again))
-        for part in S.batches_of(r, 2_000_000):
+        for part in S.batches_of(r, 1_000_000):
             repeated_in(r.take(part), length, out)
     return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 3
 
@@ -241,14 +234,14 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256[, kept]: one row for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    both = with_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), repeated_spans(docs, length, id_col, text_col), "_id")
+    both = with_spans(squeezed(docs, id_col, text_col), repeated_spans(docs, length, id_col, text_col), "_id")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_words
 
     def work(batches):
         for b in batches:
             out = {k: [] for k in names[1:]}
             for text, spans in zip(b.column(1), b.column(2), strict=True):
-                words = WORD.findall(text.as_py() or "")
+                words = WORD.findall(unsqueezed(text.as_py()))
                 kept, gone = words, 0
                 if spans.is_valid:
                     v = spans.values

@@ -16,7 +16,7 @@ import zstandard
 from .kernels import expand, first_of, mix64
 
 #: Bytes of text whose runs are gathered before they are compressed and dealt.
-GATHER = 12 << 20
+GATHER = 6 << 20
 
 
 @dataclass
@@ -73,7 +73,7 @@ def pack(r: Runs, places: np.ndarray, emitted: tuple[np.ndarray, np.ndarray, np.
     head = np.array([len(p), len(emitted[0])], np.int64).tobytes()
     cols = [p.doc.astype(np.int64), p.start.astype(np.int64), p.count.astype(np.int32), p.key, p.again.astype(np.uint8), p.weight.astype(np.int8), p.size.astype(np.int32)]
     done = [emitted[0].astype(np.int64), emitted[1].astype(np.int64), emitted[2].astype(np.int32)]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, *(c.tobytes() for c in cols + done), p.contents().tobytes()]))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join([head, *(c.tobytes() for c in cols + done), p.contents().tobytes()]))
 
 
 def unpack(block: bytes, hashes) -> tuple[Runs, tuple[np.ndarray, np.ndarray, np.ndarray]]:

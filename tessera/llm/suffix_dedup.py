@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
 from . import shards as S
-from .kernels import Rolling, byte_values, expand, minimizer_runs, pieces, text_bytes
+from .kernels import Rolling, byte_values, expand, minimizer_runs, pieces, squeezed, text_bytes, unsqueezed
 
-GRAM = 20
+GRAM = 10
 #: Bytes that one transform is built over, about; a larger group of one minimizer is taken whole.
-TRANSFORM = 1_500_000
+TRANSFORM = 1_000_000
 SPANS = "doc_id long, start long, windows long"
 
 
@@ -242,7 +242,7 @@ def solve_shard(blocks: list[bytes], length: int):
         out.append((r.doc[other], r.start[other], r.count[other]))
         r = r.take(first)
         r = r.take(np.flatnonzero(S.repeated_keys(r)))
-        for part in S.batches_of(r, 4 * TRANSFORM):
+        for part in S.batches_of(r, 3 * TRANSFORM):
             c = candidates(compact(r.take(part)), length)
             for group in S.batches_of(c, TRANSFORM):
                 out.append(repeated_in(c.take(group), length))
@@ -298,14 +298,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     spans = repeated_spans(docs, length, id_col, text_col)
     by_doc = spans.groupBy(F.col("doc_id").alias("_own")).agg(F.sort_array(F.collect_list(F.struct("start", "windows"))).alias("_spans"))
     kind = docs.schema[id_col].dataType.simpleString()
-    both = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(by_doc, F.col("_id").cast("long") == F.col("_own"), "left")
+    both = squeezed(docs, id_col, text_col).join(by_doc, F.col("_id").cast("long") == F.col("_own"), "left")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
 
     def work(batches):
         for b in batches:
             out = {k: [] for k in names[1:]}
             for text, spans in zip(b.column(1), b.column(2), strict=True):
-                raw = (text.as_py() or "").encode()
+                raw = unsqueezed(text.as_py()).encode()
                 kept, gone, n = raw, 0, 0
                 if spans.is_valid:
                     v = spans.values
