@@ -1,4 +1,33 @@
-"""All queries of the library and their DuckDB oracles."""
+"""All queries of the library and their DuckDB oracles. Operator modules add theirs with ``query``."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+from .plans.views import CTES
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+MODULES = ("retrieval", "fusion", "text", "graph", "storage", "analytics", "joins", "streams")
+
+
+def query(name: str, sql: str | None = None, views: str = ""):
+    """Registers a query and its oracle; ``views`` names the common views that the SQL reads."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            own = ", ".join(f"{v} AS ({CTES[v]})" for v in views.split())
+            body = sql.strip()
+            if own:
+                body = f"WITH {own}, {body[5:]}" if body.startswith("WITH ") else f"WITH {own} {body}"
+            ORACLES[name] = body
+        return f
+
+    return add
+
+
+def load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"tessera.operators.{m}")
