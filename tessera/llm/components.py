@@ -12,6 +12,8 @@ from ..session import cut
 
 #: Members that one hub is compared with in one task; a hub with more is dealt to several tasks.
 STAR = 256
+#: Prepared texts that a task keeps for members that come again.
+REMEMBERED = 2000
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -51,14 +53,23 @@ def compare_stars(stars: DataFrame, texts: DataFrame, prepare: Callable, similar
 
     def work(batches):
         at, hub = None, None
+        known: dict = {}  # members come back under other hubs
+
+        def ready_text(i, text):
+            if i not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[i] = prepare(text)
+            return known[i]
+
         for b in batches:
             a, c = [], []
             for h, s, i, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (h, s) != at:
-                    at, hub = (h, s), (prepare(text) if h == i else None)
+                    at, hub = (h, s), (ready_text(i, text) if h == i else None)
                     if h == i:
                         continue
-                if hub is not None and h != i and similar(hub, prepare(text)):
+                if hub is not None and h != i and similar(hub, ready_text(i, text)):
                     a.append(h)
                     c.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 if sys.platform == "linux" and hasattr(_libc := ctypes.CDLL(None), "mallopt"):
-    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: freed arrays go back to the system, so that workers stay small
+    # M_MMAP_THRESHOLD and M_TRIM_THRESHOLD: large freed arrays go back to the system, so that workers stay small
+    _libc.mallopt(-3, 4 << 20)
+    _libc.mallopt(-1, 64 << 20)
 
 #: Bytes of text that one vectorised step works on; longer texts are taken in slices.
 STEP = 1 << 20

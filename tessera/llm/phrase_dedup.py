@@ -48,8 +48,10 @@ def normal_words(raw: np.ndarray, off: np.ndarray):
     begins = word.copy()
     begins[1:] &= space[:-1] | row_start[1 : len(raw)]
     start = np.flatnonzero(begins)
-    edges = np.union1d(np.flatnonzero(space), off[1:])
-    end = edges[np.searchsorted(edges, start, side="right")] if len(start) else start
+    ends = np.zeros(len(raw) + 1, bool)
+    ends[1:] = word
+    ends[:-1] &= space | row_start[:-1]
+    end = np.flatnonzero(ends)
     size = end - start
     to = np.cumsum(size + 1) - (size + 1)
     data = np.full(int((size + 1).sum()), 32, np.uint8)
