@@ -126,12 +126,12 @@ def rt10(spark, d):
     return ranked(hit, limit=50).drop("rank")
 
 
-@query("rt33_sq8", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), r AS (SELECT vec_id, v, list_min(v) AS lo, (list_max(v) - list_min(v)) / 255.0::DOUBLE AS scale FROM v) SELECT vec_id, round(lo, 6) AS vmin, round(scale, 8) AS scale, CAST(list_sum(list_transform(v, lambda x: CAST(floor(round((x - lo) / scale, 6) + 0.5::DOUBLE) AS BIGINT))) AS BIGINT) AS qsum FROM r")
+@query("rt33_sq8", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), r AS (SELECT vec_id, v, list_min(v) AS lo, (list_max(v) - list_min(v)) / 255.0::DOUBLE AS scale FROM v) SELECT vec_id, round(lo, 6) AS vmin, round(scale, 8) AS scale, CAST(list_sum(list_transform(v, lambda x: CAST(floor((x - lo) / scale + 0.500001::DOUBLE) AS BIGINT))) AS BIGINT) AS qsum FROM r")
 def rt33(spark, d):
     """RT33: 8-bit scalar quantisation of each vector; a constant vector has scale 1."""
     v = table(spark, d, "embeddings").select("vec_id", doubles(F.col("embedding")).alias("v"))
     r = v.select("vec_id", "v", F.array_min("v").alias("lo"), F.coalesce(F.nullif((F.array_max("v") - F.array_min("v")) / 255.0, F.lit(0.0)), F.lit(1.0)).alias("scale"))
-    q = F.aggregate(F.transform("v", lambda x: F.floor(F.round((x - F.col("lo")) / F.col("scale"), 6) + 0.5)), F.lit(0).cast("long"), lambda s, x: s + x)
+    q = F.aggregate(F.transform("v", lambda x: F.floor((x - F.col("lo")) / F.col("scale") + 0.500001)), F.lit(0).cast("long"), lambda s, x: s + x)
     return r.select("vec_id", F.round("lo", 6).alias("vmin"), F.round("scale", 8).alias("scale"), q.alias("qsum"))
 
 
