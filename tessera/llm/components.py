@@ -86,7 +86,7 @@ def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed
     different groups are compared, all of them, so no link that could join two groups is lost."""
     w = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     packed = F.struct("id", *extra)
-    led = buckets.withColumn("hub", F.first(packed).over(w)).filter("hub.id <> id")
+    led = cut(buckets.withColumn("hub", F.first(packed).over(w)).filter("hub.id <> id"))
     ok = allowed(lambda c: F.col(f"hub.{c}"), F.col)
     stars = cut(led.filter(ok).select(F.col("hub.id").alias("hub"), F.col("id").alias("member")).distinct())
     text_of = texts if callable(texts) else lambda _: texts
@@ -97,7 +97,8 @@ def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed
     lead = groups.select(F.col("id").alias("lead_id"), F.col("component").alias("lead_own"))
     apart = led.select("key", "id", F.col("hub.id").alias("lead_id")).join(name, "id", "left").join(lead, "lead_id", "left")
     mixed = apart.filter(F.coalesce("own", "id") != F.coalesce("lead_own", "lead_id")).select("key").distinct()
-    rest = cut(buckets.join(mixed, "key", "left_semi").join(name, "id", "left").withColumn("own", F.coalesce("own", "id")))
+    shared = led.select("key", "id", *extra).union(led.select("key", "hub.*").distinct())
+    rest = cut(shared.join(mixed, "key", "left_semi").join(name, "id", "left").withColumn("own", F.coalesce("own", "id")))
     x, y = rest.alias("x"), rest.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & (F.col("x.id") < F.col("y.id")) & allowed(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
     more = cut(cross.select(F.col("x.id").alias("hub"), F.col("y.id").alias("member")).distinct().join(stars, ["hub", "member"], "left_anti"))
