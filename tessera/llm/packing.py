@@ -25,11 +25,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from .pretokens import byte_symbols, cut
+
 #: Distinct pieces that a worker remembers; further ones are encoded anew each time.
 REMEMBERED = 900_000
 #: Documents in a group, about; with some thousand pieces the last, part-filled bins of a group don't matter.
@@ -87,17 +87,21 @@ def encoder(path: str):
     t = Tokenizer.from_file(path)
     added = [x.content for x in t.get_added_tokens_decoder().values()]
     known: dict[str, bytes] = {}
-    cut = regex.compile(PATTERN)
+    model, symbol = t.model, dict(enumerate(byte_symbols()))
+
+    def piece_ids(piece: str) -> bytes:
+        got = model.tokenize(piece.encode().decode("latin-1").translate(symbol))
+        return struct.pack(f"<{len(got)}I", *[x.id for x in got])
 
     def ids(text: str) -> bytes:
         if any(a in text for a in added):
             return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = cut.findall(text)
+        parts = cut(text)
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
             new = [p for p in set(parts) if p not in known]
-            got = {p: struct.pack(f"<{len(e.ids)}I", *e.ids) for p, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            got = {p: piece_ids(p) for p in new}
             if len(known) < REMEMBERED:
                 known.update((p, x) for p, x in got.items() if len(p) < 64)
             return b"".join([x if (x := known.get(p)) is not None else got[p] for p in parts])

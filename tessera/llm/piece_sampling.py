@@ -19,12 +19,12 @@ with equal key and text get equal segmentations; an empty table gives an empty r
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .kernels import Rolling, mix64
@@ -33,8 +33,8 @@ MARK = "▁"
 #: Characters of a word that one lattice covers; longer words are cut there, so a lattice stays bounded.
 LONGEST = 4096
 #: Rows whose words are filtered and sampled together.
-ROWS = 512
-_WORD = regex.compile(r" +[^ ]*|[^ ]+")
+ROWS = 1024
+_WORD = re.compile(r" +[^ ]*|[^ ]+")
 
 
 class Model:

@@ -20,19 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: The pattern of byte-level BPE (a fixed value of the tokenizer's format).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from .pretokens import byte_symbols, cut
+
 #: Distinct pieces that a worker remembers; further ones are counted anew each time.
 REMEMBERED = 900_000
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    shown = {b for lo, hi in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)) for b in range(lo, hi + 1)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
-
-
 class Merges:
     """Ranks of symbol pairs, symbols numbered 0-255 for bytes and on for merged ones."""
 
@@ -94,13 +87,13 @@ class Memory(dict):
 def counter(path: str):
     """text -> number of tokens; one per worker process."""
     merges = Merges(path)
-    memory, cut = Memory(merges), regex.compile(PATTERN)
+    memory = Memory(merges)
 
     def tokens(text: str) -> int:
         if merges.added is None or not merges.added.search(text):
-            return sum(map(memory.__getitem__, cut.findall(text)))
+            return sum(map(memory.__getitem__, cut(text)))
         parts = merges.added.split(text)
-        return len(parts) - 1 + sum(sum(map(memory.__getitem__, cut.findall(p))) for p in parts)
+        return len(parts) - 1 + sum(sum(map(memory.__getitem__, cut(p))) for p in parts)
 
     return tokens
 
