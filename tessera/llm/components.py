@@ -12,6 +12,8 @@ from ..session import cut
 
 #: Members that one hub is compared with in one task; a hub with more is dealt to several tasks.
 STAR = 256
+#: Links that one task handles, about, in a step of ``connected``.
+LINKS = 50_000
 #: Prepared texts that a task keeps for members that come again.
 REMEMBERED = 2000
 
@@ -23,14 +25,17 @@ def connected(edges: DataFrame) -> DataFrame:
     split where one node has most of the edges. Chains shrink by half a round; stars end in two. Nulls and
     self-links are ignored, repeated links count once."""
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    mark = (now.count(),)
     while True:
+        # few links need few tasks, and fewer files between them
+        few = lambda df, n=max(1, -(-mark[0] // LINKS)): df.coalesce(n)
+        now = few(now)
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = few(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        root = few(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(root, "u")
-        now = cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(few(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()))
         # two numbers tell whether anything changed
         n = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(n) == mark:
