@@ -19,13 +19,13 @@ FUSED = f"{RANKED}, fused AS (SELECT qid, id, file_id, round(sum(w / ({RRF_K} +
 
 
 def lexical(spark, d) -> DataFrame:
-    return ranked(bm25(V.postings(spark, d), V.questions(spark, d)), limit=200)
+    return ranked(bm25(V.chunks(spark, d), V.questions(spark, d)), limit=200)
 
 
 def first_term_hits(spark, d) -> DataFrame:
     p = V.questions(spark, d).filter(F.size("terms") >= 1).select("qid", F.col("terms")[0].alias("phrase"))
-    low = F.lower("content")
-    hit = V.chunks(spark, d).join(p, F.contains(low, F.col("phrase")))
+    low = F.col("low")
+    hit = V.chunks(spark, d).withColumn("low", F.lower("content")).join(p, F.contains(low, F.col("phrase")))
     n = F.floor((F.length("content") - F.length(F.replace(low, F.col("phrase"), F.lit("")))) / F.length("phrase"))
     return ranked(hit.select("qid", "id", "file_id", n.cast("double").alias("score")), limit=50)
 
@@ -99,7 +99,7 @@ GOLD = "gold AS (SELECT b.item_id AS qid, d.doc_id AS file_id FROM benchmark b J
 
 def golden(spark, d) -> DataFrame:
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("passage"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    docs = V.documents(spark, d).select(F.col("doc_id").alias("file_id"), "text")
     return docs.join(b, F.contains(F.col("text"), F.col("passage"))).select("qid", "file_id")
 
 

@@ -12,17 +12,20 @@ from ..session import table
 K1, B = 1.2, 0.75
 
 
-def bm25(postings: DataFrame, questions: DataFrame) -> DataFrame:
-    """RT05, AG10: qid, id, file_id, score (6 places). Lengths and document frequencies come from the postings; only
-    the queries' terms are joined, so the shuffle carries matching postings alone."""
-    dl = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
-    corpus = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def bm25(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """RT05, AG10: qid, id, file_id, score (6 places). A chunk's length is known where it is cut, and other terms than
+    the queries' are dropped there too, so the shuffles carry the matching postings alone."""
+    # no filter on words and no inner explode: either would have the texts split into words once more for its condition
+    words = chunks.select("id", "file_id", V.tokens(F.col("content")).alias("words"))
+    dl = F.nullif(F.size("words"), F.lit(0))
+    corpus = words.agg(F.count(dl).alias("n"), F.avg(dl).alias("avgdl"))
     asked = questions.select("qid", F.explode("terms").alias("term")).distinct()
-    hit = postings.join(asked, "term")
-    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    occurs = words.select("id", "file_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
+    hit = occurs.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "file_id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.join(df, "term").join(dl, "id").crossJoin(F.broadcast(corpus))
+    scored = hit.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(corpus))  # one row
     return scored.groupBy("qid", "id", "file_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
@@ -48,7 +51,7 @@ def capped(df: DataFrame, per_file: int = 8) -> DataFrame:
 @query("rt05_bm25", f"WITH {BM25.strip()}, capped AS (SELECT *, row_number() OVER (PARTITION BY qid, file_id ORDER BY score DESC, id) AS n FROM bm25) SELECT qid, id, file_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM capped WHERE n <= 8 QUALIFY rank <= 10", "chunks postings questions")
 def rt05(spark: SparkSession, d: str) -> DataFrame:
     """RT05, WN01, TK01: BM25 per query, 8 of a file at most, ten best."""
-    return ranked(capped(bm25(V.postings(spark, d), V.questions(spark, d))), limit=10)
+    return ranked(capped(bm25(V.chunks(spark, d), V.questions(spark, d))), limit=10)
 
 
 @query("ag10_bm25_stats", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term", "chunks postings")
@@ -64,8 +67,8 @@ TRI = "WITH p AS (SELECT qid, terms[1] || ' ' || terms[2] AS phrase FROM questio
 def rt06(spark, d):
     """RT06: whole-phrase recall by occurrences; the few phrases are broadcast to the chunk scan."""
     p = V.questions(spark, d).filter(F.size("terms") >= 2).select("qid", F.concat_ws(" ", F.col("terms")[0], F.col("terms")[1]).alias("phrase"))
-    low = F.lower("content")
-    hit = V.chunks(spark, d).join(p, F.contains(low, F.col("phrase")))
+    low = F.col("low")
+    hit = V.chunks(spark, d).withColumn("low", F.lower("content")).join(p, F.contains(low, F.col("phrase")))
     n = F.floor((F.length(low) - F.length(F.replace(low, F.col("phrase"), F.lit("")))) / F.length("phrase"))
     hit = hit.select("qid", "id", "file_id", n.cast("long").alias("n"))
     w = Window.partitionBy("qid").orderBy(F.desc("n"), "id")
@@ -130,9 +133,10 @@ def rt10(spark, d):
 def rt33(spark, d):
     """RT33: 8-bit scalar quantisation of each vector; a constant vector has scale 1."""
     v = table(spark, d, "embeddings").select("vec_id", doubles(F.col("embedding")).alias("v"))
-    r = v.select("vec_id", "v", F.array_min("v").alias("lo"), F.coalesce(F.nullif((F.array_max("v") - F.array_min("v")) / 255.0, F.lit(0.0)), F.lit(1.0)).alias("scale"))
-    q = F.aggregate(F.transform("v", lambda x: F.floor((x - F.col("lo")) / F.col("scale") + 0.500001)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return r.select("vec_id", F.round("lo", 6).alias("vmin"), F.round("scale", 8).alias("scale"), q.alias("qsum"))
+    # named apart from the rounded columns, which lambdas would take for them
+    r = v.select("vec_id", "v", F.array_min("v").alias("lo"), F.coalesce(F.nullif((F.array_max("v") - F.array_min("v")) / 255.0, F.lit(0.0)), F.lit(1.0)).alias("step"))
+    q = F.aggregate(F.transform("v", lambda x: F.floor((x - F.col("lo")) / F.col("step") + 0.500001)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return r.select("vec_id", F.round("lo", 6).alias("vmin"), F.round("step", 8).alias("scale"), q.alias("qsum"))
 
 
 @query("rt29_semantic_cache", VEC + ", best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS n FROM s WHERE id <> qid AND label < 9) SELECT qid, id AS hit_id, score FROM best WHERE n = 1 AND score >= 0.92")

@@ -28,7 +28,7 @@ def tx03(spark, d):
 @query("tx02_paragraphs", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> '')) AS BIGINT) AS paragraphs FROM documents")
 def tx02(spark, d):
     """TX02: non-blank paragraphs."""
-    return table(spark, d, "documents").select("doc_id", big(F.size(F.filter(F.split("text", "\n", -1), lambda p: F.trim(p) != ""))).alias("paragraphs"))
+    return V.documents(spark, d).select("doc_id", big(F.size(F.filter(F.split("text", "\n", -1), lambda p: F.trim(p) != ""))).alias("paragraphs"))
 
 
 @query("tx04_context_prefix", "SELECT c.id, substring('[' || f.name || ' | ' || f.category || '] ', 1, 80) || substring(content, 1, 40) AS text FROM chunks c JOIN files f ON f.id = c.file_id", "files chunks")
@@ -60,14 +60,14 @@ def normalize_han(text, trad: str = "", simp: str = "") -> F.Column:
 @query("tx06_normalize", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \t]+', ' ', 'g'))) AS digest FROM documents")
 def tx06(spark, d):
     """TX06: collapsed blanks."""
-    return table(spark, d, "documents").select("doc_id", F.md5(normalize_han(F.col("text"))).alias("digest"))
+    return V.documents(spark, d).select("doc_id", F.md5(normalize_han(F.col("text"))).alias("digest"))
 
 
 @query("tx07_han_ratio", "SELECT doc_id, round(length(regexp_replace(text, '[^一-鿿]', '', 'g')) / greatest(length(text), 1), 4) AS han, length(text) > 50 AND length(regexp_replace(text, '[^一-鿿]', '', 'g')) < 0.3 * length(text) AS dropped FROM documents")
 def tx07(spark, d):
     """TX07, PF06: share of Han characters; long texts without them are other languages."""
     han = F.length(F.regexp_replace("text", "[^一-鿿]", ""))
-    return table(spark, d, "documents").select("doc_id", F.round(han / F.greatest(F.length("text"), F.lit(1)), 4).alias("han"), ((F.length("text") > 50) & (han < F.length("text") * 0.3)).alias("dropped"))
+    return V.documents(spark, d).select("doc_id", F.round(han / F.greatest(F.length("text"), F.lit(1)), 4).alias("han"), ((F.length("text") > 50) & (han < F.length("text") * 0.3)).alias("dropped"))
 
 
 QUALITY = "WITH t AS (SELECT doc_id, text, len(regexp_extract_all(text, '[a-zA-ZÀ-ÿ0-9]+')) AS words, len(regexp_extract_all(text, '[a-zA-ZÀ-ÿ]')) AS letters, len(regexp_extract_all(text, '[.!?\n]')) AS marks, length(text) AS n FROM documents), s AS (SELECT doc_id, 40.0 * least(1, letters / greatest(n, 1)) + 30.0 * least(1, words * 6.0 / greatest(n, 1)) + least(20, marks) + CASE WHEN n >= 500 THEN 10 WHEN n >= 100 THEN 5 ELSE 0 END AS q FROM t) SELECT doc_id, round(q, 2) AS quality, CASE WHEN q >= 80 THEN 'excellent' WHEN q >= 60 THEN 'good' WHEN q >= 40 THEN 'fair' ELSE 'poor' END AS label FROM s"
@@ -79,7 +79,7 @@ def tx08(spark, d):
     n = F.greatest(F.length("text"), F.lit(1))
     letters, words, marks = (F.regexp_count("text", F.lit(p)) for p in ("[a-zA-ZÀ-ÿ]", "[a-zA-ZÀ-ÿ0-9]+", "[.!?\n]"))
     q = 40.0 * F.least(F.lit(1.0), letters / n) + 30.0 * F.least(F.lit(1.0), words * 6.0 / n) + F.least(F.lit(20), marks) + F.when(F.length("text") >= 500, 10).when(F.length("text") >= 100, 5).otherwise(0)
-    t = table(spark, d, "documents").select("doc_id", q.alias("q"))
+    t = V.documents(spark, d).select("doc_id", q.alias("q"))
     return t.select("doc_id", F.round("q", 2).alias("quality"), F.when(F.col("q") >= 80, "excellent").when(F.col("q") >= 60, "good").when(F.col("q") >= 40, "fair").otherwise("poor").alias("label"))
 
 
@@ -90,13 +90,13 @@ def tx09(spark, d):
     seg = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.substring(F.col("text"), (i * step + 1).cast("int"), F.lit(800)))
     ratio = F.array_sort(F.transform(seg, lambda s: F.length(F.regexp_replace(s, "[^a-zA-ZÀ-ÿ0-9 ]", "")) / F.greatest(F.length(s), F.lit(1))))
     low = (ratio[1] + ratio[2]) / 2
-    return table(spark, d, "documents").select("doc_id", low.alias("l")).select("doc_id", F.round("l", 6).alias("low"), (F.col("l") < 0.45).alias("garbled"))
+    return V.documents(spark, d).select("doc_id", low.alias("l")).select("doc_id", F.round("l", 6).alias("low"), (F.col("l") < 0.45).alias("garbled"))
 
 
 @query("tx10_headers", "WITH l AS (SELECT source, regexp_extract(text, '^[^\n]*') AS line FROM documents), g AS (SELECT source, line, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source) SELECT g.source, line, n FROM g JOIN p USING (source) WHERE n >= greatest(3, 0.1 * pages)")
 def tx10(spark, d):
     """TX10, AG11, WN08: first lines that recur over a source's documents, like page headers."""
-    docs = table(spark, d, "documents").select("source", F.regexp_extract("text", "^[^\n]*", 0).alias("line"))
+    docs = V.documents(spark, d).select("source", F.regexp_extract("text", "^[^\n]*", 0).alias("line"))
     pages = docs.groupBy("source").agg(F.count("*").alias("pages"))
     return docs.groupBy("source", "line").agg(F.count("*").alias("n")).join(F.broadcast(pages), "source").filter(F.col("n") >= F.greatest(F.lit(3.0), F.col("pages") * 0.1)).select("source", "line", "n")
 
@@ -114,13 +114,13 @@ def tx11(spark, d):
         for w in words:
             hit = hit | F.contains(low, F.lit(w))
         ladder = ladder.when(hit, name)
-    return table(spark, d, "documents").select("doc_id", ladder.otherwise("other").alias("category"))
+    return V.documents(spark, d).select("doc_id", ladder.otherwise("other").alias("category"))
 
 
 @query("tx14_segment", "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-zà-ÿ0-9]+')) AS BIGINT) AS tokens, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ0-9]+'))) AS BIGINT) AS distinct_tokens FROM documents")
 def tx14(spark, d):
     """TX14: segmentation into tokens."""
-    t = table(spark, d, "documents").select("doc_id", V.tokens(F.col("text")).alias("t"))
+    t = V.documents(spark, d).select("doc_id", V.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", big(F.size("t")).alias("tokens"), big(F.size(F.array_distinct("t"))).alias("distinct_tokens"))
 
 
@@ -140,7 +140,7 @@ def tx19(spark, d):
 def tx20(spark, d):
     """TX20: language by script."""
     s = F.when(F.col("text").rlike("[぀-ヿ]"), "ja").when(F.col("text").rlike("[가-힯]"), "ko").when(F.col("text").rlike("[一-鿿]"), "zh").when(F.col("text").rlike("[a-zA-Z]"), "en").otherwise("unknown")
-    return table(spark, d, "documents").select("doc_id", s.alias("script"))
+    return V.documents(spark, d).select("doc_id", s.alias("script"))
 
 
 @query("tx21_slugs", "SELECT id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN length(text) > 30 THEN substring(text, 1, 30) || '...' ELSE text END AS title FROM files", "files")
@@ -218,7 +218,7 @@ def sc05(spark, d):
 def pf13(spark, d):
     """PF13, TX24: lines left without blanks and noise."""
     keep = F.filter(F.split("text", "\n", -1), lambda x: (F.trim(x) != "") & ~x.rlike("[#$%&*]{3}"))
-    return table(spark, d, "documents").select("doc_id", big(F.size(keep)).alias("clean_lines"))
+    return V.documents(spark, d).select("doc_id", big(F.size(keep)).alias("clean_lines"))
 
 
 @query("sc04_csv_lines", "SELECT c_custkey, 'name=' || c_name || chr(9) || 'segment=' || c_mktsegment AS line FROM customer")

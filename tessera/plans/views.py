@@ -11,6 +11,13 @@ CHUNK = 400
 TOKEN = "[a-zà-ÿ0-9]+"
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents; a table of fewer splits than the cluster has cores is dealt out anew, larger ones are read as they lie."""
+    docs, cores = table(spark, d, "documents"), spark.sparkContext.defaultParallelism
+    splits = docs._jdf.queryExecution().toRdd().getNumPartitions()
+    return docs.repartition(cores) if splits < cores else docs
+
+
 def files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"),
@@ -25,9 +32,10 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("text") / F.lit(CHUNK)).cast("int") - 1))).alias("i"))
-    cut = F.trim(F.substring(F.col("text"), F.col("i") * CHUNK + 1, F.lit(CHUNK)))
-    return docs.select((F.col("doc_id") * 1000 + F.col("i")).alias("id"), F.col("doc_id").alias("file_id"), F.col("i").cast("long").alias("chunk_index"), cut.alias("content")).filter("content <> ''")
+    """Pieces of CHUNK characters, cut in one pass over each text, so that long texts cost no more for a character."""
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    docs = documents(spark, d).select("doc_id", F.posexplode(pieces).alias("i", "piece"))
+    return docs.select((F.col("doc_id") * 1000 + F.col("i")).alias("id"), F.col("doc_id").alias("file_id"), F.col("i").cast("long").alias("chunk_index"), F.trim("piece").alias("content")).filter("content <> ''")
 
 
 def tokens(text) -> F.Column:
@@ -35,7 +43,7 @@ def tokens(text) -> F.Column:
 
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    t = chunks(spark, d).select("id", "file_id", F.explode(tokens(F.col("content"))).alias("term"))
+    t = chunks(spark, d).select("id", "file_id", F.explode_outer(tokens(F.col("content"))).alias("term")).filter("term is not null")
     return t.groupBy("id", "file_id", "term").agg(F.count("*").alias("tf"))
 
 
