@@ -14,6 +14,10 @@ from ..session import cut
 STAR = 256
 #: Links that one task handles, about, in a step of ``connected``.
 LINKS = 50_000
+#: Pairs for each member of the mixed buckets, up to which they are compared pair by pair rather than with further hubs.
+PARTNERS = 2
+#: Further hubs of one bucket in one turn.
+HUBS = 4
 #: Prepared texts that a task keeps for members that come again.
 REMEMBERED = 2000
 
@@ -82,13 +86,18 @@ def compare_stars(stars: DataFrame, texts: DataFrame, prepare: Callable, similar
     return ready.mapInArrow(work, "a long, b long")
 
 
-def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed: Callable, prepare: Callable, similar: Callable, extra: list[str]) -> DataFrame:
+def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed: Callable, prepare: Callable, similar: Callable, extra: list[str], narrow: tuple[Callable, Callable] | None = None) -> DataFrame:
     """id, component of all ids that a verified link joins to another.
 
     texts: id and text, or a function that makes them for some stars. buckets: key, id and ``extra`` columns that ``allowed(left, right)`` (a Column of two prefixes) needs; it must hold
     for every pair that is similar. First each member of a bucket is compared with the bucket's least id, found in one
-    sorted pass; that settles groups of copies in linear work. Then only pairs of one bucket that are still in
-    different groups are compared, all of them, so no link that could join two groups is lost."""
+    sorted pass; that settles groups of copies in linear work. While buckets still hold many pairs of different groups,
+    members outside a bucket's largest group are compared with a few more of that group, which takes in most of a large
+    group whose texts are not all like its least one. Then only pairs of one bucket that are still in different groups
+    are compared, all of them, so no link that could join two groups is lost.
+
+    narrow: for buckets that hold many unlike texts, which hubs don't thin out, (keys, bound): keys(ids, texts) gives
+    rows (key, id, ``extra``, suffix) so that similar texts share a key at which bound(left, right) holds as well."""
     w = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     packed = F.struct("id", *extra)
     led = cut(buckets.withColumn("hub", F.first(packed).over(w)).filter("hub.id <> id"))
@@ -104,9 +113,39 @@ def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed
     mixed = apart.filter(F.coalesce("own", "id") != F.coalesce("lead_own", "lead_id")).select("key").distinct()
     shared = led.select("key", "id", *extra).union(led.select("key", "hub.*").distinct())
     rest = cut(shared.join(mixed, "key", "left_semi").join(name, "id", "left").withColumn("own", F.coalesce("own", "id")))
+    tried, turn, before = stars, 0, None
+    while True:
+        size = rest.groupBy("key", "own").agg(F.count("*").alias("n"))
+        per = size.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"), F.max_by("own", F.struct("n", "own")).alias("main")).filter("n * n > square")
+        pairs, members = per.agg(F.sum((F.col("n") * F.col("n") - F.col("square")) / 2), F.sum("n")).first()
+        many = (pairs or 0) > PARTNERS * (members or 0)
+        if not many or (before and pairs > before * 0.9):
+            break
+        turn, before = turn + 1, pairs
+        # by the turn's hash, so that each turn has other hubs; min() combines before the shuffle
+        drawn = F.xxhash64("id", F.lit(turn))
+        main = rest.join(per.select("key", "main"), "key").filter(F.col("own") == F.col("main"))
+        hubs = main.groupBy("key", "main", F.pmod(drawn, F.lit(HUBS)).alias("_k")).agg(F.min(F.struct(drawn.alias("_h"), packed.alias("hub"))).alias("_d")).select("key", "main", "_d.hub")
+        pair = rest.join(hubs, "key").filter(F.col("own") != F.col("main")).filter(ok).select(F.col("hub.id").alias("hub"), F.col("id").alias("member")).distinct()
+        pair = pair.withColumn("_lo", F.least("hub", "member")).withColumn("_hi", F.greatest("hub", "member"))
+        fresh = cut(pair.join(tried.select(F.col("hub").alias("_lo"), F.col("member").alias("_hi")), ["_lo", "_hi"], "left_anti"))
+        found = cut(compare_stars(fresh.select("hub", "member"), text_of(fresh.select("hub", "member")), prepare, similar))
+        if found.isEmpty():
+            break
+        tried = tried.union(fresh.select(F.col("_lo").alias("hub"), F.col("_hi").alias("member")))
+        groups = cut(connected(found.union(groups.select(F.col("component").alias("a"), F.col("id").alias("b")))))
+        name = groups.select("id", F.col("component").alias("own"))
+        rest = cut(rest.drop("own").join(name, "id", "left").withColumn("own", F.coalesce("own", "id")))
+    left, right = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    close = allowed(left, right)
+    if many and narrow:
+        keys, bound = narrow
+        ids = cut(rest.select("id", "own").distinct())
+        rest = cut(keys(ids.select("id"), text_of(ids.select(F.col("id").alias("hub"), F.col("id").alias("member")))).join(ids, "id"))
+        close = close & bound(left, right)
     x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & (F.col("x.id") < F.col("y.id")) & allowed(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    more = cut(cross.select(F.col("x.id").alias("hub"), F.col("y.id").alias("member")).distinct().join(stars, ["hub", "member"], "left_anti"))
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & (F.col("x.id") < F.col("y.id")) & close)
+    more = cut(cross.select(F.col("x.id").alias("hub"), F.col("y.id").alias("member")).distinct().join(tried, ["hub", "member"], "left_anti"))
     if more.isEmpty():
         return groups
     second = compare_stars(more, text_of(more), prepare, similar)

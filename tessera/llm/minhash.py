@@ -194,7 +194,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         return (x("total") >= y("total") * (similarity * 0.999)) & (y("total") >= x("total") * (similarity * 0.999))
 
     texts = squeezed(docs.filter(F.col(id_col).isNotNull()), id_col, text_col).select(F.col("_id").cast("long").alias("id"), F.col("_text").alias("text"))
-    groups = groups_from_buckets(buckets, texts, allowed, prepare, alike, ["total"])
+    def rarest(ids, texts):
+        """Prefix keys: a text's shingles, rarest first, up to the share by which two similar texts can differ; suffix
+        is the weight from a shingle on, which bounds what two texts share from their first common shingle on."""
+
+        def work(batches):
+            for b in batches:
+                parts = []
+                for i, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    h, w = prepare(block)
+                    if not len(h):
+                        continue
+                    order = np.lexsort((h, -sent.value[place(h)]))
+                    w = w[order].astype(np.float64)
+                    total = w.sum()
+                    suffix = total - (np.cumsum(w) - w)
+                    n = int((suffix >= total * similarity * (1 - 1e-6)).sum())
+                    parts.append((h[order[:n]].astype(np.int64), np.full(n, i), np.full(n, total), suffix[:n]))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["key", "id", "total", "suffix"])
+
+        return texts.join(ids, "id").select("id", "text").mapInArrow(work, "key long, id long, total double, suffix double")
+
+    def bound(x, y):
+        return F.least(x("suffix"), y("suffix")) >= (x("total") + y("total")) * (similarity / (1 + similarity) * (1 - 1e-6))
+
+    groups = groups_from_buckets(buckets, texts, allowed, prepare, alike, ["total"], (rarest, bound))
     own = sig.select("id", "digest").distinct().join(first.select("digest", "rep"), "digest").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
     own = own.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = docs.select(F.col(id_col).alias("doc_id")).join(own, F.col("doc_id").cast("long") == own["id"], "left")
