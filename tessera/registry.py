@@ -9,7 +9,7 @@ from .plans.views import CTES
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("retrieval", "fusion", "text", "graph", "storage", "analytics", "joins", "streams")
+MODULES = ("retrieval", "fusion", "text", "graph", "storage", "analytics", "joins", "streams", "ranking")
 
 
 def query(name: str, sql: str | None = None, views: str = ""):
