@@ -137,6 +137,21 @@ def test_minhash(spark):
     assert all(got[41 + i] == 41 + i for i in range(len(EDGE)))
 
 
+def test_minhash_crowded_bucket(spark, monkeypatch):
+    """Many texts that share a passage without being alike, near copies among them: the same groups by pairs alone."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(120))
+    rows = [passage + " " + " ".join(word() for _ in range(r.randint(18, 45))) for _ in range(150)]
+    rows += [t + " " + word() for t in rows[:20]]
+    df = table(spark, rows)
+    groups = lambda: {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(df).collect()}
+    by_prefix = groups()
+    assert all(by_prefix[i] == by_prefix[150 + i] for i in range(20))
+    monkeypatch.setattr(components, "PARTNERS", 1 << 30)
+    assert by_prefix == groups()
+
+
 def test_weighted_samples_match_weighted_jaccard():
     rng = np.random.default_rng(6)
     h = rng.integers(0, 1 << 48, 200).astype(np.uint64)
