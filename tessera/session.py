@@ -34,7 +34,6 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
         told = os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", told)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(told)
     return told
