@@ -180,6 +180,31 @@ def test_lines(spark):
         assert line_dedup.edit_distance(x, y) == d[-1]
 
 
+def test_lines_changed(spark):
+    """Lines with one changed word, or one character where lines are short: all pairs at similarity 0.8 are found."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(3, 8)))
+    rows = []
+    for size in (6, 10, 20, 30, 50):
+        for _ in range(60):
+            w = [word() for _ in range(size)]
+            v = list(w)
+            v[r.randrange(size)] = word()
+            rows.append((" ".join(w), " ".join(v)))
+    for size in (5, 6, 8, 10):
+        for _ in range(40):
+            w = "".join(r.choice("abcdefghijklmnopqrst") for _ in range(size))
+            at = r.randrange(size)
+            rows.append((w, w[:at] + r.choice("uvwxyzé") + w[at + 1 :]))
+    like = [line_dedup.alike(*p) for p in rows]
+    assert sum(like) > 400
+    got = {x["doc_id"]: x["kept"] for x in line_dedup.dedup_lines(table(spark, [t for p in rows for t in p])).collect()}
+    found = [got[2 * i + 1] == "" for i in range(len(rows))]
+    assert not any(f and not k for f, k in zip(found, like, strict=True))
+    assert sum(found) >= 0.99 * sum(like)
+    assert all(got[2 * i] for i in range(300))
+
+
 def test_media(spark):
     html = "<p>One <b>two</b></p><figure><img src='sha256:d1'><figcaption>Cap</figcaption></figure><script>no</script><p>End</p><img src='sha256:zz'>"
     pages = spark.createDataFrame([(1, html), (2, None)], "p long, h string")
