@@ -1,8 +1,8 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five consecutive lower-case words (all words of a shorter text). A shingle weighs its frequency in the
-text times log(1 + N / df); document frequencies are counted over all documents in a table of 2**20 hashed places, a
-bound that no input changes. Each of BANDS x ROWS samples keeps the shingle of the least hash value, the hash being
+text times log(1 + N / df), df being counted over all documents. Samples are drawn with frequencies from a table of 2**20
+hashed places, a bound that no input changes; texts that share a bucket are then weighed by exact frequencies. Each of BANDS x ROWS samples keeps the shingle of the least hash value, the hash being
 uniform in weight (two texts draw the same sample with the probability of their weighted Jaccard similarity); bands
 of samples make the buckets, and pairs from buckets are verified by weighted Jaccard similarity on the texts. With
 3 rows and 10 bands a pair at 0.8 shares a bucket with probability 0.999.
@@ -135,7 +135,7 @@ def samples(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, k: in
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """id, digest, total weight and band keys of each document with words; texts' digests fold no case."""
+    """id, digest and band keys of each document with words; texts' digests fold no case."""
     sent = docs.sparkSession.sparkContext.broadcast(idf)  # 4 MB, whatever the data
 
     def work(batches):
@@ -147,7 +147,6 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
                 w = tf.astype(np.float32) * sent.value[place(h)]
                 got = samples(row, h, w, hi - lo, BANDS * ROWS)
                 present = np.unique(row)
-                total = np.bincount(row, weights=w, minlength=hi - lo)
                 keys = []
                 for band in range(BANDS):
                     x = np.full(hi - lo, band + 1, np.uint64)
@@ -157,12 +156,55 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
                 keys = np.stack(keys, 1)[present].view(np.int64)
                 digest = [hashlib.blake2b((texts[lo + int(i)].as_py()).encode(), digest_size=16).digest() for i in present]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(lo + present)), pa.array(digest, pa.binary()), pa.array(total[present]), pa.array(list(keys), pa.list_(pa.int64()))],
-                    ["id", "digest", "total", "bands"],
+                    [b.column(0).take(pa.array(lo + present)), pa.array(digest, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
+                    ["id", "digest", "bands"],
                 )
 
     known = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return known.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(work, "id long, digest binary, total double, bands array<long>")
+    return known.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(work, "id long, digest binary, bands array<long>")
+
+
+def text_shingles(block: bytes):
+    text = unsqueezed(block)
+    raw, off = text_bytes(pa.array([text if text.isascii() else text.lower()]))
+    _, h, tf = shingles(raw, off - off[0])
+    return h, tf
+
+
+def exactly_weighted(docs: DataFrame, texts: DataFrame, n: int, text_col: str) -> DataFrame:
+    """id, digest, total, text of texts (id, text): exact total weight, and the text behind the exact weights of its shingles."""
+
+    def count(batches):
+        for b in batches:
+            for _, _, (_, h, _) in steps(b.column(0)):
+                h, df = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(df, pa.int64())], ["h", "df"])
+
+    def own(batches):
+        for b in batches:
+            for i, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h, _ = text_shingles(block)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int64)), pa.array(h.astype(np.int64))], ["id", "h"])
+
+    def weigh(batches):
+        for b in batches:
+            ids, digests, totals, packed = [], [], [], []
+            for i, block, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                known = pairs.values
+                at, df = known.field("h").to_numpy(), known.field("df").to_numpy()
+                order = np.argsort(at)
+                h, tf = text_shingles(block)
+                idf = inverse_frequencies(df[order][np.searchsorted(at[order], h.astype(np.int64))], n)
+                sent = zstandard.compress(idf.tobytes(), 1)
+                ids.append(i)
+                digests.append(hashlib.blake2b(unsqueezed(block).encode(), digest_size=16).digest())
+                totals.append(float((tf * idf).sum(dtype=np.float64)))
+                packed.append(len(sent).to_bytes(4, "big") + sent + block)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(totals, pa.float64()), pa.array(packed, pa.binary())], ["id", "digest", "total", "text"])
+
+    df = docs.select(text_col).mapInArrow(count, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+    pairs = texts.mapInArrow(own, "id long, h long").distinct().join(df, "h").groupBy(F.col("id").alias("_of")).agg(F.collect_list(F.struct("h", "df")).alias("_df"))
+    return texts.join(pairs, texts["id"] == pairs["_of"]).select("id", "text", "_df").mapInArrow(weigh, "id long, digest binary, total double, text binary")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,17 +213,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     n = docs.count()
     idf = inverse_frequencies(document_frequencies(docs, text_col), max(n, 1))
     sig = cut(signatures(docs, idf, id_col, text_col))
-    first = sig.groupBy("digest").agg(F.min("id").alias("rep"), F.first("total").alias("total"), F.first("bands").alias("bands"))
+    first = sig.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     first = cut(first)
-    buckets = first.select(F.col("rep").alias("id"), "total", F.explode("bands").alias("key"))
-    sent = spark.sparkContext.broadcast(idf)
+    drawn = first.select("rep", F.explode("bands").alias("key"))
+    met = drawn.join(drawn.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key", "left_semi").select(F.col("rep").alias("id")).distinct()
+    known = squeezed(docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col)
+    texts = cut(known.select(F.col("_id").cast("long").alias("id"), F.col("_text").alias("text")).join(met, "id", "left_semi"))
+    weighted = cut(exactly_weighted(docs, texts, max(n, 1), text_col))
+    buckets = first.join(weighted.select(F.col("id").alias("rep"), "digest", "total").distinct(), ["rep", "digest"]).select(F.col("rep").alias("id"), "total", F.explode("bands").alias("key"))
+
+    def weights(block):
+        """Shingles of a weighted text, exact weights of one occurrence, and frequencies in the text."""
+        end = 4 + int.from_bytes(block[:4], "big")
+        h, tf = text_shingles(block[end:])
+        return h, np.frombuffer(zstandard.decompress(block[4:end]), np.float32), tf
 
     def prepare(block):
-        text = unsqueezed(block)
-        low = text if text.isascii() else text.lower()
-        raw, off = text_bytes(pa.array([low]))
-        _, h, tf = shingles(raw, off - off[0])
-        return h, tf * sent.value[place(h)]
+        h, idf, tf = weights(block)
+        return h, tf * idf
 
     def alike(x, y):
         (hx, wx), (hy, wy) = x, y
@@ -193,7 +242,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     def allowed(x, y):
         return (x("total") >= y("total") * (similarity * 0.999)) & (y("total") >= x("total") * (similarity * 0.999))
 
-    texts = squeezed(docs.filter(F.col(id_col).isNotNull()), id_col, text_col).select(F.col("_id").cast("long").alias("id"), F.col("_text").alias("text"))
     def rarest(ids, texts):
         """Prefix keys: a text's shingles, rarest first, up to the share by which two similar texts can differ; suffix
         is the weight from a shingle on, which bounds what two texts share from their first common shingle on."""
@@ -202,11 +250,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
             for b in batches:
                 parts = []
                 for i, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    h, w = prepare(block)
+                    h, idf, tf = weights(block)
                     if not len(h):
                         continue
-                    order = np.lexsort((h, -sent.value[place(h)]))
-                    w = w[order].astype(np.float64)
+                    order = np.lexsort((h, -idf))
+                    w = (tf * idf)[order].astype(np.float64)
                     total = w.sum()
                     suffix = total - (np.cumsum(w) - w)
                     n = int((suffix >= total * similarity * (1 - 1e-6)).sum())
@@ -219,7 +267,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     def bound(x, y):
         return F.least(x("suffix"), y("suffix")) >= (x("total") + y("total")) * (similarity / (1 + similarity) * (1 - 1e-6))
 
-    groups = groups_from_buckets(buckets, texts, allowed, prepare, alike, ["total"], (rarest, bound))
+    groups = groups_from_buckets(buckets, weighted.select("id", "text"), allowed, prepare, alike, ["total"], (rarest, bound))
     own = sig.select("id", "digest").distinct().join(first.select("digest", "rep"), "digest").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
     own = own.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = docs.select(F.col(id_col).alias("doc_id")).join(own, F.col("doc_id").cast("long") == own["id"], "left")

@@ -152,6 +152,18 @@ def test_minhash_crowded_bucket(spark, monkeypatch):
     assert by_prefix == groups()
 
 
+def test_minhash_exact_frequencies(spark, monkeypatch):
+    """Texts of common shingles, with a tenth of rare ones each, are apart, also where the table of places tells nothing."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(300))
+    rows = [passage + " " + " ".join(word() for _ in range(30)) for _ in range(30)]
+    rows.append(rows[4] + " " + word())
+    monkeypatch.setattr(minhash, "document_frequencies", lambda *_: np.full(minhash.PLACES, 5))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: i for i in range(30)} | {30: 4}
+
+
 def test_weighted_samples_match_weighted_jaccard():
     rng = np.random.default_rng(6)
     h = rng.integers(0, 1 << 48, 200).astype(np.uint64)
