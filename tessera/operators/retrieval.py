@@ -122,7 +122,7 @@ def rt09(spark, d):
 
 @query("rt10_graph_recall", "WITH asked AS (SELECT DISTINCT qid, unnest(terms) AS name FROM questions), hit AS (SELECT qid, m.chunk_id AS id, m.mention_count * CASE type WHEN 'standard' THEN 1.0::DOUBLE WHEN 'connector' THEN 0.9::DOUBLE WHEN 'param' THEN 0.8::DOUBLE WHEN 'material' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS s FROM mentions m JOIN asked USING (name)) SELECT qid, id, round(max(s), 6) AS score FROM hit GROUP BY qid, id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 50", "chunks postings questions entities mentions")
 def rt10(spark, d):
-    """RT10, RT11: chunks of the entities named in a query, weighted by type."""
+    """RT10 without its one-hop neighbours, RT11: chunks of the entities named in a query, weighted by type."""
     asked = V.questions(spark, d).select("qid", F.explode("terms").alias("name")).distinct()
     w = F.when(F.col("type") == "standard", 1.0).when(F.col("type") == "connector", 0.9).when(F.col("type") == "param", 0.8).when(F.col("type") == "material", 0.7).otherwise(0.5)
     hit = V.mentions(spark, d).join(asked, "name").groupBy("qid", F.col("chunk_id").alias("id")).agg(F.round(F.max(F.col("mention_count") * w), 6).alias("score"))

@@ -53,13 +53,13 @@ FOREIGN = "[\\u3040-\\u30ff\\uac00-\\ud7af\\ue000-\\uf8ff]"
 
 
 def normalize_han(text, trad: str = "", simp: str = "") -> F.Column:
-    """TX06, TX22: foreign scripts to space, traditional to simplified characters 1:1, blanks collapsed."""
+    """TX06: foreign scripts to space, characters of ``trad`` to those of ``simp`` 1:1 (no map is built in), blanks collapsed."""
     return F.trim(F.regexp_replace(F.translate(F.regexp_replace(text, FOREIGN, " "), trad, simp) if trad else F.regexp_replace(text, FOREIGN, " "), "[ \\t]+", " "))
 
 
 @query("tx06_normalize", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \t]+', ' ', 'g'))) AS digest FROM documents")
 def tx06(spark, d):
-    """TX06: collapsed blanks."""
+    """TX06 without its map of traditional characters: foreign scripts to space, collapsed blanks."""
     return V.documents(spark, d).select("doc_id", F.md5(normalize_han(F.col("text"))).alias("digest"))
 
 
