@@ -43,7 +43,7 @@ def shingles(raw: np.ndarray, off: np.ndarray):
     if not len(start):
         e = np.empty(0, np.int64)
         return e, e.astype(np.uint64), e
-    value, _ = word_hashes(data, start, end)
+    value = word_hashes(data, start, end)
     bounds = np.concatenate([[0], np.cumsum(count)])
     number = np.where(count > 0, np.maximum(count - SHINGLE + 1, 1), 0)
     row = np.repeat(np.arange(rows), number)

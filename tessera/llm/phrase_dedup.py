@@ -5,8 +5,8 @@ A word is a maximal run of characters other than space and \\t \\n \\v \\f \\r.
 a window covers, all occurrences alike.
 
 Windows are dealt to shards by minimizer (``shards.py``), so all occurrences of a passage meet. Runs of windows that
-are equal as a whole are recurring passages already. In the rest, recurring windows are confirmed by hash; each
-confirmed phrase goes, as its word sequence, into Aho-Corasick automata of bounded size, and every run of the shard is
+are equal as a whole, byte for byte, are recurring passages already. In the rest, candidates are windows whose hash
+recurs; each goes, as its word sequence, into Aho-Corasick automata of bounded size, and every run of the shard is
 streamed through them: a phrase found twice or more marks all its occurrences. The words themselves decide, not hashes.
 
 Defined results: null text has no words; rows whose id is null are compared with nothing and kept whole; rows that
@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
 from . import shards as S
 from .kernels import STEP, Rolling, byte_values, expand, minimizer_runs, mix64, squeezed, text_bytes, unsqueezed
 from .suffix_dedup import SPANS, covered
@@ -60,18 +59,19 @@ def normal_words(raw: np.ndarray, off: np.ndarray):
     return data, to, to + size, count
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each word, in slices of bounded size."""
-    a, b = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, in slices of bounded size: the mixed sum of its mixed (place, byte) pairs."""
+    out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + STEP)))
-        base = start[i]
-        v = byte_values(data[base : end[j - 1]])
-        a[i:j] = Rolling(v, 0).spans(start[i:j] - base, end[i:j] - base)
-        b[i:j] = Rolling(v, 1).spans(start[i:j] - base, end[i:j] - base)
+        size = end[i:j] - start[i:j]
+        own = np.cumsum(size) - size
+        at = expand(start[i:j], size)
+        place = (at - np.repeat(start[i:j], size)).astype(np.uint64)
+        out[i:j] = mix64(np.add.reduceat(mix64((place << np.uint64(8)) + data[at] + np.uint64(1)), own))
         i = j
-    return a, b
+    return out
 
 
 def content_hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray):
@@ -93,7 +93,7 @@ def map_runs(ids: np.ndarray, raw: np.ndarray, off: np.ndarray, length: int):
         data, start, end, count = normal_words(raw[off[a] : off[b]], off[a : b + 1] - off[a])
         if not len(start):
             continue
-        value, _ = word_hashes(data, start, end)
+        value = word_hashes(data, start, end)
         bounds = np.concatenate([[0], np.cumsum(count)])
         at, windows, key, again = minimizer_runs(value, bounds, length, GRAM)
         if not len(at):
@@ -203,7 +203,7 @@ def solve_shard(blocks: list[bytes], length: int):
 
 def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """doc_id, start, windows: the windows at words start .. start + windows - 1 recur."""
-    n = shards or shuffle_partitions(docs.sparkSession)
+    n = shards or S.shards_for(docs, text_col)
 
     def to_shards(batches):
         parts, held = [], 0
@@ -224,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "windows": pa.array(count, pa.int64())})
 
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
-    return known.mapInArrow(to_shards, "shard long, block binary").groupBy("shard").applyInArrow(solve, SPANS)
+    return known.mapInArrow(to_shards, "shard long, block binary").repartition(n, "shard").groupBy("shard").applyInArrow(solve, SPANS)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A window (``window`` consecutive tokens of one document) belongs to the shard of its minimizer. Consecutive windows
 with one minimizer travel as one run, so a text is sent about three times, compressed, whatever the window. Runs
 that are equal within a map step travel once; the other copies send only their place. Each shard is a task-sized
-share of the whole: their number follows the session's shuffle partitions.
+share of the whole: their number follows the bytes of the texts.
 """
 
 from __future__ import annotations
@@ -13,10 +13,22 @@ from dataclasses import dataclass
 import numpy as np
 import zstandard
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import shuffle_partitions
 from .kernels import expand, first_of, mix64
 
 #: Bytes of text whose runs are gathered before they are compressed and dealt.
 GATHER = 6 << 20
+#: Bytes of text for each shard, about.
+SHARE = 16 << 20
+
+
+def shards_for(docs: DataFrame, text_col: str, share: int = SHARE) -> int:
+    """A number of shards in proportion to the bytes of the texts, the session's shuffle partitions at least."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // share))
 
 
 @dataclass
@@ -54,10 +66,49 @@ def joined(parts: list[Runs]) -> Runs:
     return Runs(*cols, np.concatenate([p.at + b for p, b in zip(parts, base)]), np.concatenate([p.size for p in parts]), np.concatenate([p.data for p in parts]))
 
 
+#: Bytes of content that are compared at once.
+COMPARED = 4 << 20
+
+
+def unequal(r: Runs, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the runs a[i], b[i] differ in their bytes."""
+    out = r.size[a] != r.size[b]
+    left = np.flatnonzero(~out & (r.at[a] != r.at[b]))
+    upto = np.cumsum(r.size[a[left]])
+    i = 0
+    while i < len(left):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + COMPARED, side="right")))
+        x, y = a[left[i:j]], b[left[i:j]]
+        differ = r.data[expand(r.at[x], r.size[x])] != r.data[expand(r.at[y], r.size[y])]
+        out[left[i:j]] = np.add.reduceat(differ, np.cumsum(r.size[x]) - r.size[x]) > 0
+        i = j
+    return out
+
+
+def equal_contents(r: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the runs by content (and doc, start), and where in it another content begins. Hashes sort; the bytes
+    themselves decide: runs that share both hashes without being equal are parted."""
+    order, new = first_of(r.h1, r.h2, r.doc, r.start)
+    if not len(order):
+        return order, new
+    head = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(order))))
+    wrong = unequal(r, order, head)
+    if wrong.any():
+        number: dict[bytes, int] = {}
+        which = np.zeros(len(order), np.int64)
+        for i in np.flatnonzero(np.isin(head, head[wrong])).tolist():
+            j = order[i]
+            which[j] = number.setdefault(r.data[r.at[j] : r.at[j] + r.size[j]].tobytes(), len(number))
+        order = np.lexsort((r.start, r.doc, which, r.h2, r.h1))
+        keys = [x[order] for x in (r.h1, r.h2, which)]
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return order, new
+
+
 def first_copies(r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Groups equal contents: indexes of the first copy by (doc, start) of each, of all other copies, and the total
     weight by first copy. Places that are given twice (repeated rows) count once."""
-    order, new = first_of(r.h1, r.h2, r.doc, r.start)
+    order, new = equal_contents(r)
     same = np.zeros(len(order), bool)
     d, s = r.doc[order], r.start[order]
     same[1:] = ~new[1:] & (d[1:] == d[:-1]) & (s[1:] == s[:-1]) & (d[1:] >= 0)

@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
 from . import shards as S
 from .kernels import Rolling, byte_values, expand, minimizer_runs, pieces, squeezed, text_bytes, unsqueezed
 
@@ -257,7 +256,7 @@ def compact(r: S.Runs) -> S.Runs:
 
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """doc_id, start, windows: windows start .. start + windows - 1 of the document are repeats."""
-    n = shards or shuffle_partitions(docs.sparkSession)
+    n = shards or S.shards_for(docs, text_col)
 
     def to_shards(batches):
         parts, held = [], 0
@@ -279,7 +278,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
     dealt = known.mapInArrow(to_shards, "shard long, block binary")
-    return dealt.groupBy("shard").applyInArrow(solve, SPANS)
+    return dealt.repartition(n, "shard").groupBy("shard").applyInArrow(solve, SPANS)
 
 
 def covered(starts: np.ndarray, windows: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray]:

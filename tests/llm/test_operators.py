@@ -61,6 +61,32 @@ def test_suffix_dedup_long_and_binary(spark, monkeypatch):
     assert gone[0] == 0 and gone[2] == 4000 and gone[3] == len(every.encode()) and gone[4] == len(every.encode())
 
 
+def complements(n=1024):
+    """Two strings of n characters whose polynomial hashes modulo a power of two are equal."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_equal_hashes_are_not_equal_runs(spark):
+    a, b = complements()
+    words = " ".join(f"w{i}" for i in range(34))
+    rows = [f"{words} {a}", f"{words} {b}", f"{words} {a}"]
+    got = {x["doc_id"]: x["n_removed"] for x in phrase_dedup.remove_repeats(table(spark, rows)).collect()}
+    assert got == {0: 35, 1: 0, 2: 35}
+    r = random.Random(13)
+    noise = lambda n: "".join(r.choice("ghijklmnop") for _ in range(n))
+    rows = [noise(r.randint(0, 40)) + (a, b)[i % 2][r.randint(0, 3) :] + noise(r.randint(0, 40)) for i in range(60)]
+    seen, want = set(), {}
+    for i, t in enumerate(rows):
+        gone = set()
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone.update(range(k, k + 100))
+            seen.add(t[k : k + 100])
+        want[i] = len(gone)
+    assert {x["doc_id"]: x["n_removed"] for x in suffix_dedup.remove_repeats(table(spark, rows)).collect()} == want
+
+
 def test_phrase_dedup(spark):
     rows = texts(3)
     count, at = Counter(), []
