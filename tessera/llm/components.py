@@ -86,7 +86,7 @@ def compare_stars(stars: DataFrame, texts: DataFrame, prepare: Callable, similar
     return ready.mapInArrow(work, "a long, b long")
 
 
-def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed: Callable, prepare: Callable, similar: Callable, extra: list[str], narrow: tuple[Callable, Callable] | None = None) -> DataFrame:
+def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed: Callable, prepare: Callable, similar: Callable, extra: list[str], narrow: tuple[Callable, Callable] | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """id, component of all ids that a verified link joins to another.
 
     texts: id and text, or a function that makes them for some stars. buckets: key, id and ``extra`` columns that ``allowed(left, right)`` (a Column of two prefixes) needs; it must hold
@@ -96,32 +96,38 @@ def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed
     group whose texts are not all like its least one. Then only pairs of one bucket that are still in different groups
     are compared, all of them, so no link that could join two groups is lost.
 
+    pairs: further (hub, member) to be compared, of buckets that aren't among ``buckets``.
+
     narrow: for buckets that hold many unlike texts, which hubs don't thin out, (keys, bound): keys(ids, texts) gives
     rows (key, id, ``extra``, suffix) so that similar texts share a key at which bound(left, right) holds as well."""
     w = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     packed = F.struct("id", *extra)
     led = cut(buckets.withColumn("hub", F.first(packed).over(w)).filter("hub.id <> id"))
     ok = allowed(lambda c: F.col(f"hub.{c}"), F.col)
-    stars = cut(led.filter(ok).select(F.col("hub.id").alias("hub"), F.col("id").alias("member")).distinct())
+    # one group's buckets have many pairs of hub and member in common
+    met = cut(led.select(F.col("hub"), "id", *extra).distinct())
+    stars = met.filter(ok).select(F.col("hub.id").alias("hub"), F.col("id").alias("member"))
+    stars = cut(stars if pairs is None else stars.union(pairs).distinct())
     text_of = texts if callable(texts) else lambda _: texts
     links = cut(compare_stars(stars, text_of(stars), prepare, similar))
     groups = cut(connected(links))
     # buckets where some member didn't join the least id's group
     name = groups.select("id", F.col("component").alias("own"))
     lead = groups.select(F.col("id").alias("lead_id"), F.col("component").alias("lead_own"))
-    apart = led.select("key", "id", F.col("hub.id").alias("lead_id")).join(name, "id", "left").join(lead, "lead_id", "left")
-    mixed = apart.filter(F.coalesce("own", "id") != F.coalesce("lead_own", "lead_id")).select("key").distinct()
+    apart = met.select("id", F.col("hub.id").alias("lead_id")).join(name, "id", "left").join(lead, "lead_id", "left")
+    open_ = apart.filter(F.coalesce("own", "id") != F.coalesce("lead_own", "lead_id")).select(F.col("id").alias("_id"), F.col("lead_id").alias("_lead"))
+    mixed = led.join(open_, (F.col("id") == F.col("_id")) & (F.col("hub.id") == F.col("_lead")), "left_semi").select("key").distinct()
     shared = led.select("key", "id", *extra).union(led.select("key", "hub.*").distinct())
     rest = cut(shared.join(mixed, "key", "left_semi").join(name, "id", "left").withColumn("own", F.coalesce("own", "id")))
     tried, turn, before = stars, 0, None
     while True:
         size = rest.groupBy("key", "own").agg(F.count("*").alias("n"))
         per = size.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"), F.max_by("own", F.struct("n", "own")).alias("main")).filter("n * n > square")
-        pairs, members = per.agg(F.sum((F.col("n") * F.col("n") - F.col("square")) / 2), F.sum("n")).first()
-        many = (pairs or 0) > PARTNERS * (members or 0)
-        if not many or (before and pairs > before * 0.9):
+        left, members = per.agg(F.sum((F.col("n") * F.col("n") - F.col("square")) / 2), F.sum("n")).first()
+        many = (left or 0) > PARTNERS * (members or 0)
+        if not many or (before and left > before * 0.9):
             break
-        turn, before = turn + 1, pairs
+        turn, before = turn + 1, left
         # by the turn's hash, so that each turn has other hubs; min() combines before the shuffle
         drawn = F.xxhash64("id", F.lit(turn))
         main = rest.join(per.select("key", "main"), "key").filter(F.col("own") == F.col("main"))

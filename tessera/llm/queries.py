@@ -25,7 +25,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
