@@ -29,8 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines, and documents of which no line is left."""
     out = line_dedup.without_lines(docs.select(*COLUMNS), line_dedup.repeated_lines(docs))
-    left = out.filter((F.col("_dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
-    return left.withColumn("n_chars", F.when(F.col("_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+    left = out.filter((F.col("dropped") == 0) | F.col("row.text").rlike(r"[\p{L}\p{N}]"))
+    return left.select("row.*", "dropped").withColumn("n_chars", F.when(F.col("dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
