@@ -28,9 +28,12 @@ from ..session import cut
 from .components import groups_from_buckets
 from .kernels import Rolling, mix64, squeezed, text_bytes, unsqueezed
 from .phrase_dedup import groups_of, normal_words, word_hashes
+from .shards import shards_for
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 10, 3, 0.8
 PLACES, PARTS, STEP = 1 << 20, 16, 192 << 10
+#: Shingles that are counted, and texts whose shingles are asked for, together.
+GATHER, ASKED = 1 << 20, 2048
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
@@ -164,47 +167,120 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
     return known.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(work, "id long, digest binary, bands array<long>")
 
 
-def text_shingles(block: bytes):
-    text = unsqueezed(block)
-    raw, off = text_bytes(pa.array([text if text.isascii() else text.lower()]))
-    _, h, tf = shingles(raw, off - off[0])
-    return h, tf
+def columns_of(x: np.ndarray) -> bytes:
+    """Bytes of the values, all first bytes first: they compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_columns(raw: bytes, kind, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
+def packed_shingles(h: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted shingle hashes, as differences, and 32-bit numbers that go with them."""
+    return zstandard.compress(columns_of(np.diff(h, prepend=np.uint64(0))) + b"".join(columns_of(x.astype(np.uint32)) for x in more), 1)
+
+
+def unpacked_shingles(block: bytes, more: int) -> list[np.ndarray]:
+    raw = zstandard.decompress(block)
+    n = len(raw) // (8 + 4 * more)
+    return [np.cumsum(from_columns(raw, np.uint64, n, 0), dtype=np.uint64), *(from_columns(raw, np.uint32, n, (8 + 4 * i) * n) for i in range(more))]
+
+
+def by_shard(h: np.ndarray, shards: int):
+    """Order of the hashes by (shard, hash), and where each shard begins in it."""
+    shard = (h % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((h, shard))
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
 def exactly_weighted(docs: DataFrame, texts: DataFrame, n: int, text_col: str) -> DataFrame:
-    """id, digest, total, text of texts (id, text): exact total weight, and the text behind the exact weights of its shingles."""
+    """id, digest, total, text of texts (id, text, squeezed): exact total weight, and the shingles with their number of
+    documents and frequency. All documents' shingles are counted by gathers and dealt to shards as sorted blocks; gathers
+    of the given texts ask each shard for their shingles, and get the counts back in the same order."""
+    shards = shards_for(docs, text_col)
 
     def count(batches):
+        parts, held = [], 0
+
+        def counted():
+            h, df = np.unique(np.concatenate(parts), return_counts=True)
+            order, at = by_shard(h, shards)
+            blocks = [packed_shingles(h[order[x:y]], df[order[x:y]]) for x, y in zip(at[:-1], at[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
+
         for b in batches:
             for _, _, (_, h, _) in steps(b.column(0)):
-                h, df = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(df, pa.int64())], ["h", "df"])
-
-    def own(batches):
+                parts.append(h)
+                held += len(h)
+                if held >= GATHER:
+                    yield counted()
+                    parts, held = [], 0
+        if held:
+            yield counted()
+
+    def ask(batches):
+        """gather, its documents (id, digest, number of shingles, places of these among the gather's, frequencies), and its shingles by shard."""
+        from pyspark import TaskContext
+
+        key = TaskContext.get().partitionId() << 32
         for b in batches:
-            for i, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h, _ = text_shingles(block)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int64)), pa.array(h.astype(np.int64))], ["id", "h"])
+            for lo in range(0, b.num_rows, ASKED):
+                key += 1
+                part = b.slice(lo, ASKED)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                whole = [unsqueezed(x) for x in part.column(1).to_pylist()]
+                got = list(steps(pa.array(whole, pa.string())))
+                h, tf = (np.concatenate([x[i] for _, _, x in got]) for i in (1, 2))
+                size = np.concatenate([np.bincount(x[0], minlength=hi - at) for at, hi, x in got])
+                own, where = np.unique(h, return_inverse=True)
+                order, at = by_shard(own, shards)
+                place = np.empty(len(own), np.int64)
+                place[order] = np.arange(len(own))
+                digest = b"".join(hashlib.blake2b(t.encode(), digest_size=16).digest() for t in whole)
+                head = [np.array([len(ids), len(h)], np.int64).tobytes(), ids.astype(np.int64).tobytes(), digest, size.astype(np.int64).tobytes(), columns_of(place[where].astype(np.uint32)), columns_of(tf.astype(np.uint32))]
+                blocks = [packed_shingles(own[order[x:y]]) for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([zstandard.compress(b"".join(head), 1)], pa.binary()), pa.array([blocks], pa.list_(pa.binary()))], ["gather", "head", "blocks"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        gathers, blocks = table.column("gather").to_pylist(), table.column("block").to_pylist()
+        parts = [unpacked_shingles(x, 1) for g, x in zip(gathers, blocks, strict=True) if g is None]
+        h, df = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint32))
+        order = np.argsort(h, kind="stable")
+        h, df = h[order], df[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+        h, df = h[first], np.add.reduceat(df, first) if len(first) else df
+        asked = [(g, unpacked_shingles(x, 0)[0]) for g, x in zip(gathers, blocks, strict=True) if g is not None]
+        back = [zstandard.compress(columns_of(df[np.searchsorted(h, own)].astype(np.uint32)), 1) for _, own in asked]
+        shard = table.column("shard")[0].as_py()
+        return pa.table({"gather": pa.array([g for g, _ in asked], pa.int64()), "shard": pa.array([shard] * len(asked), pa.int32()), "df": pa.array(back, pa.binary())})
 
     def weigh(batches):
         for b in batches:
-            ids, digests, totals, packed = [], [], [], []
-            for i, block, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                known = pairs.values
-                at, df = known.field("h").to_numpy(), known.field("df").to_numpy()
-                order = np.argsort(at)
-                h, tf = text_shingles(block)
-                idf = inverse_frequencies(df[order][np.searchsorted(at[order], h.astype(np.int64))], n)
-                sent = zstandard.compress(idf.tobytes(), 1)
-                ids.append(i)
-                digests.append(hashlib.blake2b(unsqueezed(block).encode(), digest_size=16).digest())
-                totals.append(float((tf * idf).sum(dtype=np.float64)))
-                packed.append(len(sent).to_bytes(4, "big") + sent + block)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(totals, pa.float64()), pa.array(packed, pa.binary())], ["id", "digest", "total", "text"])
-
-    df = docs.select(text_col).mapInArrow(count, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-    pairs = texts.mapInArrow(own, "id long, h long").distinct().join(df, "h").groupBy(F.col("id").alias("_of")).agg(F.collect_list(F.struct("h", "df")).alias("_df"))
-    return texts.join(pairs, texts["id"] == pairs["_of"]).select("id", "text", "_df").mapInArrow(weigh, "id long, digest binary, total double, text binary")
+            for head, blocks, told in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                raw = zstandard.decompress(head)
+                rows, total = np.frombuffer(raw, np.int64, 2).tolist()
+                ids = np.frombuffer(raw, np.int64, rows, 16)
+                digests = [raw[16 + 8 * rows + 16 * i : 32 + 8 * rows + 16 * i] for i in range(rows)]
+                size = np.frombuffer(raw, np.int64, rows, 16 + 24 * rows)
+                place, tf = (from_columns(raw, np.uint32, total, 16 + 32 * rows + 4 * i * total) for i in (0, 1))
+                h = np.concatenate([unpacked_shingles(x, 0)[0] for x in blocks])
+                df = np.concatenate([from_columns(r := zstandard.decompress(x["df"]), np.uint32, len(r) // 4, 0) for x in sorted(told, key=lambda x: x["shard"])])
+                totals, packed, at = [], [], 0
+                for k in size.tolist():
+                    mine, f = place[at : at + k], tf[at : at + k]
+                    totals.append(float((f * inverse_frequencies(df[mine], n)).sum(dtype=np.float64)))
+                    packed.append(packed_shingles(h[mine], df[mine], f))
+                    at += k
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(digests, pa.binary()), pa.array(totals, pa.float64()), pa.array(packed, pa.binary())], ["id", "digest", "total", "text"])
+
+    counts = docs.select(text_col).mapInArrow(count, "shard int, block binary").select("shard", F.lit(None).cast("long").alias("gather"), "block")
+    gathers = cut(texts.select("id", "text").mapInArrow(ask, "gather long, head binary, blocks array<binary>"))
+    asked = gathers.select(F.posexplode("blocks").alias("shard", "block"), "gather").select("shard", "gather", "block")
+    told = counts.union(asked).repartition(shards, "shard").groupBy("shard").applyInArrow(answer, "gather long, shard int, df binary")
+    back = told.groupBy(F.col("gather").alias("_of")).agg(F.collect_list(F.struct("shard", "df")).alias("told"))
+    return gathers.join(back, gathers["gather"] == back["_of"]).select("head", "blocks", "told").mapInArrow(weigh, "id long, digest binary, total double, text binary")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,9 +300,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     def weights(block):
         """Shingles of a weighted text, exact weights of one occurrence, and frequencies in the text."""
-        end = 4 + int.from_bytes(block[:4], "big")
-        h, tf = text_shingles(block[end:])
-        return h, np.frombuffer(zstandard.decompress(block[4:end]), np.float32), tf
+        h, df, tf = unpacked_shingles(block, 2)
+        return h, inverse_frequencies(df, max(n, 1)), tf
 
     def prepare(block):
         h, idf, tf = weights(block)
