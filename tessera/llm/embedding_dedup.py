@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from ..session import cut, shuffle_partitions
 from .components import connected
 
-PASSES, BITS, WINDOW, BLOCK = 20, 48, 64, 512
+BITS, WINDOW, BLOCK = 48, 64, 512
+#: Passes over up to 2 ** AMPLE vectors, and further ones for each doubling from there: neighbours at the least cosine
+#: fall apart more often the more vectors stand between them.
+PASSES, AMPLE, MORE = 24, 16, 3
 COSINE = 0.95
 
 
@@ -45,8 +48,12 @@ def usable(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def directions(dim: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).normal(size=(dim, PASSES * BITS))
+def passes_for(n: int) -> int:
+    return PASSES + MORE * max(0, (n - 1).bit_length() - AMPLE)
+
+
+def directions(dim: int, seed: int, passes: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).normal(size=(dim, passes * BITS))
 
 
 def prepared(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -61,6 +68,7 @@ def prepared(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def keyed(distinct: DataFrame, seed: int) -> DataFrame:
     """pass, key, rep of each distinct vector and pass."""
+    passes = passes_for(distinct.count())
 
     def work(batches):
         for b in batches:
@@ -70,10 +78,10 @@ def keyed(distinct: DataFrame, seed: int) -> DataFrame:
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
                 v = unit(np.frombuffer(b"".join(raws[i] for i in at), "<f8").reshape(len(at), dim))
-                bits = (v @ directions(int(dim), seed) > 0).reshape(len(at), PASSES, BITS)
+                bits = (v @ directions(int(dim), seed, passes) > 0).reshape(len(at), passes, BITS)
                 packed = np.packbits(bits, axis=2)
-                key = [(int(dim).to_bytes(4, "big") + packed[i, p].tobytes()) for i in range(len(at)) for p in range(PASSES)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(PASSES, dtype=np.int32), len(at))), pa.array(key, pa.binary()), pa.array(np.repeat(rep[at], PASSES))], ["pass", "key", "rep"])
+                key = [(int(dim).to_bytes(4, "big") + packed[i, p].tobytes()) for i in range(len(at)) for p in range(passes)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(passes, dtype=np.int32), len(at))), pa.array(key, pa.binary()), pa.array(np.repeat(rep[at], passes))], ["pass", "key", "rep"])
 
     return distinct.select("rep", "raw").mapInArrow(work, "pass int, key binary, rep long")
 
