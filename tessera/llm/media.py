@@ -5,7 +5,8 @@
 and the caption travel with the reference, so they stay aligned whatever order the join returns. ``store`` keeps
 each distinct payload once, as 8-bit samples: a binary portable graymap (P5), 64 samples a row.
 
-Defined results: null html gives no elements; a reference whose digest isn't in the store keeps its row with null
+Defined results: null html gives no elements; texts and payloads of any length are taken whole; ties can't occur, as a page's
+positions are distinct; a reference whose digest isn't in the store keeps its row with null
 media; a null payload counts as empty; equal payloads share one stored form; repeated pages give repeated rows;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -125,7 +126,8 @@ def features(samples: np.ndarray) -> str:
 
 
 def store(payloads: DataFrame, payload_col: str) -> DataFrame:
-    """digest, n_bytes, media: one row for each distinct payload; the digest is that of the stored form."""
+    """digest, n_bytes, media: one row for each distinct payload; the digest is that of the payload as it came, so that
+    payloads which differ only in final zero bytes stay apart."""
 
     def work(batches):
         for b in batches:
@@ -133,8 +135,7 @@ def store(payloads: DataFrame, payload_col: str) -> DataFrame:
             for x in b.column(0):
                 raw = x.as_py() or b""
                 raw = raw.encode() if isinstance(raw, str) else raw
-                # the unpadded length is part of the key: payloads that differ only in final zero bytes stay apart
-                d = f"{hashlib.sha256(raw).hexdigest()}"
+                d = hashlib.sha256(raw).hexdigest()
                 if d in seen:
                     continue
                 seen.add(d)
@@ -150,11 +151,15 @@ def store(payloads: DataFrame, payload_col: str) -> DataFrame:
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     """One row per element, media resolved by digest: page, position, kind, text, digest, caption, n_bytes, media."""
     flat = sequences.select("page", F.explode("elements").alias("e")).select("page", "e.*")
-    return flat.join(media, "digest", "left").select("page", "position", "kind", "text", "digest", "caption", "n_bytes", "media")
+    names = ["page", "position", "kind", "text", "digest", "caption", "n_bytes", "media"]
+    found = flat.filter("digest is not null").join(media, "digest", "left").select(*names)
+    # elements without a digest have nothing to be joined with
+    return found.union(flat.filter("digest is null").select(*names[:-2], F.lit(None).cast("long"), F.lit(None).cast("binary")))
 
 
 def read_back(resolved: DataFrame) -> DataFrame:
-    """page, position, caption and what the stored bytes give: sizes, digests, checksum and features."""
+    """page, position, caption and what the stored bytes give: sizes, digests, checksum and features, of all media
+    elements; null where the reference is not in the store."""
     kind = resolved.schema["page"].dataType.simpleString()
 
     def work(batches):
@@ -163,14 +168,16 @@ def read_back(resolved: DataFrame) -> DataFrame:
             memo: dict[str, tuple] = {}
             for digest, media in zip(b.column(4).to_pylist(), b.column(5), strict=True):
                 if (got := memo.get(digest)) is None:
-                    stored = media.as_py()
-                    samples = from_graymap(stored)
-                    raw = samples.tobytes()
-                    got = memo[digest] = (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(samples))
+                    if (stored := media.as_py()) is None:
+                        memo[digest] = got = (None,) * 6
+                    else:
+                        samples = from_graymap(stored)
+                        raw = samples.tobytes()
+                        got = memo[digest] = (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(samples))
                 for k, v in zip(out, got, strict=True):
                     out[k].append(v)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["page", "position", "caption", "n_bytes", *out])
 
-    have = resolved.filter("media is not null").select("page", "position", "caption", "n_bytes", "digest", "media")
+    have = resolved.filter("kind = 'media'").select("page", "position", "caption", "n_bytes", "digest", "media")
     return have.mapInArrow(work, f"page {kind}, position int, caption string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -29,10 +29,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document becomes a page with one figure that refers to the text's payload by digest; payloads go to a
-    media store once each; the page is parsed, its reference resolved, and the stored bytes read back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    page = F.concat(F.lit('<article><figure><img src="sha256:'), F.sha2("text", 256), F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"))
+    """Each document becomes a page: a heading, a figure that refers to the text's payload by digest, and a closing line.
+    Payloads go to a media store once each; the page is parsed, its reference resolved, and the stored bytes read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    name = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    page = F.concat(F.lit("<article><h1>"), name, F.lit('</h1><figure><img src="sha256:'), F.sha2("text", 256), F.lit('"><figcaption>'), name, F.lit("</figcaption></figure><p>"), F.length("text").cast("string"), F.lit(" characters</p></article>"))
     sequences = media.parse_sequences(docs.select("doc_id", page.alias("html")), "doc_id", "html")
     back = media.read_back(media.resolve(sequences, media.store(docs, "text")))
     return back.select(F.col("page").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
