@@ -12,7 +12,10 @@ text give the same segmentation on any machine, in any order.
 Decoding concatenates pieces and bytes; a word mark that stands in the text itself is spelled in bytes, so
 decode(encode(text)) == text for every text.
 
-Defined results: null text counts as empty (no pieces); a null key seeds like the string 'null'; repeated rows
+The model's normaliser is passed over: pieces are sampled from the text as it is, so that decoding gives it back.
+
+Defined results: null text counts as empty (no pieces); a word of any length is one lattice, whose size grows with its
+length; a null key seeds like the string 'null'; repeated rows
 with equal key and text get equal segmentations; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,8 +33,6 @@ from pyspark.sql import DataFrame
 from .kernels import Rolling, mix64
 
 MARK = "▁"
-#: Characters of a word that one lattice covers; longer words are cut there, so a lattice stays bounded.
-LONGEST = 4096
 #: Rows whose words are filtered and sampled together.
 ROWS = 1024
 _WORD = re.compile(r" +[^ ]*|[^ ]+")
@@ -112,7 +113,7 @@ class Lattices:
         self.frm, to, self.piece, weight = frm[order], to[order], piece[order], weight[order]
         node_word = np.repeat(np.arange(len(words)), size + 1)
         depth = to - self.first[node_word[to]]
-        by_depth = np.argsort(depth.astype(np.int16), kind="stable")
+        by_depth = np.argsort(depth.astype(np.int16) if len(depth) and depth.max() < 1 << 15 else depth, kind="stable")
         cuts = np.searchsorted(depth[by_depth], np.arange(1, depth.max(initial=0) + 2))
         sums = np.zeros(int(size.sum()) + len(words))
         self.upto = np.empty(len(to))
@@ -139,13 +140,7 @@ def model(path: str) -> Model:
 
 
 def words_of(text: str) -> list[str]:
-    out = []
-    for w in _WORD.findall(text):
-        if len(w) <= LONGEST:
-            out.append(w)
-        else:
-            out.extend(w[i : i + LONGEST] for i in range(0, len(w), LONGEST))
-    return out
+    return _WORD.findall(text)
 
 
 def sample(m: Model, texts: list[str], seeds: np.ndarray, alpha: float) -> list[np.ndarray]:
