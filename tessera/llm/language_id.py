@@ -148,21 +148,25 @@ def learn(docs: DataFrame, may_learn, per_lang: int = 250, seed: int = 3, id_col
         return None
 
     def spans(batches):
+        seen = set()
         for b in batches:
-            langs, parts = [], []
+            keys, langs, parts = [], [], []
             for key, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = np.frombuffer(text.encode(), np.uint8)
-                if not len(raw) or not _LETTER.search(text):
+                if (key, lang) in seen or not len(raw) or not _LETTER.search(text):
                     continue
+                seen.add((key, lang))
                 rng = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
-                for at in rng.integers(0, max(1, len(raw) - SPAN + 1), SPANS).tolist():
-                    part = raw[at : at + SPAN]
-                    langs.append(lang)
-                    parts.append(np.pad(part, (0, SPAN - len(part)), constant_values=32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "span"])
-
-    wanted = rows.filter(F.col(id_col).isin(ids)).select(id_col, lang_col, text_col).mapInArrow(spans, "lang string, span binary")
-    got = sorted((r["lang"], bytes(r["span"])) for r in wanted.collect())
+                drawn = [raw[at : at + SPAN] for at in rng.integers(0, max(1, len(raw) - SPAN + 1), SPANS).tolist()]
+                keys.append(str(key))
+                langs.append(lang)
+                parts.append(b"".join(np.pad(x, (0, SPAN - len(x)), constant_values=32).tobytes() for x in drawn))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["key", "lang", "spans"])
+
+    wanted = rows.filter(F.col(id_col).isin(ids)).select(id_col, lang_col, text_col).mapInArrow(spans, "key string, lang string, spans binary")
+    # rows that share an id count once, so that no more than the ids' number comes back
+    held = wanted.groupBy("key", "lang").agg(F.min("spans").alias("spans")).collect()
+    got = sorted((r["lang"], bytes(r["spans"][i : i + SPAN])) for r in held for i in range(0, len(r["spans"]), SPAN))
     if not got:
         return None
     langs = sorted({g[0] for g in got})
@@ -191,7 +195,8 @@ def document_probabilities(net: Net, raw: np.ndarray, off: np.ndarray, width: in
 
 
 def predict(docs: DataFrame, net: Net | None, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` of docs with lang_pred and score after them."""
+    """``columns`` of docs with lang_pred and score after them; columns of those names are replaced."""
+    columns = [c for c in columns if c not in ("lang_pred", "score")]
     sent = docs.sparkSession.sparkContext.broadcast(net)  # some 25 kB, whatever the data
     schema = ", ".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", lang_pred string, score double"
 
@@ -211,4 +216,4 @@ def predict(docs: DataFrame, net: Net | None, columns: list[str], text_col: str
                             lang[i], score[i] = own.langs[best[i]], min(1.0, float(prob[i, best[i]]))
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*columns, "lang_pred", "score"])
 
-    return docs.select(F.col(text_col).alias("_text"), *columns).mapInArrow(work, schema)
+    return docs.select(F.col(text_col), *columns).mapInArrow(work, schema)
