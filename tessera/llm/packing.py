@@ -1,16 +1,16 @@
 """Packing of documents into fixed-length sequences.
 
 ``pack`` tokenizes each text, appends the end id, cuts the ids into pieces of at most ``capacity`` and packs the
-pieces by first-fit decreasing, independently in randomised groups of documents (a seeded hash of the id deals
-documents to groups, so a group is bounded however large the table is). The first bin that still holds a piece
+pieces by first-fit decreasing, independently in randomised groups of documents (a seeded hash of id and text deals
+documents to groups, so a group is bounded however large the table is and whatever ids repeat). The first bin that still holds a piece
 is found in O(log bins) in a tournament tree of the bins' free room: each inner node keeps the larger room of
 its two children, and the search goes left wherever the left winner is large enough.
 
 A piece carries the span, the ids' CRC and its place; only these few numbers are shuffled, never the ids. With
 ``keep_ids`` the ids come along as a column.
 
-Defined results: null text counts as empty (one piece, just the end id); null ids share a group by their hash
-and are packed like the rest; rows with equal ids are packed each on its own; an empty table gives an empty
+Defined results: null text counts as empty (one piece, just the end id); rows with null or equal ids are packed each on its
+own, copies of a row in groups of their own; ties in length go by id, start and CRC; an empty table gives an empty
 result; other columns are ignored. Long texts are cut into as many pieces as they need.
 """
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .pretokens import byte_symbols, cut
 
-#: Distinct pieces that a worker remembers; further ones are encoded anew each time.
-REMEMBERED = 900_000
+#: Bytes, about, of the pieces that a worker remembers; further ones are encoded anew each time.
+REMEMBERED = 48 << 20
 #: Documents in a group, about; with some thousand pieces the last, part-filled bins of a group don't matter.
 GROUP_DOCS = 4096
 
@@ -87,6 +87,7 @@ def encoder(path: str):
     t = Tokenizer.from_file(path)
     added = [x.content for x in t.get_added_tokens_decoder().values()]
     known: dict[str, bytes] = {}
+    left = REMEMBERED
     model, symbol = t.model, dict(enumerate(byte_symbols()))
 
     def piece_ids(piece: str) -> bytes:
@@ -94,6 +95,7 @@ def encoder(path: str):
         return struct.pack(f"<{len(got)}I", *[x.id for x in got])
 
     def ids(text: str) -> bytes:
+        nonlocal left
         if any(a in text for a in added):
             return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = cut(text)
@@ -102,8 +104,11 @@ def encoder(path: str):
         except KeyError:
             new = [p for p in set(parts) if p not in known]
             got = {p: piece_ids(p) for p in new}
-            if len(known) < REMEMBERED:
-                known.update((p, x) for p, x in got.items() if len(p) < 64)
+            if left > 0:
+                short = {p: x for p, x in got.items() if len(p) < 64}
+                known.update(short)
+                # a string and a bytes object have some 180 bytes beside their contents in a dict
+                left -= sum(map(len, short)) + sum(map(len, short.values())) + 180 * len(short)
             return b"".join([x if (x := known.get(p)) is not None else got[p] for p in parts])
 
     return ids
@@ -112,14 +117,21 @@ def encoder(path: str):
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"] + ["ids"] * keep_ids
 
     def work(batches):
-        encode = encoder(tokenizer)
+        from pyspark import TaskContext
+
+        encode, task = encoder(tokenizer), TaskContext.get().partitionId()
+        copies: dict[tuple, int] = {}
         for b in batches:
-            rows, start, length, crc, total, ids = [], [], [], [], [], []
-            for row, text in enumerate(b.column(1)):
+            rows, start, length, crc, total, salts, ids = [], [], [], [], [], [], []
+            for row, (key, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 flat = encode(text.as_py() or "") + end
+                own = (key, zlib.crc32(flat))
+                # a row that comes again gets a salt that only this task gives
+                again = copies[own] = copies.get(own, -1) + 1
+                salt = own[1] if not again else zlib.crc32(struct.pack("<3Q", own[1], task, again))
                 for at in range(0, len(flat), 4 * capacity):
                     part = flat[at : at + 4 * capacity]
                     rows.append(row)
@@ -127,12 +139,13 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     total.append(len(flat) // 4)
+                    salts.append(salt)
                     if keep_ids:
                         ids.append(part)
-            cols = [b.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
+            cols = [b.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total, salts)]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * keep_ids, names)
 
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * keep_ids
     return docs.select(id_col, text_col).mapInArrow(work, schema)
 
 
@@ -140,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]."""
     groups = max(1, math.ceil(docs.count() / group_docs))
     cut = cut_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids)
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)))
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "salt"), F.lit(groups))).drop("salt")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
@@ -149,5 +162,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
         # ids of sequences stay distinct over groups: group number in the high bits
         return pdf.drop(columns="pack_group").assign(sequence_id=(group << 32) + bins, offset=offsets)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.drop("salt").schema) + ", sequence_id long, offset long"
     return dealt.groupBy("pack_group").applyInPandas(work, schema)

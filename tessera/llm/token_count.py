@@ -6,7 +6,7 @@ each piece the adjacent pair of lowest rank is merged until none is left; the co
 symbols less the merges.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); rows are independent, so ties, repeated rows and
-null ids pass through; an empty table gives an empty result; other columns are ignored, whatever their names.
+null ids pass through; texts of any length are counted whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from .pretokens import byte_symbols, cut
 
-#: Distinct pieces that a worker remembers; further ones are counted anew each time.
-REMEMBERED = 900_000
+#: Bytes, about, of the pieces that a worker remembers; further ones are counted anew each time.
+REMEMBERED = 48 << 20
 
 
 class Merges:
@@ -74,12 +74,13 @@ class Memory(dict):
     """piece -> count, worked out on first sight."""
 
     def __init__(self, merges: Merges):
-        self.merges = merges
+        self.merges, self.left = merges, REMEMBERED
 
     def __missing__(self, piece: str) -> int:
         n = self.merges.count(piece)
-        if len(piece) < 64 and len(self) < REMEMBERED:
+        if len(piece) < 64 and self.left > 0:
             self[piece] = n
+            self.left -= len(piece) + 140  # a string has some 140 bytes beside its characters in a dict
         return n
 
 
