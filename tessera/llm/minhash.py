@@ -278,7 +278,7 @@ def exactly_weighted(docs: DataFrame, texts: DataFrame, n: int, text_col: str) -
     counts = docs.select(text_col).mapInArrow(count, "shard int, block binary").select("shard", F.lit(None).cast("long").alias("gather"), "block")
     gathers = cut(texts.select("id", "text").mapInArrow(ask, "gather long, head binary, blocks array<binary>"))
     asked = gathers.select(F.posexplode("blocks").alias("shard", "block"), "gather").select("shard", "gather", "block")
-    told = counts.union(asked).repartition(shards, "shard").groupBy("shard").applyInArrow(answer, "gather long, shard int, df binary")
+    told = counts.union(asked).repartitionById(shards, "shard").groupBy("shard").applyInArrow(answer, "gather long, shard int, df binary")
     back = told.groupBy(F.col("gather").alias("_of")).agg(F.collect_list(F.struct("shard", "df")).alias("told"))
     return gathers.join(back, gathers["gather"] == back["_of"]).select("head", "blocks", "told").mapInArrow(weigh, "id long, digest binary, total double, text binary")
 

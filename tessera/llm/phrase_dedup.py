@@ -125,7 +125,7 @@ def deal(parts: list[S.Runs], shards: int):
     for i in range(len(number)):
         pick = o2[d1[i] : d2[i]]
         blocks.append(S.pack(r, np.sort(first[o1[c1[i] : c2[i]]]), tuple(x[pick] for x in done_at)))
-    return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(blocks, pa.binary())], ["shard", "block"])
+    return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
 
 
 def repeated_in(r: S.Runs, length: int, out: list) -> None:
@@ -224,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "windows": pa.array(count, pa.int64())})
 
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
-    return known.mapInArrow(to_shards, "shard long, block binary").repartition(n, "shard").groupBy("shard").applyInArrow(solve, SPANS)
+    return known.mapInArrow(to_shards, "shard int, block binary").repartitionById(n, "shard").groupBy("shard").applyInArrow(solve, SPANS)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:

@@ -67,7 +67,7 @@ def deal(parts: list[S.Runs], shards: int):
     for i in range(len(number)):
         done = other[o2[d1[i] : d2[i]]]
         blocks.append(S.pack(r, np.sort(first[o1[c1[i] : c2[i]]]), (r.doc[done], r.start[done], r.count[done])))
-    return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(blocks, pa.binary())], ["shard", "block"])
+    return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
 
 
 def bounded_suffix_order(text: np.ndarray) -> np.ndarray:
@@ -277,8 +277,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "windows": pa.array(count, pa.int64())})
 
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
-    dealt = known.mapInArrow(to_shards, "shard long, block binary")
-    return dealt.repartition(n, "shard").groupBy("shard").applyInArrow(solve, SPANS)
+    dealt = known.mapInArrow(to_shards, "shard int, block binary")
+    return dealt.repartitionById(n, "shard").groupBy("shard").applyInArrow(solve, SPANS)
 
 
 def covered(starts: np.ndarray, windows: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray]:
