@@ -8,23 +8,16 @@ from pyspark.sql import functions as F
 from ..plans import views as V
 from ..registry import query
 from ..session import table
+from .fusion import _CLASS_SQL, _W_SQL, class_weight, query_class
 from .retrieval import BM25, VEC, bm25, ranked, vector_scores
 
-#: Vector and lexical weight of each class of query (fixed values).
-WEIGHTS = {"factual": (0.35, 0.65), "semantic": (0.75, 0.25), "action": (0.55, 0.45), "hybrid": (0.60, 0.40)}
-#: Words that tell a query's class, the first match wins; a parameter.
-CLASSES = (("factual", "[0-9]"), ("semantic", r"\b(why|like|about)\b"), ("action", r"\b(how|make|use)\b"))
 TOP = f"{BM25}, top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm25 QUALIFY rank <= 30)"
 
 
-@query("rt04_dynamic_weights", "WITH c AS (SELECT item_id, CASE WHEN regexp_matches(lower(text), '[0-9]') THEN 'factual' WHEN regexp_matches(lower(text), '\\b(why|like|about)\\b') THEN 'semantic' WHEN regexp_matches(lower(text), '\\b(how|make|use)\\b') THEN 'action' ELSE 'hybrid' END AS class FROM benchmark) SELECT item_id, class, CASE class WHEN 'factual' THEN 0.35::DOUBLE WHEN 'semantic' THEN 0.75::DOUBLE WHEN 'action' THEN 0.55::DOUBLE ELSE 0.6::DOUBLE END AS w_vec, CASE class WHEN 'factual' THEN 0.65::DOUBLE WHEN 'semantic' THEN 0.25::DOUBLE WHEN 'action' THEN 0.45::DOUBLE ELSE 0.4::DOUBLE END AS w_bm25 FROM c")
+@query("rt04_dynamic_weights", f"SELECT item_id, class, {_W_SQL(0)} AS w_vec, {_W_SQL(1)} AS w_bm25 FROM (SELECT item_id, {_CLASS_SQL} AS class FROM benchmark)")
 def rt04(spark, d):
     """RT03, RT04: a query's class and the weights of its recalls."""
-    kind = F
-    for name, pattern in CLASSES:
-        kind = kind.when(F.lower("text").rlike(pattern), name)
-    weight = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, w in WEIGHTS.items() for x in (k, w[i])]), F.col("class"))
-    return table(spark, d, "benchmark").select("item_id", kind.otherwise("hybrid").alias("class")).select("item_id", "class", weight(0).alias("w_vec"), weight(1).alias("w_bm25"))
+    return table(spark, d, "benchmark").select("item_id", query_class(F.col("text")).alias("class")).select("item_id", "class", class_weight(F.col("class"), 0).alias("w_vec"), class_weight(F.col("class"), 1).alias("w_bm25"))
 
 
 @query("rt07_bigrams", "SELECT qid, array_to_string(list_transform(range(1, length(terms[1])), lambda i: substring(terms[1], i, 2)), ' OR ') AS bigrams FROM questions WHERE len(terms) > 0", "questions")
@@ -37,12 +30,12 @@ def rt07(spark, d):
 
 @query(
     "rt16_local_rerank",
-    f"WITH {TOP.strip()}, t AS (SELECT qid, top.id, score, terms, regexp_extract_all(lower(content), '{V.TOKEN}') AS words FROM top JOIN chunks c ON c.id = top.id JOIN questions q USING (qid) WHERE rank <= 10), r AS (SELECT qid, id, score, list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(words, t) THEN len(list_filter(words, lambda x: x = t)) / len(words) * 1000.0 + 5 WHEN len(list_filter(words, lambda x: contains(x, t))) > 0 THEN 2.5 ELSE 0.0 END)) AS raw FROM t) SELECT qid, id, round(0.6::DOUBLE * score / max(score) OVER w + 0.4::DOUBLE * coalesce((raw - min(raw) OVER w) / nullif(max(raw) OVER w - min(raw) OVER w, 0), 0), 4) AS score FROM r WINDOW w AS (PARTITION BY qid)",
+    f"WITH {TOP.strip()}, t AS (SELECT qid, top.id, score, list_distinct(terms) AS terms, regexp_extract_all(lower(content), '{V.TOKEN}') AS words FROM top JOIN chunks c ON c.id = top.id JOIN questions q USING (qid) WHERE rank <= 10), r AS (SELECT qid, id, score, list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(words, t) THEN len(list_filter(words, lambda x: x = t)) / len(words) * 1000.0 + 5 WHEN len(list_filter(words, lambda x: contains(x, t))) > 0 THEN 2.5 ELSE 0.0 END)) AS raw FROM t) SELECT qid, id, round(0.6::DOUBLE * score / max(score) OVER w + 0.4::DOUBLE * coalesce((raw - min(raw) OVER w) / nullif(max(raw) OVER w - min(raw) OVER w, 0), 0), 4) AS score FROM r WINDOW w AS (PARTITION BY qid)",
     "chunks postings questions",
 )
 def rt16(spark, d):
     """RT16, RT20: local re-rank of the ten best: term frequency, or a term inside a word; blended with the first score."""
-    top = ranked(bm25(V.chunks(spark, d), V.questions(spark, d)), limit=10)
+    top = ranked(bm25(spark, d), limit=10)
     asked = V.questions(spark, d).select("qid", "terms")
     t = top.join(V.chunks(spark, d).select("id", "content"), "id").join(asked, "qid").withColumn("words", V.tokens(F.col("content")))
     n = lambda test: F.size(F.filter("words", test))
@@ -57,7 +50,7 @@ def rt16(spark, d):
 @query("rt18_rerank_key", f"WITH {TOP.strip()} SELECT qid, substring(md5(string_agg(id, ',' ORDER BY rank)), 1, 12) AS cache_key FROM top GROUP BY qid", "chunks postings questions")
 def rt18(spark, d):
     """RT18: key of the re-rank cache, from the candidates in order."""
-    top = ranked(bm25(V.chunks(spark, d), V.questions(spark, d)), limit=30)
+    top = ranked(bm25(spark, d), limit=30)
     ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string"))
     return top.groupBy("qid").agg(F.substring(F.md5(F.array_join(ids, ",")), 1, 12).alias("cache_key"))
 
@@ -65,7 +58,7 @@ def rt18(spark, d):
 @query("pf11_preview", f"WITH {TOP.strip()} SELECT qid, top.id, rank, substring(content, 1, 160) AS preview FROM top JOIN chunks c ON c.id = top.id", "chunks postings questions")
 def pf11(spark, d):
     """PF11: the debug listing, 30 rows a query with 160 characters each."""
-    top = ranked(bm25(V.chunks(spark, d), V.questions(spark, d)), limit=30)
+    top = ranked(bm25(spark, d), limit=30)
     return top.join(V.chunks(spark, d).select("id", "content"), "id").select("qid", "id", "rank", F.substring("content", 1, 160).alias("preview"))
 
 

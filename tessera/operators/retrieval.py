@@ -12,19 +12,15 @@ from ..session import table
 K1, B = 1.2, 0.75
 
 
-def bm25(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """RT05, AG10: qid, id, file_id, score (6 places). A chunk's length is known where it is cut, and other terms than
-    the queries' are dropped there too, so the shuffles carry the matching postings alone."""
-    # no filter on words and no inner explode: either would have the texts split into words once more for its condition
-    words = chunks.select("id", "file_id", V.tokens(F.col("content")).alias("words"))
-    dl = F.nullif(F.size("words"), F.lit(0))
-    corpus = words.agg(F.count(dl).alias("n"), F.avg(dl).alias("avgdl"))
-    asked = questions.select("qid", F.explode("terms").alias("term")).distinct()
-    occurs = words.select("id", "file_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
-    hit = occurs.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "file_id", "dl", "term").agg(F.count("*").alias("tf"))
+def bm25(spark: SparkSession, d: str) -> DataFrame:
+    """RT05, AG10: qid, id, file_id, score (6 places), of all terms of a query. The postings lie in the order of their
+    terms and only the queries' terms are read on; a chunk's length comes with each posting."""
+    asked = V.questions(spark, d).select("qid", F.explode("terms").alias("term")).distinct()
+    corpus = V.chunks(spark, d).filter("words > 0").agg(F.count("*").alias("n"), F.avg("words").alias("avgdl"))
+    hit = V.postings(spark, d).join(asked.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.col("avgdl")))
     scored = hit.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(corpus))  # one row
     return scored.groupBy("qid", "id", "file_id").agg(F.round(F.sum(part), 6).alias("score"))
 
@@ -50,8 +46,8 @@ def capped(df: DataFrame, per_file: int = 8) -> DataFrame:
 
 @query("rt05_bm25", f"WITH {BM25.strip()}, capped AS (SELECT *, row_number() OVER (PARTITION BY qid, file_id ORDER BY score DESC, id) AS n FROM bm25) SELECT qid, id, file_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM capped WHERE n <= 8 QUALIFY rank <= 10", "chunks postings questions")
 def rt05(spark: SparkSession, d: str) -> DataFrame:
-    """RT05, WN01, TK01: BM25 per query, 8 of a file at most, ten best."""
-    return ranked(capped(bm25(V.chunks(spark, d), V.questions(spark, d))), limit=10)
+    """RT05: BM25 per query, 8 of a file at most, ten best."""
+    return ranked(capped(bm25(spark, d)), limit=10)
 
 
 @query("ag10_bm25_stats", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term", "chunks postings")
@@ -60,19 +56,27 @@ def ag10(spark, d):
     return V.postings(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-TRI = "WITH p AS (SELECT qid, terms[1] || ' ' || terms[2] AS phrase FROM questions WHERE len(terms) >= 2), hit AS (SELECT qid, c.id, c.file_id, CAST((length(lower(content)) - length(replace(lower(content), phrase, ''))) // length(phrase) AS BIGINT) AS n FROM chunks c, p WHERE contains(lower(content), phrase)) SELECT qid, id, file_id, n, row_number() OVER (PARTITION BY qid ORDER BY n DESC, id) AS rank FROM hit QUALIFY rank <= 50"
+PHR = "phr AS (SELECT qid, c.id, c.file_id, CAST((length(lower(content)) - length(replace(lower(content), phrase, ''))) // length(phrase) AS BIGINT) AS n FROM chunks c, questions WHERE length(phrase) >= 2 AND contains(lower(content), phrase))"
 
 
-@query("rt06_phrase", TRI, "chunks questions")
+def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
+    """RT06: qid, id, file_id, n: chunks that hold the whole phrase of a query, and how often. Candidates share the phrase's
+    longest inner word, which stands in a chunk as a word wherever the phrase does; phrases of one or two words have none
+    and are looked for in every chunk."""
+    q = V.questions(spark, d).select("qid", "phrase", "anchor").filter(F.length("phrase") >= 2)
+    text = V.chunks(spark, d).select("id", "file_id", F.lower("content").alias("low"))
+    met = V.postings(spark, d).select("id", F.col("term").alias("anchor")).join(q.filter("anchor is not null"), "anchor").select("qid", "id", "phrase").join(text, "id")
+    short = text.join(q.filter("anchor is null").select("qid", "phrase"), F.contains("low", "phrase"))
+    hit = met.select("qid", "id", "phrase", "file_id", "low").unionByName(short.select("qid", "id", "phrase", "file_id", "low")).filter(F.contains("low", "phrase"))
+    n = F.floor((F.length("low") - F.length(F.replace("low", "phrase", F.lit("")))) / F.length("phrase"))
+    return hit.select("qid", "id", "file_id", n.cast("long").alias("n"))
+
+
+@query("rt06_phrase", f"WITH {PHR} SELECT qid, id, file_id, n, row_number() OVER (PARTITION BY qid ORDER BY n DESC, id) AS rank FROM phr QUALIFY rank <= 50", "chunks questions")
 def rt06(spark, d):
-    """RT06: whole-phrase recall by occurrences; the few phrases are broadcast to the chunk scan."""
-    p = V.questions(spark, d).filter(F.size("terms") >= 2).select("qid", F.concat_ws(" ", F.col("terms")[0], F.col("terms")[1]).alias("phrase"))
-    low = F.col("low")
-    hit = V.chunks(spark, d).withColumn("low", F.lower("content")).join(p, F.contains(low, F.col("phrase")))
-    n = F.floor((F.length(low) - F.length(F.replace(low, F.col("phrase"), F.lit("")))) / F.length("phrase"))
-    hit = hit.select("qid", "id", "file_id", n.cast("long").alias("n"))
+    """RT06: recall by the whole phrase."""
     w = Window.partitionBy("qid").orderBy(F.desc("n"), "id")
-    return hit.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 50")
+    return phrase_hits(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 50")
 
 
 def doubles(c) -> F.Column:
@@ -110,23 +114,89 @@ def pf03(spark, d):
     return vector_scores(spark, d).filter("score > 0.3").groupBy("qid").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
+#: Longest piece of a file name that is looked up; longer terms are met by their beginning and checked.
+PIECE = 12
+
+
+def name_hits(files: DataFrame, terms: DataFrame, *by: str) -> DataFrame:
+    """Files (id, name) whose name holds a term (``by``, term). Names are short, so all their pieces of up to PIECE
+    characters are joined with the terms' beginnings: an equi-join in place of a search of every name for every term."""
+    low = F.lower("name")
+    places = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
+    pieces = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(PIECE)), lambda n: F.substring(low, i, n))))
+    cut = files.select("id", "name", F.explode(F.array_distinct(pieces)).alias("piece"))
+    met = cut.join(terms.withColumn("piece", F.substring("term", 1, PIECE)), "piece")
+    return met.filter(F.contains(F.lower("name"), F.col("term"))).select(*by, "term", "id", "name").distinct()
+
+
 @query("rt09_filename", "WITH q AS (SELECT DISTINCT regexp_extract(name, '^[a-z0-9]+') AS term FROM files), hit AS (SELECT q.term, f.id, f.name FROM files f JOIN q ON contains(lower(f.name), q.term)) SELECT term, id, name, row_number() OVER (PARTITION BY term ORDER BY id) AS rank FROM hit QUALIFY rank <= 10", "files")
 def rt09(spark, d):
-    """RT09, JN18, WN03: files whose name holds a term."""
+    """RT09: files whose name holds a term, ten of each term."""
     f = V.files(spark, d).select("id", "name")
-    q = f.select(F.regexp_extract("name", "^[a-z0-9]+", 0).alias("term")).distinct()
-    hit = f.join(q, F.contains(F.lower("name"), F.col("term"))).select("term", "id", "name")
+    hit = name_hits(f, f.select(F.regexp_extract("name", "^[a-z0-9]+", 0).alias("term")).distinct())
     w = Window.partitionBy("term").orderBy("id")
     return hit.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10")
 
 
-@query("rt10_graph_recall", "WITH asked AS (SELECT DISTINCT qid, unnest(terms) AS name FROM questions), hit AS (SELECT qid, m.chunk_id AS id, m.mention_count * CASE type WHEN 'standard' THEN 1.0::DOUBLE WHEN 'connector' THEN 0.9::DOUBLE WHEN 'param' THEN 0.8::DOUBLE WHEN 'material' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS s FROM mentions m JOIN asked USING (name)) SELECT qid, id, round(max(s), 6) AS score FROM hit GROUP BY qid, id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 50", "chunks postings questions entities mentions")
-def rt10(spark, d):
-    """RT10 without its one-hop neighbours, RT11: chunks of the entities named in a query, weighted by type."""
+@query("jn18_term_in_name", "SELECT id, count(*) AS hits FROM (SELECT f.id, t.term FROM files f JOIN (SELECT DISTINCT 'src' || (id % 30) AS term FROM files) t ON contains(lower(f.name), t.term)) GROUP BY id", "files")
+def jn18(spark, d):
+    """JN18: number of given terms that each file's name holds."""
+    f = V.files(spark, d).select("id", "name")
+    terms = f.select(F.concat(F.lit("src"), (F.col("id") % 30).cast("string")).alias("term")).distinct()
+    return name_hits(f, terms).groupBy("id").agg(F.count("*").alias("hits"))
+
+
+#: Weight of an entity's type in recall (fixed values), edges that count as strong, and bounds of the recall.
+TYPE_WEIGHT = {"standard": 1.0, "connector": 0.9, "param": 0.8, "material": 0.7, "process": 0.5}
+STRONG, PER_ENTITY, LEADING, NEIGHBOURS, PER_NEIGHBOUR, FADE = 2, 10, 3, 30, 8, 0.6
+_WEIGHT_SQL = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in TYPE_WEIGHT.items()) + " ELSE 0.5::DOUBLE END"
+GRAPH = f"""qe AS (SELECT DISTINCT qid, name, type FROM (SELECT DISTINCT qid, unnest(terms) AS name FROM questions) JOIN entities USING (name)),
+gd AS (SELECT qid, m.chunk_id AS id, m.file_id, m.mention_count * {_WEIGHT_SQL.replace('type', 'qe.type')} AS s FROM qe JOIN mentions m USING (name) QUALIFY row_number() OVER (PARTITION BY qid, name ORDER BY m.mention_count DESC, m.chunk_id) <= {PER_ENTITY}),
+lead_e AS (SELECT qid, name FROM qe QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_WEIGHT_SQL} DESC, name) <= {LEADING}),
+und AS (SELECT source AS a, target AS b, weight FROM edges WHERE weight >= {STRONG} UNION ALL SELECT target, source, weight FROM edges WHERE weight >= {STRONG}),
+nb AS (SELECT DISTINCT qid, b AS name FROM (SELECT qid, b FROM lead_e JOIN und ON und.a = lead_e.name QUALIFY row_number() OVER (PARTITION BY qid, lead_e.name ORDER BY weight DESC, b) <= {NEIGHBOURS})),
+gn AS (SELECT qid, m.chunk_id AS id, m.file_id, {FADE}::DOUBLE * m.mention_count AS s FROM nb JOIN mentions m USING (name) QUALIFY row_number() OVER (PARTITION BY qid, name ORDER BY m.mention_count DESC, m.chunk_id) <= {PER_NEIGHBOUR}),
+graph AS (SELECT qid, id, file_id, round(max(s), 6) AS score FROM (SELECT * FROM gd UNION ALL SELECT * FROM gn) GROUP BY qid, id, file_id)"""
+GRAPH_VIEWS = "chunks postings questions entities mentions edges"
+
+
+def type_weight(kind) -> F.Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_WEIGHT.items() for x in kv]), kind), F.lit(0.5))
+
+
+def first_of(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
+def graph_hits(spark: SparkSession, d: str) -> DataFrame:
+    """RT10: qid, id, file_id, score. Chunks of the entities that a query names, weighted by type, and of the entities at
+    the other end of strong edges of its leading three."""
     asked = V.questions(spark, d).select("qid", F.explode("terms").alias("name")).distinct()
-    w = F.when(F.col("type") == "standard", 1.0).when(F.col("type") == "connector", 0.9).when(F.col("type") == "param", 0.8).when(F.col("type") == "material", 0.7).otherwise(0.5)
-    hit = V.mentions(spark, d).join(asked, "name").groupBy("qid", F.col("chunk_id").alias("id")).agg(F.round(F.max(F.col("mention_count") * w), 6).alias("score"))
-    return ranked(hit, limit=50).drop("rank")
+    named = asked.filter((F.length("name") >= V.NAME) & F.col("name").rlike("^[a-zà-ÿ]+$")).withColumn("type", V.entity_type(F.col("name")))
+    m = V.mentions(spark, d).select("name", F.col("chunk_id").alias("id"), "file_id", F.col("mention_count").alias("m"))
+    order = [F.desc("m"), "id"]
+    # a name that no chunk mentions is no entity
+    known = named.join(m.select("name").distinct(), "name", "left_semi")
+    own = first_of(known.join(m, "name"), ["qid", "name"], order, PER_ENTITY).select("qid", "id", "file_id", (F.col("m") * type_weight(F.col("type"))).alias("s"))
+    lead = first_of(known, ["qid"], [F.desc(type_weight(F.col("type"))), "name"], LEADING).select("qid", F.col("name").alias("a"))
+    e = V.edges(spark, d).filter(F.col("weight") >= STRONG)
+    both = e.select(F.col("source").alias("a"), F.col("target").alias("name"), "weight").union(e.select("target", "source", "weight"))
+    near = first_of(lead.join(both, "a"), ["qid", "a"], [F.desc("weight"), "name"], NEIGHBOURS).select("qid", "name").distinct()
+    other = first_of(near.join(m, "name"), ["qid", "name"], order, PER_NEIGHBOUR).select("qid", "id", "file_id", (F.col("m") * FADE).alias("s"))
+    return own.union(other).groupBy("qid", "id", "file_id").agg(F.round(F.max("s"), 6).alias("score"))
+
+
+@query("rt10_graph_recall", f"WITH {GRAPH} SELECT qid, id, score FROM graph QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 50", GRAPH_VIEWS)
+def rt10(spark, d):
+    """RT10: graph recall with the step to neighbours, 50 best."""
+    return ranked(graph_hits(spark, d), limit=50).select("qid", "id", "score")
+
+
+@query("rt11_type_weights", f"SELECT name, type, {_WEIGHT_SQL} AS weight FROM entities", "chunks postings entities")
+def rt11(spark, d):
+    """RT11: the weight of each entity by its type."""
+    return V.entities(spark, d).select("name", "type", type_weight(F.col("type")).alias("weight"))
 
 
 @query("rt33_sq8", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), r AS (SELECT vec_id, v, list_min(v) AS lo, (list_max(v) - list_min(v)) / 255.0::DOUBLE AS scale FROM v) SELECT vec_id, round(lo, 6) AS vmin, round(scale, 8) AS scale, CAST(list_sum(list_transform(v, lambda x: CAST(floor((x - lo) / scale + 0.500001::DOUBLE) AS BIGINT))) AS BIGINT) AS qsum FROM r")

@@ -1,21 +1,47 @@
-"""Logical relations over the base tables, once as DataFrames and once as SQL for the oracle."""
+"""Logical relations over the base tables, once as DataFrames and once as SQL for the oracle.
+
+Chunks, postings, mentions and edges are what an ingest stores: the first query of a session that needs one writes it as
+Parquet into the shared folder, postings in the order of their terms, and later queries read it back.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import shared_dir, table
 
 CHUNK = 400
+#: Places for the chunks of a document in a chunk's id: more than the longest string can have.
+PLACES = 1 << 24
 TOKEN = "[a-zà-ÿ0-9]+"
+#: Words of four letters or more that say nothing in a query; a parameter.
+STOP = ("about", "also", "and", "avec", "been", "come", "como", "dans", "dass", "dell", "eine", "elle", "from", "have", "haben", "into", "leur", "mais", "mehr", "nicht", "nous", "para", "pero", "pour", "sein", "sich", "sind", "sont", "that", "their", "them", "they", "this", "todo", "tout", "und", "vous", "was", "were", "which", "wird", "with")
+#: Letters of the shortest name in the dictionary of entities.
+NAME = 9
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame], *order: str) -> DataFrame:
+    """The table ``name`` made from the tables of ``d``: written once a session for the same input files."""
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(table(spark, d, "documents").inputFiles())))
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        df = make()
+        if order:
+            df = df.repartition(order[0]).sortWithinPartitions(*order)
+        df.write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """The documents; a table of fewer splits than the cluster has cores is dealt out anew, larger ones are read as they lie."""
     docs, cores = table(spark, d, "documents"), spark.sparkContext.defaultParallelism
-    splits = docs._jdf.queryExecution().toRdd().getNumPartitions()
-    return docs.repartition(cores) if splits < cores else docs
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -31,54 +57,83 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def tokens(text) -> F.Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of CHUNK characters, cut in one pass over each text, so that long texts cost no more for a character."""
-    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-    docs = documents(spark, d).select("doc_id", F.posexplode(pieces).alias("i", "piece"))
-    return docs.select((F.col("doc_id") * 1000 + F.col("i")).alias("id"), F.col("doc_id").alias("file_id"), F.col("i").cast("long").alias("chunk_index"), F.trim("piece").alias("content")).filter("content <> ''")
+    """id, file_id, chunk_index, content, words (their number): pieces of CHUNK characters, cut in one pass over each text."""
 
+    def make():
+        pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+        docs = documents(spark, d).select("doc_id", F.posexplode(pieces).alias("i", "piece"))
+        cut = docs.select((F.col("doc_id") * PLACES + F.col("i")).alias("id"), F.col("doc_id").alias("file_id"), F.col("i").cast("long").alias("chunk_index"), F.trim("piece").alias("content"))
+        return cut.filter("content <> ''").withColumn("words", F.size(tokens(F.col("content"))).cast("long"))
 
-def tokens(text) -> F.Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return stored(spark, d, "chunks", make)
 
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    t = chunks(spark, d).select("id", "file_id", F.explode_outer(tokens(F.col("content"))).alias("term")).filter("term is not null")
-    return t.groupBy("id", "file_id", "term").agg(F.count("*").alias("tf"))
+    """id, file_id, chunk_index, words, term, tf: sorted by term. A chunk's words are counted where it lies."""
+
+    def make():
+        t = chunks(spark, d).select("id", "file_id", "chunk_index", "words", F.explode_outer(tokens(F.col("content"))).alias("term")).filter("term is not null")
+        return t.groupBy("id", "file_id", "chunk_index", "words", "term").agg(F.count("*").alias("tf"))
+
+    return stored(spark, d, "postings", make, "term", "id")
+
+
+def anchor(text) -> F.Column:
+    """The longest token of a text that is neither its first nor its last: a text that holds this one has it as a token."""
+    inner = tokens(text)
+    middle = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
+    return F.array_max(F.transform(middle, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """qid, terms: the first three tokens of four or more characters of each benchmark item."""
-    terms = F.slice(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 4), 1, 3)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(terms).alias("terms"), "text")
+    """qid, terms (all tokens of four or more characters but stop words), phrase (the whole text without operators of a
+    query language), anchor (its longest token that isn't its first or last), text; of each benchmark item."""
+    terms = F.filter(tokens(F.col("text")), lambda t: (F.length(t) >= 4) & ~t.isin(*STOP))
+    phrase = F.trim(F.regexp_replace(F.lower("text"), '[*^:{}"]', ""))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(terms).alias("terms"), phrase.alias("phrase"), anchor(phrase).alias("anchor"), "text")
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
-    """id, name, type: tokens of six or more letters in 20 to 200 chunks, typed by their length."""
-    p = postings(spark, d).filter(F.length("term") >= 6)
-    df = p.groupBy("term").agg(F.count("*").alias("df")).filter("df between 20 and 200")
-    kind = F.element_at(F.array(*map(F.lit, ("connector", "material", "standard", "process", "param"))), (F.length("term") % 5 + 1).cast("int"))
-    return df.select(F.col("term").alias("name"), kind.alias("type"))
+    """name, type: words of NAME letters or more, typed by their length; no word becomes one or ceases to be one with the
+    size of the table."""
+    p = postings(spark, d).select("term").filter((F.length("term") >= NAME) & F.col("term").rlike("^[a-zà-ÿ]+$")).distinct()
+    return p.select(F.col("term").alias("name"), entity_type(F.col("term")).alias("type"))
+
+
+def entity_type(name) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, ("connector", "material", "standard", "process", "param"))), (F.length(name) % 5 + 1).cast("int"))
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
-    return postings(spark, d).join(entities(spark, d), F.col("term") == F.col("name")).select(F.col("id").alias("chunk_id"), "file_id", "name", "type", F.col("tf").alias("mention_count"))
+    p = postings(spark, d).filter((F.length("term") >= NAME) & F.col("term").rlike("^[a-zà-ÿ]+$"))
+    return p.select(F.col("id").alias("chunk_id"), "file_id", "chunk_index", F.col("term").alias("name"), entity_type(F.col("term")).alias("type"), F.col("tf").alias("mention_count"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Co-occurrence edges: pairs of entities of one chunk, weight = chunks."""
-    m = mentions(spark, d).select("chunk_id", "name")
-    a, b = m.alias("a"), m.alias("b")
-    both = a.join(b, (F.col("a.chunk_id") == F.col("b.chunk_id")) & (F.col("a.name") < F.col("b.name")))
-    return both.groupBy(F.col("a.name").alias("source"), F.col("b.name").alias("target")).agg(F.count("*").alias("weight"))
+    """Co-occurrence edges: pairs of entities of one chunk (of 400 characters, so of few), weight = chunks."""
+
+    def make():
+        m = mentions(spark, d).select("chunk_id", "name")
+        a, b = m.alias("a"), m.alias("b")
+        both = a.join(b, (F.col("a.chunk_id") == F.col("b.chunk_id")) & (F.col("a.name") < F.col("b.name")))
+        return both.groupBy(F.col("a.name").alias("source"), F.col("b.name").alias("target")).agg(F.count("*").alias("weight"))
+
+    return stored(spark, d, "edges", make)
 
 
+_STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+_TYPE_SQL = "CASE length(term) % 5 WHEN 0 THEN 'connector' WHEN 1 THEN 'material' WHEN 2 THEN 'standard' WHEN 3 THEN 'process' ELSE 'param' END"
 CTES = {
     "files": "SELECT doc_id AS id, source || '_' || doc_id || '.txt' AS name, lang AS category, '/' || source || '/' || lang AS folder, doc_id % 6 AS authority, doc_id % 17 = 0 AS deleted, CAST(length(text) AS BIGINT) AS size, text FROM documents",
-    "chunks": f"SELECT doc_id * 1000 + i AS id, doc_id AS file_id, CAST(i AS BIGINT) AS chunk_index, trim(substring(text, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK})) AS content FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / {CHUNK}.0) AS BIGINT)))) AS i FROM documents) WHERE trim(substring(text, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK})) <> ''",
-    "postings": f"SELECT id, file_id, term, count(*) AS tf FROM (SELECT id, file_id, unnest(regexp_extract_all(lower(content), '{TOKEN}')) AS term FROM chunks) GROUP BY ALL",
-    "questions": f"SELECT item_id AS qid, text, list_slice(list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda t: length(t) >= 4), 1, 3) AS terms FROM benchmark",
-    "entities": "SELECT term AS name, CASE length(term) % 5 WHEN 0 THEN 'connector' WHEN 1 THEN 'material' WHEN 2 THEN 'standard' WHEN 3 THEN 'process' ELSE 'param' END AS type FROM postings WHERE length(term) >= 6 GROUP BY term HAVING count(*) BETWEEN 20 AND 200",
-    "mentions": "SELECT p.id AS chunk_id, p.file_id, e.name, e.type, p.tf AS mention_count FROM postings p JOIN entities e ON p.term = e.name",
+    "chunks": f"SELECT doc_id * {PLACES} + i AS id, doc_id AS file_id, CAST(i AS BIGINT) AS chunk_index, trim(substring(text, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK})) AS content FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / {CHUNK}.0) AS BIGINT)))) AS i FROM documents) WHERE trim(substring(text, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK})) <> ''",
+    "postings": f"SELECT id, file_id, chunk_index, term, count(*) AS tf FROM (SELECT id, file_id, chunk_index, unnest(regexp_extract_all(lower(content), '{TOKEN}')) AS term FROM chunks) GROUP BY ALL",
+    "questions": f"SELECT item_id AS qid, text, list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda t: length(t) >= 4 AND t NOT IN ({_STOP_SQL})) AS terms, trim(regexp_replace(lower(text), '[*^:{{}}\"]', '', 'g')) AS phrase FROM benchmark",
+    "entities": f"SELECT DISTINCT term AS name, {_TYPE_SQL} AS type FROM postings WHERE length(term) >= {NAME} AND regexp_full_match(term, '[a-zà-ÿ]+')",
+    "mentions": "SELECT p.id AS chunk_id, p.file_id, p.chunk_index, e.name, e.type, p.tf AS mention_count FROM postings p JOIN entities e ON p.term = e.name",
     "edges": "SELECT a.name AS source, b.name AS target, count(*) AS weight FROM mentions a JOIN mentions b ON a.chunk_id = b.chunk_id AND a.name < b.name GROUP BY a.name, b.name",
 }
