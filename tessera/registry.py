@@ -9,7 +9,7 @@ from .plans.views import CTES
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("retrieval", "fusion", "text", "graph", "storage", "analytics", "joins", "streams", "ranking")
+MODULES = ("retrieval", "fusion", "text", "graph", "storage", "analytics", "joins", "streams", "ranking", "rules", "tables", "listings", "queries")
 
 
 def query(name: str, sql: str | None = None, views: str = ""):
@@ -21,7 +21,9 @@ def query(name: str, sql: str | None = None, views: str = ""):
             own = ", ".join(f"{v} AS ({CTES[v]})" for v in views.split())
             body = sql.strip()
             if own:
-                body = f"WITH {own}, {body[5:]}" if body.startswith("WITH ") else f"WITH {own} {body}"
+                deep = "RECURSIVE " if body.startswith("WITH RECURSIVE ") else ""
+                rest = body.removeprefix("WITH ").removeprefix("RECURSIVE ")
+                body = f"WITH {deep}{own}, {rest}" if body.startswith("WITH ") else f"WITH {own} {body}"
             ORACLES[name] = body
         return f
 
