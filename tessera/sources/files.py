@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +39,11 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select("path", parse("content").alias("p")).select("path", "p.text", "p.rejected")
+
+
+def csv_lines(text: str | None) -> list[str]:
+    """SC04: rows of a CSV text as tab-separated col=value; the separator is the one of , ; tab | that the first line has
+    most of. Empty cells are left out, cells beyond the header stand without a name; null and empty texts have no rows."""
+    rows = [r for r in csv.reader(io.StringIO(text or ""), delimiter=max(",;\t|", key=(text or "").split("\n", 1)[0].count)) if any(r)]
+    names = rows[0] if rows else []
+    return ["\t".join([f"{names[i]}={c}" if i < len(names) else c for i, c in enumerate(r) if c]) for r in rows[1:]]
