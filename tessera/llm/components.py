@@ -49,6 +49,15 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels.union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component once further links (a, b) join groups: only the links between groups are connected, not their members."""
+    name = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"own_{c}"))
+    ends = cut(links.join(name("a"), "a", "left").join(name("b"), "b", "left").select("a", "b", F.coalesce("own_a", "a").alias("x"), F.coalesce("own_b", "b").alias("y")))
+    joined = connected(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("_old"), F.col("component").alias("_new"))
+    every = groups.select("id", "component").union(ends.select(F.col("a").alias("id"), F.col("x").alias("component"))).union(ends.select("b", "y")).distinct()
+    return every.join(joined, F.col("component") == F.col("_old"), "left").select("id", F.coalesce("_new", "component").alias("component"))
+
+
 def compare_stars(stars: DataFrame, texts: DataFrame, prepare: Callable, similar: Callable) -> DataFrame:
     """Links (a, b) among the pairs of ``stars`` (hub, member, distinct) that pass similar(prepare(text), prepare(text)).
 
@@ -86,7 +95,7 @@ def compare_stars(stars: DataFrame, texts: DataFrame, prepare: Callable, similar
     return ready.mapInArrow(work, "a long, b long")
 
 
-def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed: Callable, prepare: Callable, similar: Callable, extra: list[str], narrow: tuple[Callable, Callable] | None = None, pairs: DataFrame | None = None) -> DataFrame:
+def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed: Callable, prepare: Callable, similar: Callable, extra: list[str], narrow: tuple[Callable, Callable] | None = None, pairs: DataFrame | None = None, turns: int = 20) -> DataFrame:
     """id, component of all ids that a verified link joins to another.
 
     texts: id and text, or a function that makes them for some stars. buckets: key, id and ``extra`` columns that ``allowed(left, right)`` (a Column of two prefixes) needs; it must hold
@@ -96,7 +105,8 @@ def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed
     group whose texts are not all like its least one. Then only pairs of one bucket that are still in different groups
     are compared, all of them, so no link that could join two groups is lost.
 
-    pairs: further (hub, member) to be compared, of buckets that aren't among ``buckets``.
+    pairs: further (hub, member) to be compared, of buckets that aren't among ``buckets``. turns: how often further hubs are
+    tried before the pairs that are left; it changes the work, not the groups.
 
     narrow: for buckets that hold many unlike texts, which hubs don't thin out, (keys, bound): keys(ids, texts) gives
     rows (key, id, ``extra``, suffix) so that similar texts share a key at which bound(left, right) holds as well."""
@@ -125,7 +135,7 @@ def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed
         per = size.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"), F.max_by("own", F.struct("n", "own")).alias("main")).filter("n * n > square")
         left, members = per.agg(F.sum((F.col("n") * F.col("n") - F.col("square")) / 2), F.sum("n")).first()
         many = (left or 0) > PARTNERS * (members or 0)
-        if not many or (before and left > before * 0.9):
+        if not many or turn >= turns or (before and left > before * 0.9):
             break
         turn, before = turn + 1, left
         # by the turn's hash, so that each turn has other hubs; min() combines before the shuffle
@@ -139,7 +149,7 @@ def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed
         if found.isEmpty():
             break
         tried = tried.union(fresh.select(F.col("_lo").alias("hub"), F.col("_hi").alias("member")))
-        groups = cut(connected(found.union(groups.select(F.col("component").alias("a"), F.col("id").alias("b")))))
+        groups = cut(merged(groups, found))
         name = groups.select("id", F.col("component").alias("own"))
         rest = cut(rest.drop("own").join(name, "id", "left").withColumn("own", F.coalesce("own", "id")))
     left, right = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
@@ -155,4 +165,4 @@ def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed
     if more.isEmpty():
         return groups
     second = compare_stars(more, text_of(more), prepare, similar)
-    return connected(second.union(groups.select(F.col("component").alias("a"), F.col("id").alias("b"))))
+    return merged(groups, cut(second))
