@@ -20,7 +20,7 @@ def jn14(spark, d):
 
 @query("jn01_three_way", "SELECT f.category, p.term, count(*) AS chunks, CAST(sum(p.tf) AS BIGINT) AS tf FROM postings p JOIN chunks c ON c.id = p.id JOIN files f ON f.id = c.file_id WHERE NOT f.deleted AND p.term IN ('the', 'la', 'und') GROUP BY ALL", "files chunks postings")
 def jn01(spark, d):
-    """JN01, JN02, JN04: index, chunks and live files."""
+    """JN01: index, chunks and live files."""
     f = V.files(spark, d).filter("not deleted").select(F.col("id").alias("file_id"), "category")
     p = V.postings(spark, d).filter(F.col("term").isin("the", "la", "und")).select("id", "term", "tf")
     return p.join(V.chunks(spark, d).select("id", "file_id"), "id").join(f, "file_id").groupBy("category", "term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf"))
@@ -28,7 +28,7 @@ def jn01(spark, d):
 
 @query("jn05_edge_endpoints", "SELECT e.source, a.type AS source_type, e.target, b.type AS target_type, e.weight FROM edges e JOIN entities a ON a.name = e.source JOIN entities b ON b.name = e.target WHERE e.weight >= 4", "chunks postings entities mentions edges")
 def jn05(spark, d):
-    """JN05, JN06, JN08: both endpoints of an edge."""
+    """JN05: both endpoints of an edge."""
     n = V.entities(spark, d)
     a = n.select(F.col("name").alias("source"), F.col("type").alias("source_type"))
     b = n.select(F.col("name").alias("target"), F.col("type").alias("target_type"))
@@ -37,7 +37,7 @@ def jn05(spark, d):
 
 @query("jn09_same_chunk", "SELECT DISTINCT a.name AS material, b.name AS standard FROM mentions a JOIN mentions b ON a.chunk_id = b.chunk_id WHERE a.type = 'material' AND b.type = 'standard'", "chunks postings entities mentions")
 def jn09(spark, d):
-    """JN09, GR10: materials and standards of one chunk."""
+    """JN09: materials and standards of one chunk."""
     m = V.mentions(spark, d)
     a = m.filter("type = 'material'").select("chunk_id", F.col("name").alias("material"))
     b = m.filter("type = 'standard'").select("chunk_id", F.col("name").alias("standard"))

@@ -254,7 +254,7 @@ def sc25(spark, d):
     return g.select("file_id", F.md5(F.array_join(F.transform("c", lambda x: x["content"]), "\n")).alias("digest"), F.size("c").cast("long").alias("chunks"))
 
 
-@query("sc20_folder_tree", "WITH RECURSIVE tree(id, parent) AS (SELECT p_partkey, p_partkey // 3 FROM part), walk(id, at, depth, path) AS (SELECT id, parent, 1, ':' || id || ':' FROM tree UNION ALL SELECT walk.id, tree.parent, depth + 1, ':' || tree.id || path FROM walk JOIN tree ON tree.id = walk.at WHERE depth < 20) SELECT id, CAST(max(depth) AS BIGINT) AS depth, arg_max(path, depth) AS path FROM walk GROUP BY id")
+@query("sc20_folder_tree", "WITH RECURSIVE tree(id, parent) AS (SELECT p_partkey, p_partkey // 3 FROM part), walk(id, up, depth, path) AS (SELECT id, parent, 1, ':' || id || ':' FROM tree UNION ALL SELECT walk.id, tree.parent, depth + 1, ':' || tree.id || path FROM walk JOIN tree ON tree.id = walk.up WHERE depth < 20) SELECT id, CAST(max(depth) AS BIGINT) AS depth, arg_max(path, depth) AS path FROM walk GROUP BY id")
 def sc20(spark, d):
     """SC20: the path of each folder from the root, at most twenty deep; each step is a join of all folders still open, and
     the walk ends when none is."""

@@ -11,6 +11,7 @@ from ..session import table
 from ..sources import files as S
 from .retrieval import cosine, doubles
 from .rules import ASKED_SQL, MODEL_RULE, asked
+from .text import FOREIGN_SQL, normalize_han
 
 CJK = "[一-鿿]"
 
@@ -63,7 +64,7 @@ def rt30(spark, d):
     return n.select("id", F.size("c").cast("long").alias("cited"), F.size("bad").cast("long").alias("phantom"), F.round(share, 3).alias("score"), F.trim(stripped).alias("stripped"))
 
 
-@query("rt31_reference_context", "WITH c AS (SELECT DISTINCT file_id, content, min(chunk_index) AS at FROM chunks GROUP BY file_id, content), b AS (SELECT *, least(length(content), 800) AS n, coalesce(sum(least(length(content), 800)) OVER (PARTITION BY file_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM c) SELECT file_id, count(*) AS refs, md5(string_agg(substring(content, 1, 800), chr(10) ORDER BY at)) AS digest FROM b WHERE held < 6000 GROUP BY file_id", "chunks")
+@query("rt31_reference_context", "WITH c AS (SELECT DISTINCT file_id, content, min(chunk_index) AS pos FROM chunks GROUP BY file_id, content), b AS (SELECT *, least(length(content), 800) AS n, coalesce(sum(least(length(content), 800)) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM c) SELECT file_id, count(*) AS refs, md5(string_agg(substring(content, 1, 800), chr(10) ORDER BY pos)) AS digest FROM b WHERE held < 6000 GROUP BY file_id", "chunks")
 def rt31(spark, d):
     """RT31: references without repeats, 800 characters each at most, until 6000 are reached."""
     c = V.chunks(spark, d).groupBy("file_id", "content").agg(F.min("chunk_index").alias("at"))
@@ -149,11 +150,9 @@ def tx08(spark, d):
     return s.withColumn("label", F.when(F.col("quality") >= 80, "excellent").when(F.col("quality") >= 60, "good").when(F.col("quality") >= 40, "fair").otherwise("poor"))
 
 
-@query("tx23_clean_chunks", "SELECT c.id, c.file_id, c.chunk_index, trim(regexp_replace(regexp_replace(content, '[぀-ヿ가-힯-]', ' ', 'g'), '[ \t]+', ' ', 'g')) AS content FROM chunks c WHERE length(trim(content)) >= 10", "chunks")
+@query("tx23_clean_chunks", f"SELECT c.id, c.file_id, c.chunk_index, trim(regexp_replace(regexp_replace(content, '{FOREIGN_SQL}', ' ', 'g'), '[ \t]+', ' ', 'g')) AS content FROM chunks c WHERE length(trim(content)) >= 10", "chunks")
 def tx23(spark, d):
     """TX23: chunks normalised, short ones dropped, all other fields kept."""
-    from .text import normalize_han
-
     return V.chunks(spark, d).filter(F.length(F.trim("content")) >= 10).select("id", "file_id", "chunk_index", normalize_han(F.col("content")).alias("content"))
 
 

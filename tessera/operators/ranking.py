@@ -16,7 +16,7 @@ TOP = f"{BM25}, top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s
 
 @query("rt04_dynamic_weights", f"SELECT item_id, class, {_W_SQL(0)} AS w_vec, {_W_SQL(1)} AS w_bm25 FROM (SELECT item_id, {_CLASS_SQL} AS class FROM benchmark)")
 def rt04(spark, d):
-    """RT03, RT04: a query's class and the weights of its recalls."""
+    """RT04: a query's class and the weights of its recalls."""
     return table(spark, d, "benchmark").select("item_id", query_class(F.col("text")).alias("class")).select("item_id", "class", class_weight(F.col("class"), 0).alias("w_vec"), class_weight(F.col("class"), 1).alias("w_bm25"))
 
 
@@ -34,7 +34,7 @@ def rt07(spark, d):
     "chunks postings questions",
 )
 def rt16(spark, d):
-    """RT16, RT20: local re-rank of the ten best: term frequency, or a term inside a word; blended with the first score."""
+    """RT16: local re-rank of the ten best: term frequency, or a term inside a word; blended with the first score."""
     top = ranked(bm25(spark, d), limit=10)
     asked = V.questions(spark, d).select("qid", "terms")
     t = top.join(V.chunks(spark, d).select("id", "content"), "id").join(asked, "qid").withColumn("words", V.tokens(F.col("content")))
@@ -64,7 +64,7 @@ def pf11(spark, d):
 
 @query("rt19_models", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(text), '[A-Z]{2,}[-_]?[0-9]{2,}'))), ' ') AS models FROM documents")
 def rt19(spark, d):
-    """RT19, RT24: model codes in a text, whatever their case."""
+    """RT19 over the test texts: model codes in a text, whatever their case."""
     codes = F.regexp_extract_all(F.upper("text"), F.lit("[A-Z]{2,}[-_]?[0-9]{2,}"), F.lit(0))
     return V.documents(spark, d).select("doc_id", F.array_join(F.array_sort(F.array_distinct(codes)), " ").alias("models"))
 
@@ -83,7 +83,7 @@ def gr04(spark, d):
 
 @query("gr05_prefix_rules", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)^standard') THEN 'norm' WHEN regexp_matches(p_type, '(?i)^(small|medium)') THEN 'size' WHEN regexp_matches(p_type, '(?i)^(economy|promo)') THEN 'price' ELSE 'other' END AS domain FROM part")
 def gr05(spark, d):
-    """GR05, GR11: ordered prefix rules, the first match wins, with a default."""
+    """GR05: ordered prefix rules, the first match wins, with a default."""
     hit = lambda p: F.col("p_type").rlike(p)
     domain = F.when(hit("(?i)^standard"), "norm").when(hit("(?i)^(small|medium)"), "size").when(hit("(?i)^(economy|promo)"), "price").otherwise("other")
     return table(spark, d, "part").select("p_partkey", domain.alias("domain"))
@@ -99,7 +99,10 @@ def packs(text, size: int = 400):
     return F.coalesce(F.aggregate(parts, start, step, lambda s: s["n"] + (s["run"] > 0).cast("int")), F.lit(0)).cast("long")
 
 
-@query("wn05_packing")
+@query("wn05_packing", """WITH RECURSIVE p AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: length(x)) AS l FROM documents),
+w(doc_id, l, i, packs, run) AS (SELECT doc_id, l, 0, 0, 0 FROM p UNION ALL
+ SELECT doc_id, l, i + 1, packs + CASE WHEN run > 0 AND run + l[i + 1] > 400 THEN 1 ELSE 0 END, CASE WHEN run > 0 AND run + l[i + 1] > 400 THEN 0 ELSE run END + l[i + 1] FROM w WHERE i < len(l))
+SELECT doc_id, CAST(packs + CASE WHEN run > 0 THEN 1 ELSE 0 END AS BIGINT) AS packs FROM w WHERE i = coalesce(len(l), 0)""")
 def wn05(spark, d):
     """WN05: paragraphs packed into pieces of 400 characters."""
     return V.documents(spark, d).select("doc_id", packs(F.col("text")).alias("packs"))

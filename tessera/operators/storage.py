@@ -20,30 +20,34 @@ def latest(df: DataFrame, keys: list[str], *by) -> DataFrame:
 
 @query("sk02_upsert_replace", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def sk02(spark, d):
-    """SK02, SK04, SK05, SK10: upsert, last writer wins."""
+    """SK02 over a log: upsert, last writer wins."""
     e = table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts")
     return latest(e, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "value")
 
 
 @query("sk06_soft_delete", "SELECT category, count(*) FILTER (WHERE NOT deleted) AS live, count(*) FILTER (WHERE deleted) AS bin FROM files GROUP BY category", "files")
 def sk06(spark, d):
-    """SK06, SK19: live files and the bin."""
+    """SK06, read: live files and the bin."""
     return V.files(spark, d).groupBy("category").agg(F.count(F.when(~F.col("deleted"), 1)).alias("live"), F.count(F.when(F.col("deleted"), 1)).alias("bin"))
 
 
 @query("sk07_cascade_delete", "SELECT file_id, count(*) AS chunks FROM chunks WHERE file_id NOT IN (SELECT id FROM files WHERE deleted) GROUP BY file_id", "files chunks")
 def sk07(spark, d):
-    """SK07, SK15, SK22: what is left of chunks once deleted files are gone."""
+    """SK07, read: what is left of chunks once deleted files are gone."""
     dead = V.files(spark, d).filter("deleted").select(F.col("id").alias("file_id"))
     return V.chunks(spark, d).join(dead, "file_id", "left_anti").groupBy("file_id").agg(F.count("*").alias("chunks"))
 
 
-@query("sk09_unique_slugs", "SELECT id, CASE WHEN n = 1 THEN base ELSE base || '-' || (n - 1) END AS slug FROM (SELECT id, category AS base, row_number() OVER (PARTITION BY category ORDER BY id) AS n FROM files WHERE id % 10 = 3)", "files")
+@query("sk09_unique_slugs", "SELECT id, CASE WHEN n = 1 THEN base ELSE base || '-' || (n - 1) END AS slug FROM (SELECT id, category AS base, row_number() OVER (PARTITION BY category ORDER BY id) AS n FROM files)", "files")
 def sk09(spark, d):
-    """SK09: slugs made unique by a counter."""
-    f = V.files(spark, d).filter("id % 10 = 3").select("id", F.col("category").alias("base"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("id"))
-    return f.withColumn("n", n).select("id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", (F.col("n") - 1).cast("string"))).alias("slug"))
+    """SK09: slugs made unique by a counter. A base's files are numbered in ranges of ids: within a range by a window, and
+    from the sum of the ranges before it, so that one base is no single task."""
+    f = V.files(spark, d).select("id", F.col("category").alias("base")).withColumn("range", F.floor(F.col("id") / 4096))
+    own = F.row_number().over(Window.partitionBy("base", "range").orderBy("id"))
+    before = Window.partitionBy("base").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = f.groupBy("base", "range").agg(F.count("*").alias("n")).withColumn("held", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    n = f.withColumn("own", own).join(counts, ["base", "range"]).withColumn("n", F.col("own") + F.col("held"))
+    return n.select("id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", (F.col("n") - 1).cast("string"))).alias("slug"))
 
 
 @query("ag17_duplicate_files", "SELECT file_id AS id, digest, row_number() OVER (PARTITION BY digest ORDER BY file_id) > 1 AS duplicate FROM (SELECT file_id, md5(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT DISTINCT file_id, md5(content) AS h FROM chunks) GROUP BY file_id)", "chunks")
@@ -72,7 +76,7 @@ def st08(spark, d):
 
 @query("so01_accessible_files", "WITH perm AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'u1' END AS usr, CASE WHEN id % 5 = 1 THEN 'reader' END AS role FROM files WHERE id % 5 < 3) SELECT id FROM perm WHERE usr = 'u1' OR role = 'reader' UNION SELECT id FROM files WHERE NOT deleted AND id NOT IN (SELECT id FROM perm)", "files")
 def so01(spark, d):
-    """SO01, SK17: granted to the user or a role, or under no rule at all."""
+    """SO01: granted to the user or a role, or under no rule at all."""
     f = V.files(spark, d).select("id", "deleted")
     perm = f.filter("id % 5 < 3").select("id", F.when(F.col("id") % 5 == 0, "u1").alias("usr"), F.when(F.col("id") % 5 == 1, "reader").alias("role"))
     granted = perm.filter("usr = 'u1' or role = 'reader'").select("id")
@@ -81,7 +85,7 @@ def so01(spark, d):
 
 @query("so02_index_reconcile", "SELECT 'orphan' AS state, count(*) AS n FROM (SELECT DISTINCT id FROM postings EXCEPT SELECT id FROM chunks WHERE id % 13 <> 0) UNION ALL SELECT 'missing', count(*) FROM (SELECT id FROM chunks WHERE id % 13 <> 0 EXCEPT SELECT id FROM postings)", "chunks postings")
 def so02(spark, d):
-    """SO02, SO03: index rows without a chunk, chunks without an index row."""
+    """SO02: index rows without a chunk, chunks without an index row."""
     have = V.postings(spark, d).select("id").distinct()
     rows = V.chunks(spark, d).filter("id % 13 <> 0").select("id")
     count = lambda name, df: df.agg(F.lit(name).alias("state"), F.count("*").alias("n"))
@@ -90,7 +94,7 @@ def so02(spark, d):
 
 @query("st12_health", "SELECT 'labels_without_document' AS invariant, count(*) AS n FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id) UNION ALL SELECT 'orders_without_customer', count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey) UNION ALL SELECT 'lineitem_without_order', count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey) UNION ALL SELECT 'wrong_length', count(*) FROM documents WHERE n_chars <> length(text) UNION ALL SELECT 'empty_text', count(*) FROM documents WHERE text = ''")
 def st12(spark, d):
-    """ST12, JN15, JN16: one row of violations for each invariant."""
+    """ST12: one row of violations for each invariant."""
     t = lambda n: table(spark, d, n)
     docs = t("documents")
     checks = {
@@ -105,20 +109,20 @@ def st12(spark, d):
 
 @query("pf01_metadata_filter", "SELECT id, name FROM files WHERE category = 'en' AND authority >= 3 AND (folder = '/src1' OR starts_with(folder, '/src1/')) AND NOT deleted", "files")
 def pf01(spark, d):
-    """PF01, PF02, SC22: category, authority and folder filters."""
+    """PF01: category, authority and folder filters."""
     return V.files(spark, d).filter((F.col("category") == "en") & (F.col("authority") >= 3) & ((F.col("folder") == "/src1") | F.col("folder").startswith("/src1/")) & ~F.col("deleted")).select("id", "name")
 
 
 @query("pf14_upload_gate", "SELECT page_id, CASE WHEN html IS NULL OR length(html) = 0 THEN 'empty' WHEN length(html) > 3000 THEN 'too_large' ELSE 'ok' END AS verdict, sha256(html) AS digest FROM pages")
 def pf14(spark, d):
-    """PF14, SC03: size gate with digest."""
+    """PF14: size gate with digest."""
     v = F.when(F.col("html").isNull() | (F.length("html") == 0), "empty").when(F.length("html") > 3000, "too_large").otherwise("ok")
     return table(spark, d, "pages").select("page_id", v.alias("verdict"), F.sha2("html", 256).alias("digest"))
 
 
 @query("sk14_backfill_counts", "SELECT f.id, f.name, count(c.id) AS chunk_count FROM files f LEFT JOIN chunks c ON c.file_id = f.id GROUP BY ALL", "files chunks")
 def sk14(spark, d):
-    """SK14, JN03, JN16: chunk counts written back to files."""
+    """SK14, read: chunk counts written back to files."""
     n = V.chunks(spark, d).groupBy("file_id").agg(F.count("*").alias("chunk_count"))
     f = V.files(spark, d).select("id", "name")
     return f.join(n, F.col("id") == F.col("file_id"), "left").select("id", "name", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
@@ -126,6 +130,6 @@ def sk14(spark, d):
 
 @query("sc21_ancestors", "SELECT id, '/' || source_part || '/' AS parent, CAST(len(string_split(folder, '/')) - 1 AS BIGINT) AS depth FROM (SELECT id, folder, string_split(folder, '/')[2] AS source_part FROM files)", "files")
 def sc21(spark, d):
-    """SC20, SC21: a folder's parent chain."""
+    """SC21: a folder's parent chain."""
     p = F.split("folder", "/")
     return V.files(spark, d).select("id", F.concat(F.lit("/"), p[1], F.lit("/")).alias("parent"), (F.size(p) - 1).cast("long").alias("depth"))

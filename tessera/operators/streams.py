@@ -43,7 +43,12 @@ def allow_calls(times: list[float], most: int = 5, span: float = 60.0) -> list[b
     return out
 
 
-@query("st02_rate_limit")
+@query("st02_rate_limit", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w(user_id, n, event_id, allowed, kept) AS (
+ SELECT user_id, n, event_id, true, [t] FROM e WHERE n = 1 UNION ALL
+ SELECT user_id, n, event_id, len(live) < 5, CASE WHEN len(live) < 5 THEN list_append(live, t) ELSE live END
+ FROM (SELECT e.user_id, e.n, e.event_id, e.t, list_filter(w.kept, lambda k: k > e.t - 129600) AS live FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT event_id, allowed FROM w""")
 def st02(spark, d):
     """ST02: 5 calls a user in 36 hours, by a state that a frame can't express."""
 
@@ -72,7 +77,12 @@ def breaker(events: list[tuple[float, bool]], most: int = 5, rest: float = 60.0)
     return out
 
 
-@query("st03_circuit_breaker")
+@query("st03_circuit_breaker", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w(user_id, n, event_id, state, fails, opened) AS (
+ SELECT user_id, n, event_id, 'closed', CASE WHEN ok THEN 0 ELSE 1 END, CAST(NULL AS DOUBLE) FROM e WHERE n = 1 UNION ALL
+ SELECT user_id, n, event_id, state, CASE WHEN state = 'open' THEN fails WHEN ok THEN 0 ELSE fails + 1 END, CASE WHEN state = 'open' THEN opened WHEN ok THEN NULL WHEN state = 'half-open' OR fails + 1 >= 2 THEN t ELSE opened END
+ FROM (SELECT e.user_id, e.n, e.event_id, e.ok, e.t, w.fails, w.opened, CASE WHEN w.opened IS NULL THEN 'closed' WHEN e.t - w.opened >= 86400 THEN 'half-open' ELSE 'open' END AS state FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT event_id, state FROM w""")
 def st03(spark, d):
     """ST03: a breaker for each user over events, errors being failures."""
 
@@ -85,7 +95,7 @@ def st03(spark, d):
 
 @query("st04_retries", "SELECT event_id, CAST(event_id % 5 AS BIGINT) AS retries, CASE WHEN event_type = 'error' AND event_id % 5 < 3 THEN 'retrying' WHEN event_type = 'error' THEN 'dead' ELSE 'done' END AS state, CASE WHEN event_type = 'error' AND event_id % 5 < 3 THEN CAST(5 * pow(2, event_id % 5) AS BIGINT) END AS wait_s FROM events")
 def st04(spark, d):
-    """ST04, SK16: backoff of 5 x 2^n seconds, three retries, then dead."""
+    """ST04: backoff of 5 x 2^n seconds, three retries, then dead."""
     n, bad = F.col("event_id") % 5, F.col("event_type") == "error"
     state = F.when(bad & (n < 3), "retrying").when(bad, "dead").otherwise("done")
     return table(spark, d, "events").select("event_id", n.alias("retries"), state.alias("state"), F.when(bad & (n < 3), (F.pow(F.lit(2.0), n) * 5).cast("long")).alias("wait_s"))

@@ -31,17 +31,17 @@ def tx02(spark, d):
     return V.documents(spark, d).select("doc_id", big(F.size(F.filter(F.split("text", "\n", -1), lambda p: F.trim(p) != ""))).alias("paragraphs"))
 
 
-@query("tx04_context_prefix", "SELECT c.id, substring('[' || f.name || ' | ' || f.category || '] ', 1, 80) || substring(content, 1, 40) AS text FROM chunks c JOIN files f ON f.id = c.file_id", "files chunks")
+@query("tx04_context_prefix", "SELECT c.id, substring('[' || f.name || ' | ' || f.category || '] ', 1, 80) || content AS text FROM chunks c JOIN files f ON f.id = c.file_id", "files chunks")
 def tx04(spark, d):
     """TX04: chunk with its source in front."""
     f = V.files(spark, d).select(F.col("id").alias("file_id"), "name", "category")
     head = F.substring(F.concat(F.lit("["), "name", F.lit(" | "), "category", F.lit("] ")), 1, 80)
-    return V.chunks(spark, d).join(f, "file_id").select("id", F.concat(head, F.substring("content", 1, 40)).alias("text"))
+    return V.chunks(spark, d).join(f, "file_id").select("id", F.concat(head, "content").alias("text"))
 
 
 @query("tx05_clean_with_fallback", "WITH g AS (SELECT file_id, id, length(regexp_replace(content, '[^a-zA-Z]', '', 'g')) * 2 >= length(content) AS good FROM chunks), n AS (SELECT *, sum(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY file_id) AS kept FROM g) SELECT file_id, count(*) AS chunks, min(id) AS first_id FROM n WHERE good OR kept = 0 GROUP BY file_id", "chunks")
 def tx05(spark, d):
-    """TX05, TX23: drop chunks that are mostly not letters; a file that would lose all keeps all."""
+    """TX05: drop chunks that are mostly not letters; a file that would lose all keeps all."""
     good = F.length(F.regexp_replace("content", "[^a-zA-Z]", "")) * 2 >= F.length("content")
     g = V.chunks(spark, d).select("file_id", "id", good.alias("good"))
     kept = F.sum(F.when(F.col("good"), 1).otherwise(0)).over(Window.partitionBy("file_id"))
@@ -50,6 +50,7 @@ def tx05(spark, d):
 
 #: Private-use, kana and hangul ranges (fixed values).
 FOREIGN = "[\\u3040-\\u30ff\\uac00-\\ud7af\\ue000-\\uf8ff]"
+FOREIGN_SQL = "[\u3040-\u30ff\uac00-\ud7af\ue000-\uf8ff]"
 
 
 def normalize_han(text, trad: str = "", simp: str = "") -> F.Column:
@@ -65,7 +66,7 @@ def tx06(spark, d):
 
 @query("tx07_han_ratio", "SELECT doc_id, round(length(regexp_replace(text, '[^一-鿿]', '', 'g')) / greatest(length(text), 1), 4) AS han, length(text) > 50 AND length(regexp_replace(text, '[^一-鿿]', '', 'g')) < 0.3 * length(text) AS dropped FROM documents")
 def tx07(spark, d):
-    """TX07, PF06: share of Han characters; long texts without them are other languages."""
+    """TX07: share of Han characters; long texts without them are other languages."""
     han = F.length(F.regexp_replace("text", "[^一-鿿]", ""))
     return V.documents(spark, d).select("doc_id", F.round(han / F.greatest(F.length("text"), F.lit(1)), 4).alias("han"), ((F.length("text") > 50) & (han < F.length("text") * 0.3)).alias("dropped"))
 
@@ -85,7 +86,7 @@ def tx08(spark, d):
 
 @query("tx09_garble", "WITH s AS (SELECT doc_id, i, substring(text, CAST(i * (length(text) // 24) + 1 AS BIGINT), 800) AS seg FROM documents, range(0, 24) r(i)), q AS (SELECT doc_id, i, length(regexp_replace(seg, '[^a-zA-ZÀ-ÿ0-9 ]', '', 'g')) / greatest(length(seg), 1) AS ratio FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ratio, i) AS rn FROM q) SELECT doc_id, round(avg(ratio), 6) AS low, avg(ratio) < 0.45 AS garbled FROM o WHERE rn IN (2, 3) GROUP BY doc_id")
 def tx09(spark, d):
-    """TX09, WN11: median of the four least readable of 24 sampled segments; kept inside a row, so no shuffle."""
+    """TX09: median of the four least readable of 24 sampled segments; kept inside a row, so no shuffle."""
     step = F.floor(F.length("text") / 24)
     seg = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.substring(F.col("text"), (i * step + 1).cast("int"), F.lit(800)))
     ratio = F.array_sort(F.transform(seg, lambda s: F.length(F.regexp_replace(s, "[^a-zA-ZÀ-ÿ0-9 ]", "")) / F.greatest(F.length(s), F.lit(1))))
@@ -95,10 +96,10 @@ def tx09(spark, d):
 
 @query("tx10_headers", "WITH l AS (SELECT source, regexp_extract(text, '^[^\n]*') AS line FROM documents), g AS (SELECT source, line, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source) SELECT g.source, line, n FROM g JOIN p USING (source) WHERE n >= greatest(3, 0.1 * pages)")
 def tx10(spark, d):
-    """TX10, AG11, WN08: first lines that recur over a source's documents, like page headers."""
+    """TX10: first lines that recur over a source's documents, like page headers."""
     docs = V.documents(spark, d).select("source", F.regexp_extract("text", "^[^\n]*", 0).alias("line"))
     pages = docs.groupBy("source").agg(F.count("*").alias("pages"))
-    return docs.groupBy("source", "line").agg(F.count("*").alias("n")).join(F.broadcast(pages), "source").filter(F.col("n") >= F.greatest(F.lit(3.0), F.col("pages") * 0.1)).select("source", "line", "n")
+    return docs.groupBy("source", "line").agg(F.count("*").alias("n")).join(pages, "source").filter(F.col("n") >= F.greatest(F.lit(3.0), F.col("pages") * 0.1)).select("source", "line", "n")
 
 
 #: Category dictionary: first match wins. A parameter; the default profile suits the test texts.
@@ -107,7 +108,7 @@ CATEGORIES = (("legal", ("license", "copyright")), ("contact", ("@", "http")), (
 
 @query("tx11_classify", "SELECT doc_id, CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'copyright') THEN 'legal' WHEN contains(text, '@') OR contains(text, 'http') THEN 'contact' WHEN contains(text, '###') OR contains(text, '$$$') THEN 'noise' WHEN contains(text, '. ') THEN 'prose' ELSE 'other' END AS category FROM documents")
 def tx11(spark, d):
-    """TX11, TX12, TX13: dictionary classification, first match wins."""
+    """TX11 over the test texts: dictionary classification, first match wins."""
     low, ladder = F.lower("text"), F
     for name, words in CATEGORIES:
         hit = F.lit(False)
@@ -229,5 +230,5 @@ def sc04(spark, d):
 
 @query("sc14_extensions", "SELECT regexp_extract(url, '^[a-z]+') AS scheme, count(*) AS pages, count(*) FILTER (WHERE length(html) >= 20) AS parsed FROM pages GROUP BY ALL")
 def sc14(spark, d):
-    """SC01, SC14: dispatch by the source's kind."""
+    """Pages by the scheme of their by the source's kind."""
     return table(spark, d, "pages").groupBy(F.regexp_extract("url", "^[a-z]+", 0).alias("scheme")).agg(F.count("*").alias("pages"), F.count(F.when(F.length("html") >= 20, 1)).alias("parsed"))
