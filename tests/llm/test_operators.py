@@ -120,7 +120,38 @@ def test_embeddings(spark):
     assert [got[i]["n_links"] for i in range(len(rows))] == near.sum(1).tolist()
     for i in range(len(rows), len(vec)):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
-    assert all(got[i]["component_id"] == got[j]["component_id"] for i, j in zip(*np.nonzero(near)))
+    root = groups_of(len(rows), zip(*np.nonzero(near)))
+    assert [(got[i]["component_id"], got[i]["kept"]) for i in range(len(rows))] == [(root[i], root[i] == i) for i in range(len(rows))]
+
+
+def groups_of(n, pairs):
+    """The least member of each one's group."""
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(int(a)), find(int(b))))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_embeddings_dense_topic(spark):
+    """Many vectors about one direction, planted pairs among them: links by brute force in blocks."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=64) + rng.normal(size=(3000, 64)) * 0.37
+    v[1:400:2] = v[0:400:2] + rng.normal(size=(200, 64)) * 0.25
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    found = sum(got[i][0] for i in range(len(v)))
+    assert near.sum() > 150 and found >= 0.9 * near.sum()
+    assert all(got[i][0] <= near[i].sum() for i in range(len(v)))
 
 
 def test_components(spark):
@@ -310,3 +341,252 @@ def test_empty_and_null_ids(spark, op):
     assert op(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = op(spark.createDataFrame([(None, "a b c"), (None, None), (1, "a b c"), (1, "a b c")], "doc_id long, text string")).collect()
     assert len(rows) == 4
+
+
+def weighted_jaccard_groups(rows, similarity=0.8):
+    words = [(t or "").lower().split() for t in rows]
+    grams = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in words]
+    df = Counter(g for c in grams for g in c)
+    weight = [{g: n * np.log1p(len(rows) / df[g]) for g, n in c.items()} for c in grams]
+    total = [sum(w.values()) for w in weight]
+    pairs = []
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = sum(min(x, weight[j][g]) for g, x in weight[i].items() if g in weight[j])
+            if grams[i] and grams[j] and shared >= similarity * (total[i] + total[j] - shared):
+                pairs.append((i, j))
+    return groups_of(len(rows), pairs)
+
+
+def test_minhash_brute_force(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(60)]
+    rows = [None, "", "one two"]
+    for _ in range(40):
+        w = [word() for _ in range(r.randint(40, 250))]
+        w[5:5] = shared[: r.choice([0, 0, 30, 60])]
+        rows.append(" ".join(w))
+        for _ in range(r.choice([0, 1, 2])):
+            v = list(w)
+            for _ in range(r.choice([1, 2, 4, 8])):
+                v[r.randrange(len(v))] = word()
+            rows.append(" ".join(v))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == weighted_jaccard_groups(rows)
+
+
+def line_groups(rows):
+    """What op 4 should keep of each text, by comparing all lines with all."""
+    lines, first = [], {}
+    for i, t in enumerate(rows):
+        for k, f in enumerate(line_dedup.normal_lines(t or "")):
+            if f:
+                first.setdefault(f.decode(), (i, k))
+    lines = list(first)
+    root = groups_of(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if line_dedup.alike(lines[i], lines[j])])
+    keeper = {}
+    for i, f in enumerate(lines):
+        keeper[root[i]] = min(keeper.get(root[i], first[f]), first[f])
+    number = {f: i for i, f in enumerate(lines)}
+    out = []
+    for i, t in enumerate(rows):
+        forms = line_dedup.normal_lines(t or "")
+        kept = [x for k, (x, f) in enumerate(zip((t or "").split("\n"), forms)) if not f or keeper[root[number[f.decode()]]] == (i, k)]
+        out.append(t if t is None else "\n".join(kept))
+    return out
+
+
+def line_rows(seed=31, n=40):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(2, 8)))
+    common = [" ".join(word() for _ in range(r.randint(4, 30))) for _ in range(12)]
+    rows = [None, "", "...", "x", "É" * 600 + "\n" + "É" * 590]
+    for _ in range(n):
+        held = []
+        for _ in range(r.randint(1, 6)):
+            w = (r.choice(common) if r.random() < 0.4 else " ".join(word() for _ in range(r.randint(3, 40)))).split()
+            if r.random() < 0.5:
+                w[r.randrange(len(w))] = word()
+            held.append(" ".join(w).capitalize() + r.choice([".", "", "!"]))
+        rows.append("\n".join(held))
+    return rows
+
+
+def test_lines_brute_force(spark):
+    rows = line_rows()
+    got = {x["doc_id"]: x["kept"] for x in line_dedup.dedup_lines(table(spark, rows, True)).collect()}
+    want = line_groups(rows)
+    same = sum(got[i] == want[i] for i in range(len(rows)))
+    # candidates are drawn, so that a pair may be missed; nothing else is ever dropped
+    assert same >= 0.95 * len(rows)
+    assert all(len(got[i] or "") >= len(want[i] or "") for i in range(len(rows)))
+
+
+def test_simhash_and_bounds():
+    r = random.Random(32)
+    rows = [x for t in line_rows(33) if t for x in t.split("\n")]
+    forms = [f.encode() for f in rows if f.strip()]
+    sims = line_dedup.simhashes(forms)
+    again = np.concatenate([line_dedup.simhashes([f]) for f in forms])
+    assert (sims == again).all()
+    for _ in range(300):
+        a, b = r.choice(rows), r.choice(rows)
+        longer = max(len(a), len(b), 1)
+        assert line_dedup.alike(a, b) == (line_dedup.edit_distance(a, b) <= 0.2 * longer + 1e-9)
+
+
+def corpus(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_media_query(spark, tmp_path):
+    from tessera.llm import queries
+
+    rows = [t if t is None else t[:3000] for t in EDGE] + ["é" * 32, "y" * 64, "y" * 65, "y" * 64, "<b>&amp;</b>"]
+    where = corpus(spark, tmp_path, [(i, t, "en", "s", 1) for i, t in enumerate(rows)] + [(None, "no id", None, None, None)])
+    got = {x["doc_id"]: x for x in queries.op5_media_columns(spark, where).collect()}
+    assert len(got) == len(rows) + 1
+    for i, t in enumerate(rows):
+        raw = (t or "").encode()
+        full = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        stored = b"P5\n64 %d\n255\n" % (len(full) // 64) + full
+        x = got[i]
+        assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        assert (x["media_bytes"], x["media_sha256"], x["caption"]) == (len(stored), hashlib.sha256(stored).hexdigest(), f"document {i}")
+    assert got[len(EDGE) + 1]["feature"] == got[len(EDGE) + 3]["feature"]
+
+
+def test_unresolved_media_keep_their_rows(spark):
+    pages = spark.createDataFrame([(1, "<p>t</p><img src='sha256:nope'>"), (2, None)], "p long, h string")
+    made = media.store(spark.createDataFrame([("x",)], "t string"), "t")
+    rows = media.read_back(media.resolve(media.parse_sequences(pages, "p", "h"), made)).collect()
+    assert [(r["page"], r["position"], r["payload_bytes"]) for r in rows] == [(1, 1, None)]
+
+
+def test_piece_samples_follow_the_lattice():
+    m = piece_sampling.model(P.path("piece_bpe_32k.model"))
+    piece = {}
+    for text in ("there", "aan"):
+        n = 6000
+        got = Counter(tuple(x.tolist()) for x in piece_sampling.sample(m, [text] * n, piece_sampling.row_seeds(list(range(n)), 3), 0.2))
+        lat = piece_sampling.Lattices(m, [text], 0.2)
+        # weights of all paths by enumeration, from the pieces and scores of the model
+        score = {int(i): s for i, s in zip(m.id, m.score)}
+        names = {i: m.bytes_of[i].decode() for i in score}
+        by_text = {}
+        for i, t in names.items():
+            by_text.setdefault(t, i)
+        paths = {}
+
+        def walk(at, ids, weight):
+            if at == len(text):
+                paths[tuple(ids)] = np.exp(0.2 * weight)
+                return
+            for end in range(at + 1, len(text) + 1):
+                i = by_text.get(text[at:end])
+                if i is not None:
+                    walk(end, [*ids, i], weight + score[i])
+
+        walk(0, [], 0.0)
+        total = sum(paths.values())
+        assert set(got) <= set(paths) and len(lat.frm) >= len(text)
+        assert all(abs(got[p] / n - w / total) < 0.03 for p, w in paths.items())
+        piece[text] = got
+
+
+def test_long_word_is_one_lattice():
+    m = piece_sampling.model(P.path("piece_bpe_32k.model"))
+    text = "there" * 2000
+    ids = piece_sampling.sample(m, [text], piece_sampling.row_seeds([1], 3), 0.2)[0]
+    assert piece_sampling.decode(m, ids.tolist()) == text and len(piece_sampling.words_of(text)) == 1
+
+
+@pytest.mark.parametrize("op", [lambda d: piece_sampling.encode_column(d, P.path("piece_bpe_32k.model")), lambda d: language_id.predict(d, None, ["doc_id"]), lambda d: media.read_back(media.resolve(media.parse_sequences(d, "doc_id", "text"), media.store(d, "text")))])
+def test_empty_tables_and_null_ids_of_the_rest(spark, op):
+    kind = "doc_id long, text string"
+    assert op(spark.createDataFrame([], kind)).count() == 0
+    rows = op(spark.createDataFrame([(None, "<img src='sha256:a'>"), (None, None), (1, "<img src='sha256:a'>"), (1, "<img src='sha256:a'>")], kind)).collect()
+    assert len(rows) in (3, 4)
+
+
+def test_embeddings_empty_and_null_ids(spark):
+    kind = "vec_id long, embedding array<double>, rep string, raw long"
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+    rows = embedding_dedup.near_duplicates(spark.createDataFrame([(None, [1.0, 2.0], "x", 1), (1, [1.0, 2.0], "x", 1), (1, [1.0, 2.0], "x", 1), (2, None, "x", 1)], kind)).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"]) for r in rows) == [("1", 1), ("1", 1), ("2", 0), ("None", 0)]
+
+
+def test_repeated_rows_are_packed_in_many_groups(spark):
+    rows = [(5, "some words to pack")] * 300 + [(None, "no id")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(df, BPE, group_docs=20).collect()
+    assert len(got) == 600 and len({r["sequence_id"] >> 32 for r in got}) > 20
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "the and of\nthe and of", "x", 1, 2, 3)], "doc_id long, text string, lang_pred string, row long, _drop long, dropped long")
+    out = line_dedup.without_lines(df, line_dedup.repeated_lines(df)).select("row.*").collect()
+    assert out[0].asDict() == {"doc_id": 1, "text": "the and of", "lang_pred": "x", "row": 1, "_drop": 2, "dropped": 3}
+    assert language_id.predict(df, None, ["doc_id", "lang_pred"]).collect()[0]["lang_pred"] == "und"
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against brute force on its own input, with null, empty, letterless, long and repeated rows."""
+    import corpus_pipeline as C
+    from tokenizers import Tokenizer
+
+    r = random.Random(41)
+    word = {"en": "the and of that with this from".split(), "fr": "été où ça même déjà leur".split(), "de": "über für größe daß schön nicht".split()}
+    rows = []
+    for i in range(90):
+        k = list(word)[i % 3]
+        rows.append((i, "\n".join(" ".join(r.choice(word[k]) + r.choice("abcdefgh") * r.randint(0, 4) for _ in range(r.randint(8, 30))) for _ in range(4)), k))
+    for i in range(0, 40, 10):  # a passage that recurs within long lines which are not alike
+        rows[i] = (i, rows[i][1].replace("\n", " ") + " " + " ".join(rows[40][1].split()[:45]) + " " + rows[i + 1][1].replace("\n", " "), rows[i][2])
+    passage = " ".join("".join(r.choice("acegi") for _ in range(5)) + "the" for _ in range(60))
+    rows += [(100 + j, rows[j][1] + " and", "en") for j in range(0, 9, 3)]
+    rows += [(200 + j, "the of and " + rows[j][1].split("\n")[0][::-1] + " " + passage + " the end of " + str(j), "en") for j in range(6)]
+    rows += [(300, None, "en"), (301, "", "fr"), (302, "123 ...", "de"), (303, "the and of that " * 3000, "en"), (0, rows[0][1], "en"), (None, "with this from that of the", "en")]
+    where = corpus(spark, tmp_path, [(i, t, k, "s", None if t is None else len(t)) for i, t, k in rows])
+    docs, seen = spark.read.parquet(f"{where}/documents.parquet"), []
+    for name, stage in C.STAGES:
+        docs = stage(spark, docs, where)
+        docs.write.mode("overwrite").parquet(f"{where}/{name.replace(' ', '_')}")
+        docs = spark.read.parquet(f"{where}/{name.replace(' ', '_')}")
+        seen.append(docs)
+        if name != "packing":
+            assert docs.columns == C.COLUMNS
+    texts_of = lambda d: [(x["doc_id"], x["text"]) for x in d.collect()]
+    first, lines, near, cut, packed = map(lambda d: texts_of(d) if "text" in d.columns else d.collect(), seen)
+    assert {i for i, _ in first} >= set(range(90)) | {303} and not {300, 301, 302} & {i for i, _ in first}
+    # line dedup: exactly what comparing all lines leaves, but for lines that candidates miss
+    ids = sorted({i for i, _ in first if i is not None})
+    by = dict((i, t) for i, t in first if i is not None)
+    want = dict(zip(ids, line_groups([by[i] for i in ids])))
+    got = {i: t for i, t in lines if i is not None}
+    assert sum(got.get(i, "") == want[i] or not any(c.isalnum() for c in want[i]) for i in ids) >= 0.9 * len(ids)
+    ids = sorted(got)
+    root = weighted_jaccard_groups([got[i] for i in ids])
+    assert sorted(i for i, _ in near if i is not None) == [ids[i] for i, g in enumerate(root) if g == i]
+    assert sum(passage in t for _, t in cut) <= 1
+    # substring dedup: the words that no recurring window covers
+    split = {i: phrase_dedup.WORD.findall(x) for i, x in near if i is not None}
+    times = Counter(tuple(w[k : k + 35]) for w in split.values() for k in range(len(w) - 34))
+    left = {}
+    for i, w in split.items():
+        gone = {k + n for k in range(len(w) - 34) if times[tuple(w[k : k + 35])] > 1 for n in range(35)}
+        left[i] = [x for k, x in enumerate(w) if k not in gone]
+    assert {i: phrase_dedup.WORD.findall(x) for i, x in cut if i is not None} == {i: w for i, w in left.items() if w}
+    t = Tokenizer.from_file(BPE)
+    want = Counter()
+    for i, text in cut:
+        want[i] += len(t.encode(text, add_special_tokens=False).ids) + 1
+    have, room = Counter(), Counter()
+    for p in packed:
+        have[p["doc_id"]] += p["length"]
+        room[p["sequence_id"]] += p["length"]
+    assert have == want and max(room.values()) <= 1024
+    empty = corpus(spark, tmp_path / "none", [])
+    assert C.run(spark, empty).count() == 0
