@@ -2,6 +2,10 @@
 
 Each stage works on all its predecessor kept. Every stage but the last returns the columns of documents; ``n_chars``
 follows the text wherever a stage changes it.
+
+Defined results: null, empty and letterless texts go in the first stage; texts of any length are taken whole; of ties the
+smaller id stays; rows without an id are documents of their own, which only the first stage and the packing touch; an
+empty table gives an empty result; columns other than those of documents are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,9 +38,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    """Keeps one document of each group of near duplicates, and of rows that share an id one; rows without an id all stay."""
+    kept = minhash.near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    both = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
+    once = both.filter((F.col("_rows") == 1) | F.col("doc_id").isNull())
+    return once.select(*COLUMNS).union(both.filter((F.col("_rows") > 1) & F.col("doc_id").isNotNull()).select(*COLUMNS).dropDuplicates(["doc_id"]))
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
