@@ -1 +1 @@
-
+"""Column functions that operators share."""

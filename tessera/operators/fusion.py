@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import cosine, doubles
 from ..plans import views as V
 from ..registry import query
 from ..session import table
-from .retrieval import BM25, GRAPH, GRAPH_VIEWS, PHR, bm25, cosine, doubles, graph_hits, name_hits, phrase_hits, ranked
+from .retrieval import BM25, GRAPH, GRAPH_VIEWS, PHR, bm25, graph_hits, name_hits, phrase_hits, ranked
 
 RRF_K = 60
 LEX_RANKED = f"""{BM25}, {PHR}, r1 AS (SELECT qid, id, file_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm25 QUALIFY rank <= 200),

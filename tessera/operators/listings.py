@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import first_of
 from ..plans import views as V
 from ..registry import query
 from ..session import table
 from .fusion import RANKED, fused, lexical, phrases, rrf
-from .retrieval import BM25, VEC, bm25, first_of, ranked, vector_scores
+from .retrieval import BM25, VEC, bm25, ranked, vector_scores
 
 
 @query("pf02_file_list", "SELECT id, name FROM files WHERE NOT deleted AND category = 'en' AND folder = '/src1/en' AND id % 400 BETWEEN 1 AND 365", "files")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import cosine, doubles, ladder
 from ..plans import views as V
 from ..registry import query
 from ..session import table
 from ..sources import files as S
-from .retrieval import cosine, doubles
 from .rules import ASKED_SQL, MODEL_RULE, asked
 from .text import FOREIGN_SQL, normalize_han
 
@@ -127,13 +127,6 @@ s AS (SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 0 ELSE a + C
 SELECT doc_id, CAST(q AS BIGINT) AS quality, CASE WHEN q >= 80 THEN 'excellent' WHEN q >= 60 THEN 'good' WHEN q >= 40 THEN 'fair' ELSE 'poor' END AS label FROM s"""
 
 
-def ladder(value, *steps: tuple[float, int], rest: int = 0):
-    out = F
-    for least, points in steps:
-        out = out.when(value >= least, points)
-    return out.otherwise(rest)
-
-
 @query("tx08_quality_score", SCORE_SQL)
 def tx08(spark, d):
     """TX08: 0 to 100 from valid characters (40), words of several characters in the first 5000 (30), headings, tables and

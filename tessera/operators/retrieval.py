@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import cosine, doubles, first_of
 from ..plans import views as V
 from ..registry import query
 from ..session import table
@@ -79,19 +80,6 @@ def rt06(spark, d):
     return phrase_hits(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 50")
 
 
-def doubles(c) -> F.Column:
-    return F.transform(c, lambda x: x.cast("double"))
-
-
-def dot(a, b) -> F.Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a, b) -> F.Column:
-    """RT37: 0 where a norm is 0."""
-    return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
-
-
 VEC = "WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT id AS qid, v AS q FROM v WHERE id % 50 = 0), s AS (SELECT qid, id, label, round(list_cosine_similarity(v, q), 6) AS score FROM v, q)"
 
 
@@ -164,11 +152,6 @@ def type_weight(kind) -> F.Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_WEIGHT.items() for x in kv]), kind), F.lit(0.5))
 
 
-def first_of(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
-
-
 def graph_hits(spark: SparkSession, d: str) -> DataFrame:
     """RT10: qid, id, file_id, score. Chunks of the entities that a query names, weighted by type, and of the entities at
     the other end of strong edges of its leading three."""

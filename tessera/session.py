@@ -30,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a local one, for one machine."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(told)
