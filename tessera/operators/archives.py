@@ -14,7 +14,7 @@ from ..plans import views as V
 from ..registry import query
 from ..session import table
 from ..sources import office
-from ..streaming.sources import ingest, sliding_counts
+from ..streaming.sources import ingest, sliding_counts, watch_folder
 from .tables import Store
 
 
@@ -140,3 +140,16 @@ def st01(spark, d):
     run = counts.writeStream.outputMode("update").foreachBatch(lambda b, i: write(b, i) and None).option("checkpointLocation", f"{s.root}/c-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     run.awaitTermination()
     return s.get("w")
+
+
+@query("sc19_watched_folder", "SELECT CAST(2 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS seen_again")
+def sc19(spark, d):
+    """SC19: a folder watched twice, with a file more the second time: each file is seen once."""
+    s = Store(spark)
+    s.put("seen", spark.createDataFrame([], "path string, content_hash string"))
+    for word in ("first", "second"):
+        spark.createDataFrame([(word,)], "value string").coalesce(1).write.mode("append").text(f"{s.root}/in")
+        note = lambda batch, number: s.append("seen", batch.select("path", "content_hash")) and None
+        ingest(watch_folder(spark, f"{s.root}/in"), note, f"{s.root}/watch").awaitTermination()
+    n = s.get("seen").groupBy("path").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("seen"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("seen_again"))

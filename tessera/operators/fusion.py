@@ -14,9 +14,8 @@ from ..session import table
 from .retrieval import BM25, GRAPH, GRAPH_VIEWS, PHR, bm25, graph_hits, name_hits, phrase_hits, ranked
 
 RRF_K = 60
-LEX_RANKED = f"""{BM25}, {PHR}, r1 AS (SELECT qid, id, file_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm25 QUALIFY rank <= 200),
+RANKED = f"""{BM25}, {PHR}, r1 AS (SELECT qid, id, file_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm25 QUALIFY rank <= 200),
 r2 AS (SELECT qid, id, file_id, row_number() OVER (PARTITION BY qid ORDER BY n DESC, id) AS rank FROM phr QUALIFY rank <= 50)"""
-RANKED = LEX_RANKED
 FUSED = f"{RANKED}, fused AS (SELECT qid, id, file_id, round(sum(w / ({RRF_K} + rank)), 6) AS score FROM (SELECT *, 0.65::DOUBLE AS w FROM r1 UNION ALL SELECT *, 0.35::DOUBLE AS w FROM r2) GROUP BY qid, id, file_id)"
 
 
@@ -59,7 +58,7 @@ def class_weight(kind, which: int) -> F.Column:
 
 #: The four recalls of a query, ranked, as (qid, id, file_id, rank, source): words and phrase merged by their better rank;
 #: the files' vectors against the question's; the graph; file names.
-RECALLS = f"""{LEX_RANKED}, {GRAPH},
+RECALLS = f"""{RANKED}, {GRAPH},
 lex AS (SELECT qid, id, file_id, row_number() OVER (PARTITION BY qid ORDER BY r, id) AS rank FROM (SELECT qid, id, file_id, min(rank) AS r FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY qid, id, file_id) QUALIFY rank <= 200),
 first_c AS (SELECT file_id, min(id) AS id FROM chunks GROUP BY file_id),
 vec AS (SELECT qid, id, file_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM (SELECT q.item_id AS qid, c.id, c.file_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])), 6) AS s FROM benchmark q JOIN embeddings w ON w.vec_id = q.item_id, embeddings v JOIN first_c c ON c.file_id = v.vec_id) QUALIFY rank <= 50),
@@ -121,15 +120,16 @@ def wn02(spark, d):
     return reduce(DataFrame.union, parts)
 
 
-@query("rt13_fixed_rrf", f"WITH {RANKED.strip()} SELECT qid, id, round(sum(0.5::DOUBLE / ({RRF_K} + rank)), 6) AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY qid, id", "chunks postings questions")
+@query("rt13_fixed_rrf", f"WITH {RECALLS.strip()} SELECT qid, id, round(sum(0.5::DOUBLE / ({RRF_K} + rank)), 6) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec UNION ALL SELECT * FROM gra UNION ALL SELECT * FROM fil) GROUP BY qid, id", VIEWS)
 def rt13(spark, d):
-    """RT13: fusion with fixed weights."""
-    return rrf([(lexical(spark, d), 0.5), (phrases(spark, d), 0.5)]).select("qid", "id", "score")
+    """RT13: fusion of the four recalls with fixed weights."""
+    four = [merged_words(spark, d), vector_hits(spark, d), ranked(graph_hits(spark, d), limit=50), file_hits(spark, d)]
+    return rrf([(r, 0.5) for r in four]).select("qid", "id", "score")
 
 
 @query("so06_dual_index_merge", f"WITH {RANKED.strip()} SELECT qid, id, min(rank) AS rank, count(*) AS sources FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY qid, id", "chunks postings questions")
 def so06(spark, d):
-    """SO05, SO06: union of two indexes, best rank of each chunk."""
+    """SO06: union of two indexes, best rank of each chunk."""
     both = lexical(spark, d).select("qid", "id", "rank").unionByName(phrases(spark, d).select("qid", "id", "rank"))
     return both.groupBy("qid", "id").agg(F.min("rank").alias("rank"), F.count("*").alias("sources"))
 
@@ -200,7 +200,7 @@ def rt15(spark, d):
 
 @query("rt21_exact_pin", f"WITH {PINNED.strip()} SELECT qid, id, CAST(prio AS BIGINT) AS prio, row_number() OVER (PARTITION BY qid ORDER BY prio DESC, rerank DESC, r) AS rank FROM pin", VIEWS)
 def rt21(spark, d):
-    """RT21, TK05: pinning of exact matches, the order of the re-rank within a level."""
+    """RT21: pinning of exact matches, the order of the re-rank within a level."""
     w = Window.partitionBy("qid").orderBy(F.desc("prio"), F.desc("rerank"), "r")
     return pinned(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).select("qid", "id", "prio", "rank")
 
@@ -213,6 +213,12 @@ def rt01(spark, d):
     return kept.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10").select("qid", "id", "name", "category", "score", "rerank", "prio", "rank")
 
 
+@query("tk05_priority", f"WITH {PINNED.strip()} SELECT qid, id, CAST(prio AS BIGINT) AS prio FROM pin", VIEWS)
+def tk05(spark, d):
+    """TK05: the level of each candidate before the stable sort."""
+    return pinned(spark, d).select("qid", "id", "prio")
+
+
 @query("tk04_rerank_cut", f"WITH {PINNED.strip()} SELECT qid, id, rerank, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, r) AS rank FROM rer QUALIFY rank <= 10", VIEWS)
 def tk04(spark, d):
     """TK04: forty are re-ranked, ten stay."""

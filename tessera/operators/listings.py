@@ -9,7 +9,7 @@ from ..functions.columns import first_of
 from ..plans import views as V
 from ..registry import query
 from ..session import table
-from .fusion import RANKED, fused, lexical, phrases, rrf
+from .fusion import RANKED, lexical, phrases
 from .retrieval import BM25, VEC, bm25, ranked, vector_scores
 
 
@@ -279,3 +279,39 @@ def rt36(spark, d):
     """RT36: a cache of the queries used last, three of each user here."""
     last = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("at"))
     return first_of(last, ["user_id"], [F.desc("at")], 3).groupBy("user_id").agg(F.count("*").alias("kept"))
+
+
+@query("gr16_extraction_queue", "SELECT file_id, min(id) AS id FROM chunks WHERE file_id % 3 <> 0 GROUP BY file_id, content QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY min(id)) <= 50", "chunks")
+def gr16(spark, d):
+    """GR16: what a model would be given: files not extracted yet, each content once, fifty chunks of a file."""
+    once = V.chunks(spark, d).filter("file_id % 3 <> 0").groupBy("file_id", "content").agg(F.min("id").alias("id"))
+    return first_of(once, ["file_id"], ["id"], 50).select("file_id", "id")
+
+
+@query("st06_due_retries", "SELECT event_id, event_id % 5 AS retries FROM events WHERE event_type = 'error' AND event_id % 5 < 3 AND ts + to_seconds(CAST(5 * pow(2, event_id % 5) AS BIGINT)) <= TIMESTAMP '2024-01-20'")
+def st06(spark, d):
+    """ST06: failed tasks whose waiting time is over at the scheduler's tick, and that were tried less than three times."""
+    n = F.col("event_id") % 5
+    due = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + F.pow(F.lit(2.0), n) * 5 <= 1705708800.0
+    return table(spark, d, "events").filter((F.col("event_type") == "error") & (n < 3) & due).select("event_id", n.alias("retries"))
+
+
+#: Migrations of a schema (literal rows), and the version it is at.
+MIGRATIONS, AT = ((3, "add category"), (1, "create files"), (5, "add links"), (4, "add folder"), (2, "create chunks")), 2
+
+
+@query("st14_migrations", "SELECT version, name, row_number() OVER (ORDER BY version) AS step FROM (VALUES " + ", ".join(f"(CAST({v} AS BIGINT), '{n}')" for v, n in MIGRATIONS) + f") m(version, name) WHERE version > {AT}")
+def st14(spark, d):
+    """ST14: migrations beyond the highest version applied, in their order."""
+    m = spark.createDataFrame(list(MIGRATIONS), "version long, name string").filter(F.col("version") > AT)
+    return m.withColumn("step", F.row_number().over(Window.orderBy("version")).cast("long"))
+
+
+@query("rt23_expanded_queries", f"WITH once AS (SELECT qid, list_filter(terms, lambda t, i: list_position(terms, t) = i) AS terms FROM questions), forms AS (SELECT qid * 10 AS qid, terms[1:3] AS terms FROM once UNION ALL SELECT qid * 10 + 1, terms[4:] FROM once), {BM25.strip().replace('FROM questions', 'FROM forms')}, top AS (SELECT * FROM bm25 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 20) SELECT qid // 10 AS qid, id, min(qid % 10) AS seen_in FROM top GROUP BY ALL", "chunks postings questions")
+def rt23(spark, d):
+    """RT23: several forms of a query (given rows; the model that would write them is outside), their results in one list,
+    each where it was seen first."""
+    q = V.questions(spark, d).select("qid", "terms")
+    forms = q.select((F.col("qid") * 10).alias("qid"), F.slice("terms", 1, 3).alias("terms")).union(q.select(F.col("qid") * 10 + 1, F.slice("terms", F.lit(4), F.greatest(F.size("terms"), F.lit(1)))))
+    top = ranked(bm25(spark, d, forms), limit=20)
+    return top.groupBy(F.floor(F.col("qid") / 10).alias("qid"), "id").agg(F.min(F.col("qid") % 10).alias("seen_in"))

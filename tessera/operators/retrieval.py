@@ -13,10 +13,10 @@ from ..session import table
 K1, B = 1.2, 0.75
 
 
-def bm25(spark: SparkSession, d: str) -> DataFrame:
-    """RT05, AG10: qid, id, file_id, score (6 places), of all terms of a query. The postings lie in the order of their
+def bm25(spark: SparkSession, d: str, questions: DataFrame | None = None) -> DataFrame:
+    """RT05, AG10: qid, id, file_id, score (6 places), of all terms of a query (qid, terms). The postings lie in the order of their
     terms and only the queries' terms are read on; a chunk's length comes with each posting."""
-    asked = V.questions(spark, d).select("qid", F.explode("terms").alias("term")).distinct()
+    asked = (V.questions(spark, d) if questions is None else questions).select("qid", F.explode("terms").alias("term")).distinct()
     corpus = V.chunks(spark, d).filter("words > 0").agg(F.count("*").alias("n"), F.avg("words").alias("avgdl"))
     hit = V.postings(spark, d).join(asked.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))

@@ -92,7 +92,7 @@ def so02(spark, d):
     return count("orphan", have.join(rows, "id", "left_anti")).union(count("missing", rows.join(have, "id", "left_anti")))
 
 
-@query("st12_health", "SELECT 'labels_without_document' AS invariant, count(*) AS n FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id) UNION ALL SELECT 'orders_without_customer', count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey) UNION ALL SELECT 'lineitem_without_order', count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey) UNION ALL SELECT 'wrong_length', count(*) FROM documents WHERE n_chars <> length(text) UNION ALL SELECT 'empty_text', count(*) FROM documents WHERE text = ''")
+@query("st12_health", "SELECT 'labels_without_document' AS invariant, count(*) AS n FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id) UNION ALL SELECT 'orders_without_customer', count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey) UNION ALL SELECT 'lineitem_without_order', count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey) UNION ALL SELECT 'wrong_length', count(*) FROM documents WHERE n_chars <> length(text) UNION ALL SELECT 'empty_text', count(*) FROM documents WHERE text = '' UNION ALL SELECT 'vectors_of_other_length', count(*) FROM embeddings WHERE len(embedding) <> 64 UNION ALL SELECT 'repeated_ids', count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)")
 def st12(spark, d):
     """ST12: one row of violations for each invariant."""
     t = lambda n: table(spark, d, n)
@@ -103,6 +103,8 @@ def st12(spark, d):
         "lineitem_without_order": t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"),
         "wrong_length": docs.filter(F.col("n_chars") != F.length("text")),
         "empty_text": docs.filter("text = ''"),
+        "vectors_of_other_length": t("embeddings").filter("size(embedding) <> 64"),
+        "repeated_ids": docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"),
     }
     return reduce(DataFrame.union, [df.agg(F.lit(k).alias("invariant"), F.count("*").alias("n")) for k, df in checks.items()])
 

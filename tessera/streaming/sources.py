@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def watch_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("txt", "md", "html", "csv")) -> DataFrame:
     """SC19: files as they appear; the checkpoint remembers what was seen."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(folder)
     return files.select("path", "modificationTime", "length", F.sha2(F.col("content"), 256).alias("content_hash"), "content")
 
 

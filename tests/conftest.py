@@ -5,4 +5,4 @@ import pytest
 def spark():
     from tessera.session import local_session
 
-    return local_session("4", 4, "4g")
+    return local_session("8", 4, "4g")
