@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .kernels import tidy
 
 #: Members that one hub is compared with in one task; a hub with more is dealt to several tasks.
 STAR = 256
@@ -92,7 +93,7 @@ def compare_stars(stars: DataFrame, texts: DataFrame, prepare: Callable, similar
                     c.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
-    return ready.mapInArrow(work, "a long, b long")
+    return ready.mapInArrow(tidy(work), "a long, b long")
 
 
 def groups_from_buckets(buckets: DataFrame, texts: DataFrame | Callable, allowed: Callable, prepare: Callable, similar: Callable, extra: list[str], narrow: tuple[Callable, Callable] | None = None, pairs: DataFrame | None = None, turns: int = 20) -> DataFrame:

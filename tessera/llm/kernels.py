@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +14,48 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-if sys.platform == "linux" and hasattr(_libc := ctypes.CDLL(None), "mallopt"):
+_libc = ctypes.CDLL(None) if sys.platform == "linux" else None
+if hasattr(_libc, "mallopt"):
     # M_MMAP_THRESHOLD and M_TRIM_THRESHOLD: large freed arrays go back to the system, so that workers stay small
     _libc.mallopt(-3, 4 << 20)
     _libc.mallopt(-1, 64 << 20)
 
+
+
+def release() -> None:
+    """Gives memory that a task is done with back to the system: workers are used again, by tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def tidy(work: Callable, *after: Callable[[], None]) -> Callable:
+    """``work`` over a task's batches, and ``release`` (and ``after``) at its end."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            for f in after:
+                f()
+            release()
+
+    return run
+
+
+def tidy_group(solve: Callable) -> Callable:
+    """As ``tidy``, for a function of one group."""
+
+    def run(table):
+        try:
+            return solve(table)
+        finally:
+            release()
+
+    return run
+
+
 #: Bytes of text that one vectorised step works on; longer texts are taken in slices.
 STEP = 1 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -182,7 +221,7 @@ def squeezed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else c.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], ["_id", "_text"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"_id {kind}, _text binary")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(work), f"_id {kind}, _text binary")
 
 
 def unsqueezed(block: bytes | None) -> str:

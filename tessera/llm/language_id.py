@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import expand, text_bytes
+from .kernels import expand, text_bytes, tidy
 
 SPAN, SPANS, HIDDEN = 128, 6, 8
 _LETTER = regex.compile(r"\p{L}")
@@ -216,4 +216,4 @@ def predict(docs: DataFrame, net: Net | None, columns: list[str], text_col: str
                             lang[i], score[i] = own.langs[best[i]], min(1.0, float(prob[i, best[i]]))
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*columns, "lang_pred", "score"])
 
-    return docs.select(F.col(text_col), *columns).mapInArrow(work, schema)
+    return docs.select(F.col(text_col), *columns).mapInArrow(tidy(work), schema)

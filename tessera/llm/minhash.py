@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import groups_from_buckets
-from .kernels import Rolling, mix64, squeezed, text_bytes, unsqueezed
+from .kernels import Rolling, mix64, squeezed, text_bytes, tidy, tidy_group, unsqueezed
 from .phrase_dedup import groups_of, normal_words, word_hashes
 from .shards import shards_for
 
@@ -95,7 +95,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
     kind = "part int, block binary"
     out = np.zeros(PLACES, np.int64)
     # one row a part and task: at most 8 MB, the size of the table
-    rows = docs.select(text_col).mapInArrow(count, kind).repartition(PARTS, "part").mapInArrow(add, kind).collect()
+    rows = docs.select(text_col).mapInArrow(tidy(count), kind).repartition(PARTS, "part").mapInArrow(add, kind).collect()
     for r in rows:
         out[r["part"] * width : (r["part"] + 1) * width] += np.frombuffer(zstandard.decompress(bytes(r["block"])), np.int64)
     return out
@@ -164,7 +164,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
                 )
 
     known = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return known.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(work, "id long, digest binary, bands array<long>")
+    return known.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(tidy(work), "id long, digest binary, bands array<long>")
 
 
 def columns_of(x: np.ndarray) -> bytes:
@@ -275,12 +275,12 @@ def exactly_weighted(docs: DataFrame, texts: DataFrame, n: int, text_col: str) -
                     at += k
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(digests, pa.binary()), pa.array(totals, pa.float64()), pa.array(packed, pa.binary())], ["id", "digest", "total", "text"])
 
-    counts = docs.select(text_col).mapInArrow(count, "shard int, block binary").select("shard", F.lit(None).cast("long").alias("gather"), "block")
-    gathers = cut(texts.select("id", "text").mapInArrow(ask, "gather long, head binary, blocks array<binary>"))
+    counts = docs.select(text_col).mapInArrow(tidy(count), "shard int, block binary").select("shard", F.lit(None).cast("long").alias("gather"), "block")
+    gathers = cut(texts.select("id", "text").mapInArrow(tidy(ask), "gather long, head binary, blocks array<binary>"))
     asked = gathers.select(F.posexplode("blocks").alias("shard", "block"), "gather").select("shard", "gather", "block")
-    told = counts.union(asked).repartitionById(shards, "shard").groupBy("shard").applyInArrow(answer, "gather long, shard int, df binary")
+    told = counts.union(asked).repartitionById(shards, "shard").groupBy("shard").applyInArrow(tidy_group(answer), "gather long, shard int, df binary")
     back = told.groupBy(F.col("gather").alias("_of")).agg(F.collect_list(F.struct("shard", "df")).alias("told"))
-    return gathers.join(back, gathers["gather"] == back["_of"]).select("head", "blocks", "told").mapInArrow(weigh, "id long, digest binary, total double, text binary")
+    return gathers.join(back, gathers["gather"] == back["_of"]).select("head", "blocks", "told").mapInArrow(tidy(weigh), "id long, digest binary, total double, text binary")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["key", "id", "total", "suffix"])
 
-        return texts.join(ids, "id").select("id", "text").mapInArrow(work, "key long, id long, total double, suffix double")
+        return texts.join(ids, "id").select("id", "text").mapInArrow(tidy(work), "key long, id long, total double, suffix double")
 
     def bound(x, y):
         return F.least(x("suffix"), y("suffix")) >= (x("total") + y("total")) * (similarity / (1 + similarity) * (1 - 1e-6))

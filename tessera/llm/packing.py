@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import tidy
 from .pretokens import byte_symbols, cut
 
-#: Bytes, about, of the pieces that a worker remembers; further ones are encoded anew each time.
+#: Bytes, about, of the pieces that a task remembers; further ones are encoded anew each time.
 REMEMBERED = 48 << 20
 #: Documents in a group, about; with some thousand pieces the last, part-filled bins of a group don't matter.
 GROUP_DOCS = 4096
@@ -78,9 +79,9 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 @lru_cache(2)
 def encoder(path: str):
-    """text -> ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's own. Its pattern cuts a text
+    """A function from a text to its ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's own. Its pattern cuts a text
     into pieces that are encoded one by one, so pieces seen before need no second encoding; texts with added
-    tokens go to the tokenizer whole."""
+    tokens go to the tokenizer whole. A second function forgets the pieces."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -111,7 +112,12 @@ def encoder(path: str):
                 left -= sum(map(len, short)) + sum(map(len, short.values())) + 180 * len(short)
             return b"".join([x if (x := known.get(p)) is not None else got[p] for p in parts])
 
-    return ids
+    def forget() -> None:
+        nonlocal left
+        known.clear()
+        left = REMEMBERED
+
+    return ids, forget
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
@@ -122,7 +128,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
     def work(batches):
         from pyspark import TaskContext
 
-        encode, task = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, task = encoder(tokenizer)[0], TaskContext.get().partitionId()
         copies: dict[tuple, int] = {}
         for b in batches:
             rows, start, length, crc, total, salts, ids = [], [], [], [], [], [], []
@@ -146,7 +152,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
             yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * keep_ids, names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * keep_ids
-    return docs.select(id_col, text_col).mapInArrow(work, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(work, lambda: encoder(tokenizer)[1]()), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, seed: int = 17, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

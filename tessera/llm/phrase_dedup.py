@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shards as S
-from .kernels import STEP, Rolling, byte_values, expand, minimizer_runs, mix64, squeezed, text_bytes, unsqueezed
+from .kernels import STEP, Rolling, byte_values, expand, minimizer_runs, mix64, squeezed, text_bytes, tidy, tidy_group, unsqueezed
 from .suffix_dedup import SPANS, covered
 
 GRAM = 5
@@ -224,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "windows": pa.array(count, pa.int64())})
 
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
-    return known.mapInArrow(to_shards, "shard int, block binary").repartitionById(n, "shard").groupBy("shard").applyInArrow(solve, SPANS)
+    return known.mapInArrow(tidy(to_shards), "shard int, block binary").repartitionById(n, "shard").groupBy("shard").applyInArrow(tidy_group(solve), SPANS)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out.values(), kinds))], names)
 
-    return both.select("_id", "_text", "_spans").mapInArrow(work, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_words)
+    return both.select("_id", "_text", "_spans").mapInArrow(tidy(work), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_words)
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shards as S
-from .kernels import Rolling, byte_values, expand, minimizer_runs, pieces, squeezed, text_bytes, unsqueezed
+from .kernels import Rolling, byte_values, expand, minimizer_runs, pieces, squeezed, text_bytes, tidy, tidy_group, unsqueezed
 
 GRAM = 10
 #: Bytes that one transform is built over, about; a larger group of one minimizer is taken whole.
@@ -277,8 +277,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "windows": pa.array(count, pa.int64())})
 
     known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
-    dealt = known.mapInArrow(to_shards, "shard int, block binary")
-    return dealt.repartitionById(n, "shard").groupBy("shard").applyInArrow(solve, SPANS)
+    dealt = known.mapInArrow(tidy(to_shards), "shard int, block binary")
+    return dealt.repartitionById(n, "shard").groupBy("shard").applyInArrow(tidy_group(solve), SPANS)
 
 
 def covered(starts: np.ndarray, windows: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -321,4 +321,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out.values(), kinds))], names)
 
-    return both.select("_id", "_text", "_spans").mapInArrow(work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+    return both.select("_id", "_text", "_spans").mapInArrow(tidy(work), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)

@@ -20,9 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .kernels import tidy
 from .pretokens import byte_symbols, cut
 
-#: Bytes, about, of the pieces that a worker remembers; further ones are counted anew each time.
+#: Bytes, about, of the pieces that a task remembers; further ones are counted anew each time.
 REMEMBERED = 48 << 20
 
 
@@ -86,7 +87,7 @@ class Memory(dict):
 
 @lru_cache(2)
 def counter(path: str):
-    """text -> number of tokens; one per worker process."""
+    """A function from a text to its number of tokens, one per worker process, and one that forgets the pieces."""
     merges = Merges(path)
     memory = Memory(merges)
 
@@ -96,7 +97,11 @@ def counter(path: str):
         parts = merges.added.split(text)
         return len(parts) - 1 + sum(sum(map(memory.__getitem__, cut(p))) for p in parts)
 
-    return tokens
+    def forget() -> None:
+        memory.clear()
+        memory.left = REMEMBERED
+
+    return tokens, forget
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,11 +109,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
-        tokens = counter(tokenizer)
+        tokens, _ = counter(tokenizer)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = np.array([tokens(t) for t in texts], np.int64)
             size = np.array([len(t.encode()) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidy(work, lambda: counter(tokenizer)[1]()), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
