@@ -4,15 +4,16 @@ In each pass a vector's key is the concatenated signs of its projections on the
 are ordered lexicographically by key, and each is compared with its next WINDOW neighbours, by cosine in double
 precision. Verified pairs of all passes are united into groups. Neighbour windows are bounded, so the links of a large
 group would be found only in part; each group is therefore compared in full afterwards, in blocks of BLOCK vectors, and
-a vector's links are counted there, without a row for each pair.
+a vector's links are counted there, without a row for each pair. The number of passes grows with the logarithm of the
+table, as neighbours fall apart more often the more vectors stand between them.
 
 Ranks are global: sorted keys are written once, counted by partition, and numbered; blocks of ranks overlap by WINDOW,
 so no pair is lost at a partition's edge. Equal vectors are collapsed first and count by their number.
 
 Defined results: a vector that is null, zero, empty or holds null or non-finite components links with nothing; rows with
 equal ids and vectors are copies like any others; rows with a null id count as vectors of their own, named null, and
-are in no one's group; vectors of different lengths don't link; an empty table gives an empty result; other columns
-are ignored.
+are in no one's group; vectors of different lengths don't link; of ties in a sort key the smaller id comes first; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

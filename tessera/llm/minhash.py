@@ -10,8 +10,8 @@ of samples make the buckets, and pairs from buckets are verified by weighted Jac
 Equal texts are collapsed before any comparison.
 
 Defined results: texts that are null or have no word link with nothing; rows with a null id are in no group and kept;
-rows with equal ids get equal results; ties go to the smaller id; an empty table gives an empty result; other columns
-are ignored.
+rows with equal ids get equal results; texts of any length are taken whole; ties go to the smaller id; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
