@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import embedding_dedup, language_id, line_dedup, media, minhash, packing, phrase_dedup, piece_sampling, suffix_dedup, token_count
+from . import embedding_dedup, infilling, language_id, line_dedup, media, minhash, packing, personal_data, phrase_dedup, piece_sampling, suffix_dedup, token_count, whitening
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +66,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infilling.fill_in_middle(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infilling.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+def _is(kind: str) -> Callable[[F.Column], F.Column]:
+    return lambda span: span["kind"] == kind
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, _is(k))).cast("long").alias(f"n_{k}") for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal_data.written(base), 256).alias("base_sha256"), personal_data.written(F.col("spans")).alias("spans"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it is beyond a long; ``deviation_exact`` has it in any case."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumnsRenamed({"deviation": "deviation_exact"}).select("vec_id", "component", "n", F.expr("try_cast(deviation_exact AS long)").alias("deviation"), "whitened", "explained", "identity_error", "deviation_exact")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_substring_dedup, op4_line_dedup, op5_media_columns, op6_minhash_near_dedup, op7_token_counts, op8_sentencepiece, op9_language_id, op10_packing)
+    for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_substring_dedup, op4_line_dedup, op5_media_columns, op6_minhash_near_dedup, op7_token_counts, op8_sentencepiece, op9_language_id, op10_packing, op11_fill_in_middle, op12_personal_data, op13_whitening)
 }
 
 _BYTES = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -98,6 +120,15 @@ reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, link.b FROM r
 SELECT v.vec_id, coalesce(n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = v.vec_id"""
 
+_MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS l, sha256('42:' || doc_id) AS h FROM documents),
+r AS (SELECT doc_id, text, l, len(l) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, array_to_string(l[1:a], '') AS x, array_to_string(l[a + 1:b], '') AS y, array_to_string(l[b + 1:], '') AS z FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p"""
+
 #: SQL of the operators that it can express, over whole tables of the size of sf0.01. Byte formats (5), tokenizers, networks
-#: and packing (7 to 10) and approximate candidates (4, 6) are tested against brute force, libraries and round trips.
-ORACLE_SQL: dict[str, str] = {"op1_suffix_array_dedup": _BYTES, "op2_embedding_near_dedup": _VECTORS, "op3_substring_dedup": _WORDS}
+#: and packing (7 to 10), approximate candidates (4, 6), estimated reliabilities (12) and eigenvectors (13) are tested
+#: against brute force, libraries and round trips.
+ORACLE_SQL: dict[str, str] = {"op1_suffix_array_dedup": _BYTES, "op2_embedding_near_dedup": _VECTORS, "op3_substring_dedup": _WORDS, "op11_fill_in_middle": _MIDDLE}
