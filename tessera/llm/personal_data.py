@@ -130,38 +130,37 @@ def _vote(for_it: Column, against: Column) -> Column:
 
 
 def votes(kind, piece, before, after) -> Column:
-    """1 (for), -1 (against) or 0 of each labeler."""
+    """1 (for), -1 (against) or 0 of each labeler; ``kind`` is a number or a column of numbers."""
     number = digits(piece)
     n = F.length(number)
     no, yes = F.lit(False), F.lit(True)
-    colons = F.length(piece) - F.length(F.translate(piece, ":", ""))
-    groups = colons + 1
+    groups = F.length(piece) - F.length(F.translate(piece, ":", "")) + 1
     short = F.contains(piece, F.lit("::"))
     tld = F.lower(F.regexp_extract(piece, r"([A-Za-z0-9-]+)$", 1))
-    by_kind = lambda *each: F.element_at(F.array(*each), kind + 1)
+    near = F.lower(F.concat(before, F.lit(" "), after))
+    word = lambda text, words: text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])").cast("int")
+    by_kind = lambda *each: each[kind]() if isinstance(kind, int) else F.element_at(F.array(*[f() for f in each]), kind + 1)
     form = by_kind(
-        _vote(piece.rlike(r"[(\[{]\x20?at|^[^\s@]+@[^\s@]+$"), piece.rlike(r"(?i)\x20at\x20[A-Za-z0-9.-]+$")),
-        _vote(piece.rlike(r"^[0-9.]+$") | (groups == 8) | short, piece.rlike(r"^[0-9]{1,2}(?::[0-9]{2}){2}$")),
-        _vote((n == 16) | (n == 15), (n == 17) | (n == 18)),
-        _vote(piece.rlike(r"^(?:\+|00)|^\("), piece.rlike(r"^(?:(?:19|20)[0-9]{2}[ ./-][0-9]{2}[ ./-][0-9]{2}|[0-9]{2}[ ./-][0-9]{2}[ ./-](?:19|20)?[0-9]{2})$")),
+        lambda: _vote(piece.rlike(r"[(\[{]\x20?at|^[^\s@]+@[^\s@]+$"), piece.rlike(r"(?i)\x20at\x20[A-Za-z0-9.-]+$")),
+        lambda: _vote(piece.rlike(r"^[0-9.]+$") | (groups == 8) | short, piece.rlike(r"^[0-9]{1,2}(?::[0-9]{2}){2}$")),
+        lambda: _vote((n == 16) | (n == 15), (n == 17) | (n == 18)),
+        lambda: _vote(piece.rlike(r"^(?:\+|00)|^\("), piece.rlike(r"^(?:(?:19|20)[0-9]{2}[ ./-][0-9]{2}[ ./-][0-9]{2}|[0-9]{2}[ ./-][0-9]{2}[ ./-](?:19|20)?[0-9]{2})$")),
     )
     checksum = by_kind(
-        _vote(tld.rlike("^[a-z]{2,24}$"), yes),
-        _vote(F.contains(piece, F.lit(".")) | (short & (groups < 9)) | (groups == 8), yes),
-        _vote(F.when((n >= 13) & (n <= 19), luhn(number)).otherwise(False), yes),
-        _vote((n >= 9) & (n <= 13), (n < 8) | (n > 15)),
+        lambda: _vote(tld.rlike("^[a-z]{2,24}$"), yes),
+        lambda: _vote(F.contains(piece, F.lit(".")) | (short & (groups < 9)) | (groups == 8), yes),
+        lambda: _vote(F.when((n >= 13) & (n <= 19), luhn(number)).otherwise(False), yes),
+        lambda: _vote((n >= 9) & (n <= 13), (n < 8) | (n > 15)),
     )
     known = by_kind(
-        _vote(tld.isin(*DOMAINS.split()), no),
-        _vote(piece.rlike("(?i)^(?:2[0-9a-f]{3}|fd[0-9a-f]{2}|fe80):"), piece.rlike(PRIVATE)),
-        _vote(number.rlike(ISSUERS), yes),
-        _vote((piece.rlike(r"^(?:\+|00)") & piece.rlike(CALLING)) | piece.rlike(r"^\(?[2-9][0-9]{2}\b"), piece.rlike(r"^(?:\+|00)")),
+        lambda: _vote(tld.isin(*DOMAINS.split()), no),
+        lambda: _vote(piece.rlike("(?i)^(?:2[0-9a-f]{3}|fd[0-9a-f]{2}|fe80):"), piece.rlike(PRIVATE)),
+        lambda: _vote(number.rlike(ISSUERS), yes),
+        lambda: _vote((piece.rlike(r"^(?:\+|00)") & piece.rlike(CALLING)) | piece.rlike(r"^\(?[2-9][0-9]{2}\b"), piece.rlike(r"^(?:\+|00)")),
     )
-    near = F.lower(F.concat(before, F.lit(" "), after))
-    said = by_kind(*[near.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{CUES[k]})(?![\p{{L}}\p{{N}}])").cast("int") for k in range(len(KINDS))])
-    other = -F.lower(before).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{AGAINST})(?![\p{{L}}\p{{N}}])").cast("int")
+    said = by_kind(*[(lambda words: lambda: word(near, words))(CUES[k]) for k in range(len(KINDS))])
     edges = _vote(~before.rlike(r"[\p{L}\p{N}_]$") & ~after.rlike(r"^[\p{L}\p{N}_]"), yes)
-    return F.array(form, checksum, known, said, other, edges)
+    return F.array(form, checksum, known, said, -word(F.lower(before), AGAINST), edges)
 
 
 def shape(piece) -> Column:
@@ -182,11 +181,12 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.select("*", *[F.when(F.size(f"pieces_{k}") > 0, F.split("text", rules[k], -1)).alias(f"gaps_{k}") for k in rules])
     rows = rows.select("id", *[F.when(F.col(f"gaps_{k}").isNotNull(), located(F.col(f"pieces_{k}"), F.col(f"gaps_{k}"))).alias(f"at_{k}") for k in rules])
 
-    def told(m, kind, base: bool):
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), kind.alias("kind"), F.lit(base).alias("base"), votes(kind, m["piece"], m["before"], m["after"]).alias("votes"), shape(m["piece"]).alias("shape"))
+    def told(m, kind: int | Column, base: bool):
+        number = F.lit(kind) if isinstance(kind, int) else kind
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), number.alias("kind"), F.lit(base).alias("base"), votes(kind, m["piece"], m["before"], m["after"]).alias("votes"), shape(m["piece"]).alias("shape"))
 
     def by_base(k: int) -> Column:
-        return F.transform(F.filter(f"at_{k}", lambda m: holds(k, m["piece"])), lambda m: told(m, F.lit(k), True))
+        return F.transform(F.filter(f"at_{k}", lambda m: holds(k, m["piece"])), lambda m: told(m, k, True))
 
     parts = [by_base(k) for k in range(len(KINDS))]
     parts.append(F.transform("at_loose", lambda m: told(m, kind_of(m["piece"]), False)))
