@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine, doubles
+from ..functions.vectors import nearest
 from ..plans import views as V
 from ..registry import query
 from ..session import table
@@ -61,10 +62,11 @@ def class_weight(kind, which: int) -> F.Column:
 RECALLS = f"""{RANKED}, {GRAPH},
 lex AS (SELECT qid, id, file_id, row_number() OVER (PARTITION BY qid ORDER BY r, id) AS rank FROM (SELECT qid, id, file_id, min(rank) AS r FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY qid, id, file_id) QUALIFY rank <= 200),
 first_c AS (SELECT file_id, min(id) AS id FROM chunks GROUP BY file_id),
-vec AS (SELECT qid, id, file_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM (SELECT q.item_id AS qid, c.id, c.file_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])), 6) AS s FROM benchmark q JOIN embeddings w ON w.vec_id = q.item_id, embeddings v JOIN first_c c ON c.file_id = v.vec_id) QUALIFY rank <= 50),
+qd AS (SELECT qid, norm, unnest(range(0, len(v))) AS d, unnest(v) AS n FROM question_vectors), cd AS (SELECT id, file_id, norm, unnest(range(0, len(v))) AS d, unnest(v) AS n FROM vectors),
+vec AS (SELECT qid, id, file_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM (SELECT qid, id, file_id, round(CAST(sum(qd.n * cd.n) AS DOUBLE) / (qd.norm * cd.norm), 6) AS s FROM qd JOIN cd ON qd.d = cd.d AND qd.n <> 0 AND cd.n <> 0 GROUP BY qid, id, file_id, qd.norm, cd.norm) WHERE s > 0 QUALIFY rank <= 50),
 gra AS (SELECT qid, id, file_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM graph QUALIFY rank <= 50),
 fil AS (SELECT qid, id, file_id, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, id) AS rank FROM (SELECT qid, f.id AS file_id, count(*) AS hits FROM (SELECT DISTINCT qid, unnest(terms) AS term FROM questions) t JOIN files f ON contains(lower(f.name), t.term) GROUP BY qid, f.id) JOIN first_c USING (file_id) QUALIFY rank <= 50)"""
-VIEWS = "files " + GRAPH_VIEWS
+VIEWS = "files " + GRAPH_VIEWS + " vectors question_vectors"
 FUSED4 = f"""{RECALLS}, cls AS (SELECT qid, {_W_SQL(0)} AS v, {_W_SQL(1)} AS b FROM (SELECT qid, {_CLASS_SQL} AS class FROM questions)),
 fused AS (SELECT qid, id, file_id, round(sum(w / ({RRF_K} + rank)), 6) AS score FROM (SELECT lex.*, b AS w FROM lex JOIN cls USING (qid) UNION ALL SELECT vec.*, v FROM vec JOIN cls USING (qid) UNION ALL SELECT gra.*, v FROM gra JOIN cls USING (qid) UNION ALL SELECT fil.*, greatest(v, b) FROM fil JOIN cls USING (qid)) GROUP BY qid, id, file_id)"""
 
@@ -74,12 +76,10 @@ def first_chunks(spark, d) -> DataFrame:
 
 
 def vector_hits(spark, d) -> DataFrame:
-    """The 50 files nearest to each question by their vectors, as their first chunks. Each task keeps its 50 best of a query
-    before the shuffle (Spark's group limit)."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), doubles(F.col("embedding")).alias("v"))
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid")).join(e.select(F.col("file_id").alias("qid"), F.col("v").alias("q")), "qid")
-    near = e.join(first_chunks(spark, d), "file_id").join(q).select("qid", "id", "file_id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
-    return ranked(near, limit=50)
+    """RT34, RT08: the 50 chunks nearest to each question by their hashed words, all chunks compared; only those with a
+    positive cosine count."""
+    near = nearest(V.question_vectors(spark, d), V.vectors(spark, d), 50).filter("score > 0")
+    return ranked(near, limit=50).select("qid", "id", F.expr(f"id div {V.PLACES}").alias("file_id"), "score", "rank")
 
 
 def file_hits(spark, d) -> DataFrame:

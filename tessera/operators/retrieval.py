@@ -14,15 +14,15 @@ K1, B = 1.2, 0.75
 
 
 def bm25(spark: SparkSession, d: str, questions: DataFrame | None = None) -> DataFrame:
-    """RT05, AG10: qid, id, file_id, score (6 places), of all terms of a query (qid, terms). The postings lie in the order of their
-    terms and only the queries' terms are read on; a chunk's length comes with each posting."""
+    """RT05: qid, id, file_id, score (6 places), of all terms of a query (qid, terms). Only the folders of the queries' terms are
+    read, once; how many chunks hold a term was counted at ingest, and a chunk's length comes with each posting."""
     asked = (V.questions(spark, d) if questions is None else questions).select("qid", F.explode("terms").alias("term")).distinct()
-    corpus = V.chunks(spark, d).filter("words > 0").agg(F.count("*").alias("n"), F.avg("words").alias("avgdl"))
-    hit = V.postings(spark, d).join(asked.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.col("avgdl")))
-    scored = hit.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(corpus))  # one row
+    corpus = V.chunks(spark, d).filter("words > 0").agg(F.count("*").alias("n"), F.avg("words").alias("avgdl")).first()
+    n, avgdl = float(corpus["n"]), float(corpus["avgdl"] or 1.0)
+    known = asked.join(V.asked(V.terms(spark, d), asked, "term").select("term", "df"), "term")
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / avgdl))
+    scored = V.asked(V.postings(spark, d), asked, "term").join(known, "term")
     return scored.groupBy("qid", "id", "file_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
@@ -54,30 +54,65 @@ def rt05(spark: SparkSession, d: str) -> DataFrame:
 @query("ag10_bm25_stats", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term", "chunks postings")
 def ag10(spark, d):
     """AG10: document and collection frequency of each term."""
-    return V.postings(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return V.terms(spark, d).select("term", "df", "cf")
 
 
 PHR = "phr AS (SELECT qid, c.id, c.file_id, CAST((length(lower(content)) - length(replace(lower(content), phrase, ''))) // length(phrase) AS BIGINT) AS n FROM chunks c, questions WHERE length(phrase) >= 2 AND contains(lower(content), phrase))"
 
 
+#: Trigrams of a phrase that are looked up, the rarest first.
+RAREST = 3
+
+
+def phrase_candidates(spark: SparkSession, d: str, phrases: DataFrame) -> DataFrame:
+    """qid, id, at: where the rarest trigrams of a phrase (qid, phrase) stand in a chunk as far apart as in the phrase. A phrase
+    of two characters is the beginning of trigrams, and any of them will do."""
+    dictionary = V.grams(spark, d)
+    long = phrases.filter(F.length("phrase") >= 3).select("qid", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("phrase") - 2), lambda i: F.substring("phrase", i, F.lit(3)))).alias("offset", "gram"))
+    once = long.groupBy("qid", "gram").agg(F.min("offset").alias("offset"))
+    # a trigram that no chunk holds is the rarest
+    rare = first_of(once.join(dictionary.select("gram", "n"), "gram", "left").fillna(0, ["n"]), ["qid"], ["n", "gram"], RAREST)
+    need = rare.groupBy("qid").agg(F.count("*").alias("need"))
+    short = phrases.filter(F.length("phrase") == 2).select("qid", F.col("phrase").alias("begins")).join(dictionary, "begins")
+    looked = rare.select("qid", "gram", "offset").union(short.select("qid", "gram", F.lit(0)))
+    met = V.asked(V.trigrams(spark, d), looked, "gram").join(looked, "gram").groupBy("qid", "id", (F.col("at") - F.col("offset")).alias("at")).agg(F.count("*").alias("met"))
+    return met.join(need, "qid", "left").filter(F.col("met") == F.coalesce("need", F.lit(1))).select("qid", "id", "at")
+
+
 def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
-    """RT06: qid, id, file_id, n: chunks that hold the whole phrase of a query, and how often. Candidates share the phrase's
-    longest inner word, which stands in a chunk as a word wherever the phrase does; phrases of one or two words have none
-    and are looked for in every chunk."""
-    q = V.questions(spark, d).select("qid", "phrase", "anchor").filter(F.length("phrase") >= 2)
+    """RT06: qid, id, file_id, n, places, length: chunks that hold the whole phrase of a query, how often (without overlaps),
+    at how many places, and their number of trigrams."""
+    q = V.questions(spark, d).select("qid", "phrase").filter(F.length("phrase") >= 2)
     text = V.chunks(spark, d).select("id", "file_id", F.lower("content").alias("low"))
-    met = V.postings(spark, d).select("id", F.col("term").alias("anchor")).join(q.filter("anchor is not null"), "anchor").select("qid", "id", "phrase").join(text, "id")
-    short = text.join(q.filter("anchor is null").select("qid", "phrase"), F.contains("low", "phrase"))
-    hit = met.select("qid", "id", "phrase", "file_id", "low").unionByName(short.select("qid", "id", "phrase", "file_id", "low")).filter(F.contains("low", "phrase"))
+    met = phrase_candidates(spark, d, q).join(q, "qid").join(text, "id").filter(F.substring("low", F.col("at"), F.length("phrase")) == F.col("phrase"))
     n = F.floor((F.length("low") - F.length(F.replace("low", "phrase", F.lit("")))) / F.length("phrase"))
-    return hit.select("qid", "id", "file_id", n.cast("long").alias("n"))
+    return met.groupBy("qid", "id", "file_id").agg(F.first(n).cast("long").alias("n"), F.count("*").alias("places"), F.greatest(F.first(F.length("low")) - 2, F.lit(0)).alias("length"))
 
 
 @query("rt06_phrase", f"WITH {PHR} SELECT qid, id, file_id, n, row_number() OVER (PARTITION BY qid ORDER BY n DESC, id) AS rank FROM phr QUALIFY rank <= 50", "chunks questions")
 def rt06(spark, d):
     """RT06: recall by the whole phrase."""
     w = Window.partitionBy("qid").orderBy(F.desc("n"), "id")
-    return phrase_hits(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 50")
+    return phrase_hits(spark, d).select("qid", "id", "file_id", "n", F.row_number().over(w).cast("long").alias("rank")).filter("rank <= 50")
+
+
+_PLACES = "len(list_filter(range(1, length(lower(content)) - length(phrase) + 2), lambda i: substring(lower(content), CAST(i AS BIGINT), length(phrase)) = phrase))"
+
+
+@query("rt06_trigram_bm25", f"""WITH corpus AS (SELECT count(*) AS n, avg(greatest(length(content) - 2, 0)) AS avgdl FROM chunks),
+hit AS (SELECT qid, c.id, {_PLACES} AS tf, greatest(length(content) - 2, 0) AS dl FROM chunks c, questions WHERE length(phrase) >= 2 AND contains(lower(content), phrase)),
+s AS (SELECT qid, id, tf, round(greatest(ln((n - count(*) OVER q + 0.5) / (count(*) OVER q + 0.5)), 1e-6) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / avgdl)), 6) AS score FROM hit, corpus WINDOW q AS (PARTITION BY qid))
+SELECT qid, id, CAST(tf AS BIGINT) AS places, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 200""", "chunks questions")
+def rt06_bm25(spark, d):
+    """RT06: chunks that hold a query's phrase, by BM25 of the phrase over lengths in trigrams, 200 best."""
+    hit = phrase_hits(spark, d)
+    corpus = V.chunks(spark, d).agg(F.count("*").alias("n"), F.avg(F.greatest(F.length("content") - 2, F.lit(0))).alias("avgdl")).first()
+    n, avgdl = float(corpus["n"]), float(corpus["avgdl"] or 1.0)
+    df = F.count("*").over(Window.partitionBy("qid"))
+    idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    tf = F.col("places")
+    score = F.round(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avgdl)), 6)
+    return ranked(hit.select("qid", "id", "places", score.alias("score")), limit=200)
 
 
 VEC = "WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT id AS qid, v AS q FROM v WHERE id % 50 = 0), s AS (SELECT qid, id, label, round(list_cosine_similarity(v, q), 6) AS score FROM v, q)"

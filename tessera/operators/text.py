@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.passages import PARAGRAPHS_SQL, PASSAGES_SQL, SECTIONS_SQL, paragraphs, passages, sections
 from ..plans import views as V
 from ..registry import query
 from ..session import table
@@ -21,14 +22,37 @@ def big(c) -> F.Column:
 
 @query("tx03_chunks", "SELECT file_id, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars, CAST(max(chunk_index) AS BIGINT) AS last_index FROM chunks GROUP BY file_id", "chunks")
 def tx03(spark, d):
-    """TX03: chunks of 400 characters, blanks dropped; by file."""
+    """TX03: number and size of the stored passages of each file."""
     return V.chunks(spark, d).groupBy("file_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"), F.max("chunk_index").alias("last_index"))
 
 
-@query("tx02_paragraphs", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> '')) AS BIGINT) AS paragraphs FROM documents")
+@query("tx01_headings", SECTIONS_SQL)
+def tx01(spark, d):
+    """TX01: texts cut at headings."""
+    s = V.documents(spark, d).select("doc_id", F.posexplode(sections(F.col("text"))).alias("section_id", "s"))
+    return s.select("doc_id", F.col("section_id").cast("long").alias("section_id"), "s.heading", "s.body")
+
+
+@query("tx03_paragraph_chunks", PASSAGES_SQL)
+def tx03_passages(spark, d):
+    """TX03: paragraphs packed to 400 characters within sections, with the beginning of the section."""
+    p = V.documents(spark, d).select("doc_id", F.posexplode(passages(F.col("text"), parent=True)).alias("i", "p"))
+    return p.select("doc_id", F.col("i").cast("long").alias("chunk_index"), "p.heading", "p.section_id", "p.section_text", "p.content")
+
+
+@query("tx02_paragraphs", f"SELECT doc_id, CAST(len(l) AS BIGINT) AS paragraphs, CAST(coalesce(list_max(list_transform(l, lambda p: length(p))), 0) AS BIGINT) AS longest FROM (SELECT doc_id, {PARAGRAPHS_SQL % 'text'} AS l FROM documents)")
 def tx02(spark, d):
-    """TX02: non-blank paragraphs."""
-    return V.documents(spark, d).select("doc_id", big(F.size(F.filter(F.split("text", "\n", -1), lambda p: F.trim(p) != ""))).alias("paragraphs"))
+    """TX02: paragraphs between blank lines, and the longest one's characters."""
+    p = V.documents(spark, d).select("doc_id", paragraphs(F.col("text")).alias("l"))
+    return p.select("doc_id", big(F.size("l")).alias("paragraphs"), big(F.coalesce(F.array_max(F.transform("l", F.length)), F.lit(0))).alias("longest"))
+
+
+@query("rt34_text_vectors", "SELECT 'chunk' AS kind, id, array_to_string(v, ' ') AS v, round(norm, 6) AS norm, round(v[1] / norm, 6) AS first FROM vectors UNION ALL SELECT 'question', qid, array_to_string(v, ' '), round(norm, 6), round(v[1] / norm, 6) FROM question_vectors", "chunks vectors question_vectors")
+def rt34(spark, d):
+    """RT34: hashed words of all chunks and questions: sums by dimension, and the norm that makes them a unit vector."""
+    both = V.vectors(spark, d).select(F.lit("chunk").alias("kind"), "id", "v", "norm").union(V.question_vectors(spark, d).select(F.lit("question"), "qid", "v", "norm"))
+    unit = F.col("v")[0] / F.col("norm")
+    return both.select("kind", "id", F.array_join(F.transform("v", lambda x: x.cast("string")), " ").alias("v"), F.round("norm", 6).alias("norm"), F.round(unit, 6).alias("first"))
 
 
 @query("tx04_context_prefix", "SELECT c.id, substring('[' || f.name || ' | ' || f.category || '] ', 1, 80) || content AS text FROM chunks c JOIN files f ON f.id = c.file_id", "files chunks")

@@ -12,9 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.passages import PASSAGES_SQL, passages
+from ..functions.vectors import hashed, hashed_sql
 from ..session import shared_dir, table
 
-CHUNK = 400
+#: Folders of an index: a search reads those that its terms hash to.
+PARTS = 64
 #: Places for the chunks of a document in a chunk's id: more than the longest string can have.
 PLACES = 1 << 24
 TOKEN = "[a-zà-ÿ0-9]+"
@@ -26,18 +29,33 @@ _stored: dict[tuple, str] = {}
 
 
 def stored(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame], *order: str) -> DataFrame:
-    """The table ``name`` made from the tables of ``d``: written once a session for the same input files."""
+    """The table ``name`` made from the tables of ``d``: written once a session for the same input files. With an order it is
+    dealt by ranges of all its columns, so that a frequent first value goes to several tasks, into PARTS folders by a hash of
+    the first one (see ``asked``)."""
     key = (spark.sparkContext.applicationId, name, tuple(sorted(table(spark, d, "documents").inputFiles())))
     if key not in _stored:
         path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         df = make()
         if order:
-            df = df.repartition(order[0]).sortWithinPartitions(*order)
-        df.write.parquet(path)
+            df = df.withColumn("part", part_of(F.col(order[0]))).repartitionByRange("part", *order).sortWithinPartitions("part", *order)
+            df.write.partitionBy("part").parquet(path)
+        else:
+            df.write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 
 
+def part_of(key) -> F.Column:
+    return (F.crc32(key) % PARTS).cast("int")
+
+
+def asked(index: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The folders of a stored index that can hold one of the ``keys``; their numbers (PARTS at most) go to the driver, so that
+    the scan leaves the others out."""
+    parts = [r["p"] for r in keys.select(part_of(F.col(key)).alias("p")).distinct().collect()]
+    return index.filter(F.col("part").isin(parts))
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """The documents; a table of fewer splits than the cluster has cores is dealt out anew, larger ones are read as they lie."""
     docs, cores = table(spark, d, "documents"), spark.sparkContext.defaultParallelism
@@ -62,17 +80,37 @@ def tokens(text) -> F.Column:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """id, file_id, chunk_index, content, words (their number): pieces of CHUNK characters, cut in one pass over each text."""
+    """id, file_id, chunk_index, content, words (their number), heading: the passages of each text, cut where it lies."""
 
     def make():
-        pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-        docs = documents(spark, d).select("doc_id", F.posexplode(pieces).alias("i", "piece"))
-        cut = docs.select((F.col("doc_id") * PLACES + F.col("i")).alias("id"), F.col("doc_id").alias("file_id"), F.col("i").cast("long").alias("chunk_index"), F.trim("piece").alias("content"))
-        return cut.filter("content <> ''").withColumn("words", F.size(tokens(F.col("content"))).cast("long"))
+        docs = documents(spark, d).select("doc_id", F.posexplode(passages(F.col("text"))).alias("i", "p"))
+        cut = docs.select((F.col("doc_id") * PLACES + F.col("i")).alias("id"), F.col("doc_id").alias("file_id"), F.col("i").cast("long").alias("chunk_index"), F.col("p.content").alias("content"), F.col("p.heading").alias("heading"))
+        return cut.withColumn("words", F.size(tokens(F.col("content"))).cast("long"))
 
     return stored(spark, d, "chunks", make)
 
 
+def content_words(text) -> F.Column:
+    """The tokens of four or more characters but stop words, as often as they stand there."""
+    return F.filter(tokens(text), lambda t: (F.length(t) >= 4) & ~t.isin(*STOP))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """RT34: id, file_id, v, norm: the hashed words of each chunk; chunks without any are left out."""
+
+    def make():
+        v = chunks(spark, d).select("id", "file_id", hashed(content_words(F.col("content"))).alias("h"))
+        return v.select("id", "file_id", "h.v", "h.norm").filter("norm > 0")
+
+    return stored(spark, d, "vectors", make)
+
+
+def question_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """qid, v, norm of each benchmark item's text."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), hashed(content_words(F.col("text"))).alias("h"))
+    return q.select("qid", "h.v", "h.norm").filter("norm > 0")
+
+
 def postings(spark: SparkSession, d: str) -> DataFrame:
     """id, file_id, chunk_index, words, term, tf: sorted by term. A chunk's words are counted where it lies."""
 
@@ -83,6 +121,32 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, d, "postings", make, "term", "id")
 
 
+def terms(spark: SparkSession, d: str) -> DataFrame:
+    """term, df, cf: in how many chunks each term stands, and how often."""
+    return stored(spark, d, "terms", lambda: postings(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "term")
+
+
+#: Ends the text of a chunk in the index of trigrams, so that its last two characters begin one.
+END = "\x03"
+
+
+def trigrams(spark: SparkSession, d: str) -> DataFrame:
+    """gram, id, at: the places (from 1) of all trigrams of the chunks in lower case, and of their last two characters."""
+
+    def make():
+        text = F.concat(F.lower("content"), F.lit(END))
+        places = F.when(F.length("content") >= 2, F.sequence(F.lit(1), F.length("content") - 1))
+        rows = chunks(spark, d).select("id", text.alias("t"), F.explode(places).alias("at"))
+        return rows.select(F.substring("t", F.col("at"), F.lit(3)).alias("gram"), "id", "at")
+
+    return stored(spark, d, "trigrams", make, "gram", "id", "at")
+
+
+def grams(spark: SparkSession, d: str) -> DataFrame:
+    """gram, begins (its first two characters), n: how often each trigram stands in the chunks."""
+    return stored(spark, d, "grams", lambda: trigrams(spark, d).groupBy("gram").agg(F.count("*").alias("n")).select("gram", F.substring("gram", 1, 2).alias("begins"), "n"))
+
+
 def anchor(text) -> F.Column:
     """The longest token of a text that is neither its first nor its last: a text that holds this one has it as a token."""
     inner = tokens(text)
@@ -93,7 +157,7 @@ def anchor(text) -> F.Column:
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """qid, terms (all tokens of four or more characters but stop words), phrase (the whole text without operators of a
     query language), anchor (its longest token that isn't its first or last), text; of each benchmark item."""
-    terms = F.filter(tokens(F.col("text")), lambda t: (F.length(t) >= 4) & ~t.isin(*STOP))
+    terms = content_words(F.col("text"))
     phrase = F.trim(F.regexp_replace(F.lower("text"), '[*^:{}"]', ""))
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(terms).alias("terms"), phrase.alias("phrase"), anchor(phrase).alias("anchor"), "text")
 
@@ -128,10 +192,18 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
 _TYPE_SQL = "CASE length(term) % 5 WHEN 0 THEN 'connector' WHEN 1 THEN 'material' WHEN 2 THEN 'standard' WHEN 3 THEN 'process' ELSE 'param' END"
+
+
+def _words_sql(rows: str) -> str:
+    return f"SELECT * EXCLUDE (text), unnest(list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda t: length(t) >= 4 AND t NOT IN ({_STOP_SQL}))) AS term FROM ({rows})"
+
+
 CTES = {
     "files": "SELECT doc_id AS id, source || '_' || doc_id || '.txt' AS name, lang AS category, '/' || source || '/' || lang AS folder, doc_id % 6 AS authority, doc_id % 17 = 0 AS deleted, CAST(length(text) AS BIGINT) AS size, text FROM documents",
-    "chunks": f"SELECT doc_id * {PLACES} + i AS id, doc_id AS file_id, CAST(i AS BIGINT) AS chunk_index, trim(substring(text, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK})) AS content FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / {CHUNK}.0) AS BIGINT)))) AS i FROM documents) WHERE trim(substring(text, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK})) <> ''",
+    "chunks": f"SELECT doc_id * {PLACES} + chunk_index AS id, doc_id AS file_id, chunk_index, content, heading FROM ({PASSAGES_SQL})",
     "postings": f"SELECT id, file_id, chunk_index, term, count(*) AS tf FROM (SELECT id, file_id, chunk_index, unnest(regexp_extract_all(lower(content), '{TOKEN}')) AS term FROM chunks) GROUP BY ALL",
+    "vectors": hashed_sql(_words_sql("SELECT id, file_id, content AS text FROM chunks"), "id, file_id"),
+    "question_vectors": hashed_sql(_words_sql("SELECT item_id AS qid, text FROM benchmark"), "qid"),
     "questions": f"SELECT item_id AS qid, text, list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda t: length(t) >= 4 AND t NOT IN ({_STOP_SQL})) AS terms, trim(regexp_replace(lower(text), '[*^:{{}}\"]', '', 'g')) AS phrase FROM benchmark",
     "entities": f"SELECT DISTINCT term AS name, {_TYPE_SQL} AS type FROM postings WHERE length(term) >= {NAME} AND regexp_full_match(term, '[a-zà-ÿ]+')",
     "mentions": "SELECT p.id AS chunk_id, p.file_id, p.chunk_index, e.name, e.type, p.tf AS mention_count FROM postings p JOIN entities e ON p.term = e.name",
