@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cosine, doubles, first_of
 from ..plans import views as V
 from ..registry import query
-from ..session import table
+from ..session import bounded, table
 
 K1, B = 1.2, 0.75
 
@@ -19,7 +19,8 @@ def bm25(spark: SparkSession, d: str, questions: DataFrame | None = None) -> Dat
     asked = (V.questions(spark, d) if questions is None else questions).select("qid", F.explode("terms").alias("term")).distinct()
     corpus = V.chunks(spark, d).filter("words > 0").agg(F.count("*").alias("n"), F.avg("words").alias("avgdl")).first()
     n, avgdl = float(corpus["n"]), float(corpus["avgdl"] or 1.0)
-    known = asked.join(V.asked(V.terms(spark, d), asked, "term").select("term", "df"), "term")
+    asked = bounded(asked)
+    known = bounded(V.asked(V.terms(spark, d), asked, "term").select("term", "df").join(asked, "term"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / avgdl))
     scored = V.asked(V.postings(spark, d), asked, "term").join(known, "term")
@@ -72,11 +73,11 @@ def phrase_candidates(spark: SparkSession, d: str, phrases: DataFrame) -> DataFr
     once = long.groupBy("qid", "gram").agg(F.min("offset").alias("offset"))
     # a trigram that no chunk holds is the rarest
     rare = first_of(once.join(dictionary.select("gram", "n"), "gram", "left").fillna(0, ["n"]), ["qid"], ["n", "gram"], RAREST)
-    need = rare.groupBy("qid").agg(F.count("*").alias("need"))
     short = phrases.filter(F.length("phrase") == 2).select("qid", F.col("phrase").alias("begins")).join(dictionary, "begins")
-    looked = rare.select("qid", "gram", "offset").union(short.select("qid", "gram", F.lit(0)))
-    met = V.asked(V.trigrams(spark, d), looked, "gram").join(looked, "gram").groupBy("qid", "id", (F.col("at") - F.col("offset")).alias("at")).agg(F.count("*").alias("met"))
-    return met.join(need, "qid", "left").filter(F.col("met") == F.coalesce("need", F.lit(1))).select("qid", "id", "at")
+    need = F.count("*").over(Window.partitionBy("qid"))
+    looked = bounded(rare.select("qid", "gram", "offset", need.alias("need")).union(short.select("qid", "gram", F.lit(0), F.lit(1))))
+    met = V.asked(V.trigrams(spark, d), looked, "gram").join(looked, "gram")
+    return met.groupBy("qid", "id", "need", (F.col("at") - F.col("offset")).alias("at")).agg(F.count("*").alias("met")).filter("met = need").select("qid", "id", "at")
 
 
 def phrase_hits(spark: SparkSession, d: str) -> DataFrame:

@@ -139,7 +139,7 @@ def trigrams(spark: SparkSession, d: str) -> DataFrame:
         rows = chunks(spark, d).select("id", text.alias("t"), F.explode(places).alias("at"))
         return rows.select(F.substring("t", F.col("at"), F.lit(3)).alias("gram"), "id", "at")
 
-    return stored(spark, d, "trigrams", make, "gram", "id", "at")
+    return stored(spark, d, "trigrams", make, "gram", "id")
 
 
 def grams(spark: SparkSession, d: str) -> DataFrame:
