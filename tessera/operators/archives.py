@@ -9,12 +9,15 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.passages import PASSAGES_SQL, passages
 from ..plans import hooks
 from ..plans import views as V
-from ..registry import query
-from ..session import table
+from ..registry import ORACLES, query
+from ..session import cut, shared_dir, table
 from ..sources import office
+from ..streaming.appends import BatchLog, continued
 from ..streaming.sources import ingest, sliding_counts, watch_folder
+from ..streaming.state import PROVIDER, Breaker, Ordered, RateLimit, keyed
 from .tables import Store
 
 
@@ -112,34 +115,102 @@ def streamed(spark: SparkSession, d: str, name: str, **options) -> DataFrame:
     return reader.parquet(f"{d}/{name}.parquet*")
 
 
-@query("st07_stream_ingest", "SELECT file_id, count(*) AS chunks, max(chunk_index) AS last_index FROM chunks GROUP BY file_id", "chunks")
-def st07(spark, d):
-    """ST07, SC13: documents that arrive as a stream are cut and appended in micro-batches; a batch that comes again after a
-    failure replaces what it wrote before."""
-    s = Store(spark)
-    s.put("chunks", spark.createDataFrame([], "batch long, file_id long, chunk_index long, content string"))
+#: Characters of a page, and batches that the pages of the documents arrive in.
+PAGE, ARRIVALS = 2000, 10
+PAGED = f"paged AS (SELECT doc_id * {V.PLACES} + p AS doc_id, substring(text, CAST(p * {PAGE} + 1 AS BIGINT), {PAGE}) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / {PAGE}.0) AS BIGINT))) AS p FROM documents))"
+
+
+def pages(docs: DataFrame) -> DataFrame:
+    """doc_id, page, text: texts cut to pages."""
+    at = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PAGE).cast("int")))
+    return docs.select("doc_id", "text", F.explode(at).alias("page")).select("doc_id", "page", F.substring("text", F.col("page") * PAGE + 1, F.lit(PAGE)).alias("text"))
+
+
+def arrive(rows: DataFrame, slice_of: F.Column, slices: int, folder: str) -> None:
+    """Writes ``rows`` one slice after the other, as they would arrive."""
+    dealt = cut(rows.withColumn("_slice", slice_of))
+    for i in range(slices):
+        dealt.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(folder)
+
+
+def page_ingest(spark: SparkSession, log: BatchLog):
+    """What a micro-batch of pages does: their passages, numbered on from where earlier batches left the file, and the new ends."""
 
     def write(batch: DataFrame, number: int) -> None:
-        pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{V.CHUNK}}}"), F.lit(0))
-        cut = batch.select(F.lit(number).cast("long").alias("batch"), F.col("doc_id").alias("file_id"), F.posexplode(pieces).alias("i", "piece"))
-        rows = cut.select("batch", "file_id", F.col("i").cast("long").alias("chunk_index"), F.trim("piece").alias("content")).filter("content <> ''")
-        s.put("chunks", s.get("chunks").filter(F.col("batch") != number).union(rows))
+        p = batch.select(F.col("doc_id").alias("file_id"), "page", F.posexplode(passages(F.col("text"))).alias("i", "p"))
+        ends = log.read("ends", "file_id long, last long", before=number)
+        rows = cut(continued(p.select("file_id", "page", "i", F.col("p.content").alias("content")), ends, "file_id", ["page", "i"], "chunk_index"))
+        log.write(number, chunks=rows.select("file_id", "chunk_index", "content"), ends=rows.groupBy("file_id").agg(F.max("chunk_index").alias("last")))
 
-    ingest(streamed(spark, d, "documents", maxFilesPerTrigger=4), write, f"{s.root}/checkpoint").awaitTermination()
-    return s.get("chunks").groupBy("file_id").agg(F.count("*").alias("chunks"), F.max("chunk_index").alias("last_index"))
+    return write
+
+
+CHUNK_ROWS = "file_id long, chunk_index long, content string"
+
+
+@query("st07_stream_ingest", f"WITH {PAGED}, p AS ({PASSAGES_SQL.replace('FROM documents', 'FROM paged')}) SELECT doc_id // {V.PLACES} AS file_id, CAST(row_number() OVER (PARTITION BY doc_id // {V.PLACES} ORDER BY doc_id, chunk_index) - 1 AS BIGINT) AS chunk_index, md5(content) AS digest FROM p")
+def st07(spark, d):
+    """ST07, SC13: pages of documents arrive in ten batches and are cut and appended; the fifth comes again, as after a
+    failure, and takes the place of what it wrote before."""
+    root = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/ingest-{uuid.uuid4().hex}"
+    log = BatchLog(spark, f"{root}/tables")
+    arrive(pages(V.documents(spark, d)), F.least(F.col("page"), F.lit(ARRIVALS - 1)), ARRIVALS, f"{root}/in")
+    write = page_ingest(spark, log)
+
+    def store(batch: DataFrame, number: int) -> None:
+        for _ in range(2 if number == 4 else 1):
+            write(batch, number)
+
+    stream = spark.readStream.schema("doc_id long, page int, text string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    ingest(stream, store, f"{root}/checkpoint").awaitTermination()
+    return log.read("chunks", CHUNK_ROWS).select("file_id", "chunk_index", F.md5("content").alias("digest"))
 
 
 @query("st01_stream_windows", "SELECT w AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts) - INTERVAL 2 HOUR, date_trunc('hour', ts) - INTERVAL 1 HOUR, date_trunc('hour', ts)]) AS w FROM events) GROUP BY ALL")
 def st01(spark, d):
-    """ST01 as a stream: sliding windows with a watermark; a window is written again whenever it changes, the last form counts."""
-    s = Store(spark)
-    s.put("w", spark.createDataFrame([], "start timestamp_ntz, event_type string, n long"))
+    """ST01 as a stream: sliding windows with a watermark; each batch appends the windows that it changed, the last form counts."""
+    root = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/windows-{uuid.uuid4().hex}"
+    log = BatchLog(spark, f"{root}/tables")
     events = streamed(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = sliding_counts(events, "3 hours", "1 hour").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
-    write = lambda batch, number: s.upsert("w", batch, ["start", "event_type"])
-    run = counts.writeStream.outputMode("update").foreachBatch(lambda b, i: write(b, i) and None).option("checkpointLocation", f"{s.root}/c-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return s.get("w")
+    store = lambda batch, number: log.write(number, w=batch)
+    counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return log.latest("w", "start timestamp_ntz, event_type string, n long", ["start", "event_type"])
+
+
+def keyed_events(spark: SparkSession, d: str, rule: Ordered, kind: str, key: str = "user_id", slices: int = 3) -> DataFrame:
+    """A rule over the events as they arrive, in slices of time; an event of another key long after the last one tells the
+    watermark that the table is over."""
+    root = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/keyed-{uuid.uuid4().hex}"
+    log = BatchLog(spark, f"{root}/tables")
+    events = table(spark, d, "events").select(key, "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+    span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    lo, hi = (F.unix_micros(F.lit(span[c])) for c in ("lo", "hi"))
+    arrive(events, F.floor((F.unix_micros("ts") - lo) * slices / (hi - lo + 1)).cast("int"), slices, f"{root}/in")
+    end = spark.range(1).select(F.lit(-1).cast("long").alias(key), F.lit(-1).cast("long").alias("event_id"), (F.lit(span["hi"]) + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(True).alias("ok"))
+    end.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    told = keyed(stream, key, rule, kind, "1 hour")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    try:
+        store = lambda batch, number: log.write(number, told=batch)
+        told.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return log.read("told", f"event_id long, {rule.value} {kind}").drop("batch")
+
+
+@query("st02_stream_rate_limit", ORACLES["st02_rate_limit"])
+def st02_stream(spark, d):
+    """ST02 as a stream: 5 calls a user in 36 hours, by keyed state."""
+    return keyed_events(spark, d, RateLimit(5, 36 * 3600 * 1_000_000), "boolean")
+
+
+@query("st03_stream_breaker", ORACLES["st03_circuit_breaker"])
+def st03_stream(spark, d):
+    """ST03 as a stream: a breaker for each user, by keyed state."""
+    return keyed_events(spark, d, Breaker(2, 86_400_000_000), "string")
 
 
 @query("sc19_watched_folder", "SELECT CAST(2 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS seen_again")
