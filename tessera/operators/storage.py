@@ -50,12 +50,14 @@ def sk09(spark, d):
     return n.select("id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", (F.col("n") - 1).cast("string"))).alias("slug"))
 
 
-@query("ag17_duplicate_files", "SELECT file_id AS id, digest, row_number() OVER (PARTITION BY digest ORDER BY file_id) > 1 AS duplicate FROM (SELECT file_id, md5(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT DISTINCT file_id, md5(content) AS h FROM chunks) GROUP BY file_id)", "chunks")
+@query("ag17_duplicate_files", "SELECT file_id AS id, digest, row_number() OVER (PARTITION BY digest ORDER BY length(name) DESC, file_id) > 1 AS duplicate FROM (SELECT file_id, md5(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT DISTINCT file_id, md5(content) AS h FROM chunks) GROUP BY file_id) JOIN files ON files.id = file_id", "files chunks")
 def ag17(spark, d):
-    """AG17: files whose chunks are equal as sets; the least id stays."""
+    """AG17: files whose chunks are equal as sets; the one of the longest name stays, then of the least id. A group of copies
+    sends its best candidate of each task."""
     g = V.chunks(spark, d).groupBy("file_id").agg(F.md5(F.array_join(F.sort_array(F.collect_set(F.md5("content"))), ",")).alias("digest"))
-    first = g.groupBy("digest").agg(F.min("file_id").alias("keep"))
-    return g.join(first, "digest").select(F.col("file_id").alias("id"), "digest", (F.col("file_id") > F.col("keep")).alias("duplicate"))
+    g = g.join(V.files(spark, d).select(F.col("id").alias("file_id"), (-F.length("name")).alias("short")), "file_id")
+    first = g.groupBy("digest").agg(F.min(F.struct("short", "file_id"))["file_id"].alias("keep"))
+    return g.join(first, "digest").select(F.col("file_id").alias("id"), "digest", (F.col("file_id") != F.col("keep")).alias("duplicate"))
 
 
 @query("ag18_content_hash", "SELECT sha256(text) AS content_hash, min(doc_id) AS keep_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -128,10 +130,3 @@ def sk14(spark, d):
     n = V.chunks(spark, d).groupBy("file_id").agg(F.count("*").alias("chunk_count"))
     f = V.files(spark, d).select("id", "name")
     return f.join(n, F.col("id") == F.col("file_id"), "left").select("id", "name", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-
-
-@query("sc21_ancestors", "SELECT id, '/' || source_part || '/' AS parent, CAST(len(string_split(folder, '/')) - 1 AS BIGINT) AS depth FROM (SELECT id, folder, string_split(folder, '/')[2] AS source_part FROM files)", "files")
-def sc21(spark, d):
-    """SC21: a folder's parent chain."""
-    p = F.split("folder", "/")
-    return V.files(spark, d).select("id", F.concat(F.lit("/"), p[1], F.lit("/")).alias("parent"), (F.size(p) - 1).cast("long").alias("depth"))

@@ -9,7 +9,7 @@ from .plans.views import CTES
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("retrieval", "fusion", "vector_index", "text", "graph", "storage", "analytics", "joins", "streams", "ranking", "rules", "tables", "listings", "queries", "structure", "archives")
+MODULES = ("retrieval", "fusion", "vector_index", "text", "graph", "storage", "analytics", "joins", "streams", "ranking", "rules", "tables", "listings", "queries", "structure", "upkeep", "archives")
 
 
 def query(name: str, sql: str | None = None, views: str = ""):
