@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.passages import PASSAGES_SQL, passages
 from ..plans import hooks
 from ..plans import views as V
-from ..registry import ORACLES, query
+from ..registry import ORACLES, example, query
 from ..session import cut, shared_dir, table
 from ..sources import office
 from ..streaming.appends import BatchLog, continued
@@ -33,7 +33,7 @@ def given(spark: SparkSession, *files: tuple[str, bytes]) -> DataFrame:
     return spark.createDataFrame([(n, bytearray(b)) for n, b in files], "name string, content binary")
 
 
-@query("sc06_epub", "SELECT * FROM (VALUES ('a.epub', 'First chapter' || chr(10) || 'It has a text that goes on for a while.' || chr(10) || chr(10) || 'Second chapter, short.'), ('b.epub', NULL), ('c.epub', NULL)) v(name, text)")
+@example("sc06_epub", "SELECT * FROM (VALUES ('a.epub', 'First chapter' || chr(10) || 'It has a text that goes on for a while.' || chr(10) || chr(10) || 'Second chapter, short.'), ('b.epub', NULL), ('c.epub', NULL)) v(name, text)")
 def sc06(spark, d):
     """SC06: chapters of a book in their order, without scripts and navigation; the expected texts are written out."""
     one = {"c1.xhtml": "<html><head><title>x</title></head><body><nav>menu</nav><h1>First chapter</h1><p>It has a text that goes on for a while.</p></body></html>", "c2.xhtml": "<p>Second chapter, short.</p><script>no()</script>", "c3.xhtml": "<p>tiny</p>"}
@@ -41,7 +41,7 @@ def sc06(spark, d):
     return given(spark, ("a.epub", packed(**one)), ("b.epub", b"no archive"), ("c.epub", packed(**{"c.html": "<p>too short</p>"}))).select("name", read("content").alias("text"))
 
 
-@query("sc07_docx", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), '## Scope'), (1, 'Plain text.'), (2, '| a | b |'), (3, '| 1 | 2 |')) v(row, line)")
+@example("sc07_docx", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), '## Scope'), (1, 'Plain text.'), (2, '| a | b |'), (3, '| 1 | 2 |')) v(row, line)")
 def sc07(spark, d):
     """SC07: headings, paragraphs and table rows of a letter; the expected lines are written out."""
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -53,7 +53,7 @@ def sc07(spark, d):
     return given(spark, ("a.docx", packed(**{"word/document.xml": xml})), ("b.docx", b"")).select(F.posexplode(read("content")).alias("row", "line")).select(F.col("row").cast("long").alias("row"), "line")
 
 
-@query("sc08_xlsx", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'part | size'), (1, 'A | 2.5'), (2, 'other')) v(row, line)")
+@example("sc08_xlsx", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'part | size'), (1, 'A | 2.5'), (2, 'other')) v(row, line)")
 def sc08(spark, d):
     """SC08: rows of all sheets, shared strings resolved, picture formulas dropped; the expected rows are written out."""
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -65,7 +65,7 @@ def sc08(spark, d):
     return given(spark, ("a.xlsx", packed(**files))).select(F.posexplode(read("content")).alias("row", "line")).select(F.col("row").cast("long").alias("row"), "line")
 
 
-@query("sc09_pptx", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'Title'), (1, 'Point one'), (2, 'Last slide')) v(row, line)")
+@example("sc09_pptx", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'Title'), (1, 'Point one'), (2, 'Last slide')) v(row, line)")
 def sc09(spark, d):
     """SC09: paragraphs of slides in their order; the expected ones are written out."""
     ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
@@ -90,7 +90,7 @@ def ud03(spark, d):
 MANIFESTS = (("notes", "1.0", "1", "tool", True), ("flows", "0.2", "1", "workflow", False), ("old", "1.0", "0", "tool", True), ("bad name", "1.0", "1", "tool", True), ("odd", "1", "1", "theme", True), ("notes", "1.1", "1", "tool", True))
 
 
-@query("ud01_manifests", "SELECT * FROM (VALUES ('notes', '1.1', 'enabled'), ('flows', '0.2', 'disabled')) v(name, version, state)")
+@example("ud01_manifests", "SELECT * FROM (VALUES ('notes', '1.1', 'enabled'), ('flows', '0.2', 'disabled')) v(name, version, state)")
 def ud01(spark, d):
     """UD01: valid manifests installed, the newer version in place of the older, then enabled or disabled."""
     m = spark.createDataFrame(list(MANIFESTS), "name string, version string, api string, kind string, on boolean")
@@ -101,7 +101,7 @@ def ud01(spark, d):
     return s.update("plugins", state=F.when(F.col("on"), "enabled").otherwise("disabled")).select("name", "version", "state")
 
 
-@query("ud07_enabled_tools", "SELECT * FROM (VALUES ('notes')) v(name)")
+@example("ud07_enabled_tools", "SELECT * FROM (VALUES ('notes')) v(name)")
 def ud07(spark, d):
     """UD07: the tools that are enabled."""
     kinds = spark.createDataFrame([(m[0], m[3]) for m in MANIFESTS], "name string, kind string").distinct()
@@ -213,7 +213,7 @@ def st03_stream(spark, d):
     return keyed_events(spark, d, Breaker(2, 86_400_000_000), "string")
 
 
-@query("sc19_watched_folder", "SELECT CAST(2 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS seen_again")
+@example("sc19_watched_folder", "SELECT CAST(2 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS seen_again")
 def sc19(spark, d):
     """SC19: a folder watched twice, with a file more the second time: each file is seen once."""
     s = Store(spark)

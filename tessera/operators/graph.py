@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import views as V
@@ -62,11 +62,15 @@ def jn11(spark, d):
     return banded(*sides(spark, d), 2).select("file_id", "source", "target", "ci", "pi")
 
 
-@query("jn10_pairs_in_chunk", "SELECT a.chunk_id, a.name AS source, b.name AS target FROM mentions a JOIN mentions b ON a.chunk_id = b.chunk_id AND a.name < b.name", ALL)
+@query("jn10_pairs_in_chunk", "SELECT a.type AS source_type, b.type AS target_type, count(*) AS pairs, count(DISTINCT a.chunk_id) AS chunks FROM mentions a JOIN mentions b ON a.chunk_id = b.chunk_id AND a.name < b.name GROUP BY a.type, b.type", ALL)
 def jn10(spark, d):
-    """JN10: all pairs of entities of one chunk, each once; a chunk has a bounded number of words."""
-    m = V.mentions(spark, d).select("chunk_id", "name")
-    return m.withColumnRenamed("name", "source").join(m.withColumnRenamed("name", "target"), "chunk_id").filter("source < target").select("chunk_id", "source", "target")
+    """JN10: pairs of entities of one chunk, each once, by their types. Pairs are made and counted within a chunk's row, so that
+    a chunk leaves a row for each pair of types."""
+    m = V.mentions(spark, d).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("name", "type"))).alias("m"))
+    later = lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x["type"].alias("s"), y["type"].alias("t")))
+    p = m.select("chunk_id", F.explode(F.flatten(F.transform("m", later))).alias("p"))
+    each = p.groupBy("chunk_id", "p.s", "p.t").agg(F.count("*").alias("n"))
+    return each.groupBy(F.col("s").alias("source_type"), F.col("t").alias("target_type")).agg(F.sum("n").alias("pairs"), F.count("*").alias("chunks"))
 
 
 @query("ag08_degree", "SELECT name, count(*) AS degree, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT source AS name, weight AS w FROM edges UNION ALL SELECT target, weight FROM edges) GROUP BY name", ALL + " edges")
@@ -105,6 +109,61 @@ def gr14(spark, d):
     return seen
 
 
+#: The farthest a local graph goes, and how many nodes it shows.
+FARTHEST, SHOWN = 5, 40
+
+
+def local_graph(e: DataFrame, center: DataFrame, hops: int, most: int = SHOWN) -> DataFrame:
+    """GR14: name, hop, degree, in_degree, out_degree, total of the neighbourhood of ``center`` (one row: name) in the edges
+    (source, target, weight): ``hops`` (1 to FARTHEST) steps from nodes not seen before. Of more than ``most`` nodes the center and
+    those of the largest 100 x strong edges + degree stay; degrees count the edges among the nodes that stay."""
+    hops = max(1, min(hops, FARTHEST))
+    both = e.select(F.col("source").alias("a"), F.col("target").alias("b")).union(e.select("target", "source"))
+    seen = cut(center.select("name", F.lit(0).cast("long").alias("hop")))
+    met = e.limit(0)
+    for hop in range(1, hops + 1):
+        front = seen.filter(F.col("hop") == hop - 1).select(F.col("name").alias("a"))
+        step = both.join(front, "a", "left_semi").select(F.col("b").alias("name")).distinct().join(seen, "name", "left_anti")
+        seen = cut(seen.union(step.select("name", F.lit(hop).cast("long"))))
+    inner = seen.filter(F.col("hop") < hops).select("name")
+    met = e.join(inner.withColumnRenamed("name", "source"), "source", "left_semi").union(e.join(inner.withColumnRenamed("name", "target"), "target", "left_semi")).distinct()
+    met = cut(met)
+    ends = met.select(F.col("source").alias("name"), "weight").union(met.select("target", "weight"))
+    weight = ends.groupBy("name").agg((F.sum(F.when(F.col("weight") >= STRONG_WEIGHT, 100).otherwise(0)) + F.count("*")).alias("w"))
+    order = seen.join(weight, "name", "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    kept = cut(order.orderBy(F.asc(F.col("hop") > 0), F.desc("w"), "name").limit(most).select("name", "hop"))
+    left = met.join(kept.select(F.col("name").alias("source")), "source", "left_semi").join(kept.select(F.col("name").alias("target")), "target", "left_semi")
+    ins, outs = left.groupBy(F.col("target").alias("name")).agg(F.count("*").alias("i")), left.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("o"))
+    i, o = F.coalesce("i", F.lit(0)), F.coalesce("o", F.lit(0))
+    total = seen.agg(F.count("*").alias("total"))
+    return kept.join(ins, "name", "left").join(outs, "name", "left").crossJoin(F.broadcast(total)).select("name", "hop", (i + o).alias("degree"), i.alias("in_degree"), o.alias("out_degree"), "total")  # one row
+
+
+#: From this weight on an edge is strong.
+STRONG_WEIGHT = 3
+HOPS = (1, 2, 9)
+
+
+def _local_sql(hops: int) -> str:
+    n = max(1, min(hops, FARTHEST))
+    return f"""SELECT {hops} AS hops, * FROM (WITH RECURSIVE walk(name, hop) AS (SELECT name, 0 FROM center UNION SELECT und.b, hop + 1 FROM walk JOIN und ON und.a = walk.name WHERE hop < {n}),
+ seen AS (SELECT name, min(hop) AS hop FROM walk GROUP BY name),
+ met AS (SELECT DISTINCT source, target, weight FROM edges WHERE source IN (SELECT name FROM seen WHERE hop < {n}) OR target IN (SELECT name FROM seen WHERE hop < {n})),
+ w AS (SELECT name, sum(CASE WHEN weight >= {STRONG_WEIGHT} THEN 100 ELSE 0 END) + count(*) AS w FROM (SELECT source AS name, weight FROM met UNION ALL SELECT target, weight FROM met) GROUP BY name),
+ kept AS (SELECT name, hop FROM seen LEFT JOIN w USING (name) ORDER BY hop > 0, coalesce(w, 0) DESC, name LIMIT {SHOWN}),
+ l AS (SELECT * FROM met WHERE source IN (SELECT name FROM kept) AND target IN (SELECT name FROM kept))
+ SELECT name, CAST(hop AS BIGINT) AS hop, (SELECT count(*) FROM l WHERE l.source = kept.name) + (SELECT count(*) FROM l WHERE l.target = kept.name) AS degree, (SELECT count(*) FROM l WHERE l.target = kept.name) AS in_degree, (SELECT count(*) FROM l WHERE l.source = kept.name) AS out_degree, (SELECT count(*) FROM seen) AS total FROM kept)"""
+
+
+@query("gr14_hops", "WITH und AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), center AS (SELECT min(source) AS name FROM edges WHERE weight >= 3) " + " UNION ALL ".join(f"SELECT CAST(hops AS BIGINT) AS hops, name, hop, degree, in_degree, out_degree, total FROM ({_local_sql(h)})" for h in HOPS), ALL + " edges")
+def gr14_hops(spark, d):
+    """GR14: neighbourhoods of one, two and nine (so five) hops, cut to forty nodes."""
+    e = V.edges(spark, d)
+    center = e.filter(F.col("weight") >= STRONG_WEIGHT).agg(F.min("source").alias("name")).filter("name is not null")
+    parts = [local_graph(e, center, h).select(F.lit(h).cast("long").alias("hops"), "*") for h in HOPS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("tk07_graph_cut", "WITH und AS (SELECT source AS a, target AS b, weight FROM edges UNION ALL SELECT target, source, weight FROM edges), g AS (SELECT a AS name, count(*) AS degree, count(*) FILTER (WHERE weight >= 3) AS semantic FROM und GROUP BY a) SELECT name, degree, semantic FROM g ORDER BY semantic * 100 + degree DESC, name LIMIT 30", ALL + " edges")
 def tk07(spark, d):
     """TK07: the thirty nodes of the largest 100 x strong edges + degree."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import first_of
 from ..plans import views as V
-from ..registry import query
+from ..registry import example, query
 from ..session import table
 from .fusion import RANKED, lexical, phrases
 from .retrieval import BM25, VEC, bm25, ranked, vector_scores
@@ -68,7 +68,7 @@ def pf15(spark, d):
 IDS = ("12", "0012", "x1", " 7", "-3", "", "9999999999")
 
 
-@query("pf16_chunk_ids", "SELECT raw, CAST(raw AS BIGINT) AS id FROM (VALUES " + ", ".join(f"('{x}')" for x in IDS) + ") v(raw) WHERE regexp_full_match(raw, '[0-9]+')")
+@example("pf16_chunk_ids", "SELECT raw, CAST(raw AS BIGINT) AS id FROM (VALUES " + ", ".join(f"('{x}')" for x in IDS) + ") v(raw) WHERE regexp_full_match(raw, '[0-9]+')")
 def pf16(spark, d):
     """PF16: ids that are integers or strings of digits; others go."""
     rows = spark.createDataFrame([(x,) for x in IDS], "raw string")
@@ -300,7 +300,7 @@ def st06(spark, d):
 MIGRATIONS, AT = ((3, "add category"), (1, "create files"), (5, "add links"), (4, "add folder"), (2, "create chunks")), 2
 
 
-@query("st14_migrations", "SELECT version, name, row_number() OVER (ORDER BY version) AS step FROM (VALUES " + ", ".join(f"(CAST({v} AS BIGINT), '{n}')" for v, n in MIGRATIONS) + f") m(version, name) WHERE version > {AT}")
+@example("st14_migrations", "SELECT version, name, row_number() OVER (ORDER BY version) AS step FROM (VALUES " + ", ".join(f"(CAST({v} AS BIGINT), '{n}')" for v, n in MIGRATIONS) + f") m(version, name) WHERE version > {AT}")
 def st14(spark, d):
     """ST14: migrations beyond the highest version applied, in their order."""
     m = spark.createDataFrame(list(MIGRATIONS), "version long, name string").filter(F.col("version") > AT)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cosine, doubles, ladder
 from ..plans import views as V
-from ..registry import query
+from ..registry import example, query
 from ..session import table
 from ..sources import files as S
 from .rules import ASKED_SQL, MODEL_RULE, asked
@@ -24,7 +24,7 @@ def rt20(spark, d):
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
     every = F.concat(words, F.filter(pairs, lambda x: x.rlike(f"^{CJK}{{2}}$")))
     terms = F.when((F.size(every) == 0) & (F.length(t) >= 2), F.array(t)).otherwise(every)
-    return asked(spark).select("qid", F.array_join(F.array_sort(F.array_distinct(terms)), "|").alias("terms"))
+    return asked(spark, d).select("qid", F.array_join(F.array_sort(F.array_distinct(terms)), "|").alias("terms"))
 
 
 # Results to be boosted for one query (literal rows).
@@ -34,7 +34,7 @@ _TERMS = tuple(WANTED.split())
 _HITS = " + ".join(f"CASE WHEN contains(text, '{t}') THEN 1 ELSE 0 END" for t in _TERMS)
 
 
-@query("rt22_boosts", "WITH r(id, text, name, score) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{t}', '{n}', {s}::DOUBLE)" for i, t, n, s in ROWS) + f") SELECT id, round(score + CASE WHEN contains(text, '{WANTED}') THEN 5 ELSE 0 END + least({_HITS}, 5) + CASE WHEN contains(name, '{WANTED}') OR {' OR '.join(f"contains(name, '{t}')" for t in _TERMS)} THEN 3 ELSE 0 END + CASE WHEN contains(text, 'pa66') THEN 3 ELSE 0 END + CASE WHEN contains(name, 'pa66') THEN 5 ELSE 0 END, 2) AS score FROM r")
+@example("rt22_boosts", "WITH r(id, text, name, score) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{t}', '{n}', {s}::DOUBLE)" for i, t, n, s in ROWS) + f") SELECT id, round(score + CASE WHEN contains(text, '{WANTED}') THEN 5 ELSE 0 END + least({_HITS}, 5) + CASE WHEN contains(name, '{WANTED}') OR {' OR '.join(f"contains(name, '{t}')" for t in _TERMS)} THEN 3 ELSE 0 END + CASE WHEN contains(text, 'pa66') THEN 3 ELSE 0 END + CASE WHEN contains(name, 'pa66') THEN 5 ELSE 0 END, 2) AS score FROM r")
 def rt22(spark, d):
     """RT22: additive boosts for the whole query, its terms, the file's name and models."""
     r = spark.createDataFrame(list(ROWS), "id long, text string, name string, score double")
@@ -53,7 +53,7 @@ ANSWERS = ((1, "see [1] and [2], also [7]", 5), (2, "no source", 3), (3, "[3][3]
 ANSWERS_SQL = "a(id, text, refs) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{t}', {n})" for i, t, n in ANSWERS) + ")"
 
 
-@query("rt30_grounding", f"WITH {ANSWERS_SQL}, n AS (SELECT *, list_distinct(list_transform(regexp_extract_all(text, '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS INTEGER))) AS c FROM a) SELECT id, CAST(len(c) AS BIGINT) AS cited, CAST(len(list_filter(c, lambda x: x > refs)) AS BIGINT) AS phantom, round(CASE WHEN len(c) = 0 THEN 0 ELSE len(list_filter(c, lambda x: x <= refs)) / len(c) END, 3) AS score, trim(CASE id WHEN 1 THEN replace(text, '[7]', '') WHEN 3 THEN replace(text, '[3]', '') ELSE text END) AS stripped FROM n")
+@example("rt30_grounding", f"WITH {ANSWERS_SQL}, n AS (SELECT *, list_distinct(list_transform(regexp_extract_all(text, '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS INTEGER))) AS c FROM a) SELECT id, CAST(len(c) AS BIGINT) AS cited, CAST(len(list_filter(c, lambda x: x > refs)) AS BIGINT) AS phantom, round(CASE WHEN len(c) = 0 THEN 0 ELSE len(list_filter(c, lambda x: x <= refs)) / len(c) END, 3) AS score, trim(CASE id WHEN 1 THEN replace(text, '[7]', '') WHEN 3 THEN replace(text, '[3]', '') ELSE text END) AS stripped FROM n")
 def rt30(spark, d):
     """RT30: references that an answer cites, those it wasn't given, the grounded share, and the text without the phantoms."""
     a = spark.createDataFrame(list(ANSWERS), "id long, text string, refs int")
@@ -93,7 +93,7 @@ def rt32(spark, d):
 ELEMENTS = ((1, 0, "heading", 2, "Scope"), (1, 1, "text", 0, "First."), (1, 2, "table", 0, "a|b;1|2"), (2, 0, "list", 0, "x;y"))
 
 
-@query("tx17_elements", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), '## Scope' || chr(10) || 'First.' || chr(10) || '| a | b |' || chr(10) || '| 1 | 2 |'), (2, '- x' || chr(10) || '- y')) v(doc, text)")
+@example("tx17_elements", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), '## Scope' || chr(10) || 'First.' || chr(10) || '| a | b |' || chr(10) || '| 1 | 2 |'), (2, '- x' || chr(10) || '- y')) v(doc, text)")
 def tx17(spark, d):
     """TX17: elements as Markdown, in their order; the expected texts are written out."""
     e = spark.createDataFrame(list(ELEMENTS), "doc long, at long, kind string, level int, body string")
@@ -109,7 +109,7 @@ def tx17(spark, d):
 REPLIES = ((1, '```json\n{"summary": "s", "tags": ["a"]}\n```'), (2, 'Sure: {"summary": "x"} done'), (3, "no json"), (4, ""), (5, '{"summary": '))
 
 
-@query("tx18_json_replies", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 's', 1), (2, 'x', 0), (3, NULL, 0), (4, NULL, 0), (5, NULL, 0)) v(id, summary, tags)")
+@example("tx18_json_replies", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 's', 1), (2, 'x', 0), (3, NULL, 0), (4, NULL, 0), (5, NULL, 0)) v(id, summary, tags)")
 def tx18(spark, d):
     """TX18: JSON in a reply: fences are stripped, the text between the first and the last brace is read; what isn't JSON
     gives nulls. The model itself is outside."""
@@ -158,7 +158,7 @@ def files_of(spark):
     return spark.createDataFrame([(n, bytearray(b)) for n, b in FILES], "name string, content binary")
 
 
-@query("sc01_dispatch", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{b}')" for n, b in (("a.txt", "text"), ("b.md", "markdown"), ("c.txt", "text"), ("d.dwg", "drawing"), ("e.bin", "rejected"), ("f", "text"), ("g.csv", "table"), ("h.csv", "table"))) + ") v(name, backend)")
+@example("sc01_dispatch", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{b}')" for n, b in (("a.txt", "text"), ("b.md", "markdown"), ("c.txt", "text"), ("d.dwg", "drawing"), ("e.bin", "rejected"), ("f", "text"), ("g.csv", "table"), ("h.csv", "table"))) + ") v(name, backend)")
 def sc01(spark, d):
     """SC01: a reader by the extension; unknown ones are read as text unless they look binary."""
     ext = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
@@ -167,21 +167,21 @@ def sc01(spark, d):
     return files_of(spark).select("name", F.coalesce(known, F.when(binary("content"), "rejected").otherwise("text")).alias("backend"))
 
 
-@query("sc02_decode", "SELECT * FROM (VALUES ('a.txt', 'plain text'), ('b.md', '# 标题'), ('c.txt', '中文内容'), ('f', 'no extension')) v(name, text)")
+@example("sc02_decode", "SELECT * FROM (VALUES ('a.txt', 'plain text'), ('b.md', '# 标题'), ('c.txt', '中文内容'), ('f', 'no extension')) v(name, text)")
 def sc02(spark, d):
     """SC02: UTF-8, else GB 18030, else UTF-16, else with replacement marks; the expected texts are written out."""
     read = F.udf(S.decode, "string", useArrow=True)
     return files_of(spark).filter("name in ('a.txt', 'b.md', 'c.txt', 'f')").select("name", read("content").alias("text"))
 
 
-@query("sc03_binary", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(n in ('d.dwg', 'e.bin')).lower()})" for n, _ in FILES) + ") v(name, is_binary)")
+@example("sc03_binary", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(n in ('d.dwg', 'e.bin')).lower()})" for n, _ in FILES) + ") v(name, is_binary)")
 def sc03(spark, d):
     """SC03: more than a twentieth of the first 8192 bytes are 0."""
     binary = F.udf(S.is_binary, "boolean", useArrow=True)
     return files_of(spark).select("name", binary("content").alias("is_binary"))
 
 
-@query("sc04_csv", "SELECT * FROM (VALUES ('g.csv', CAST(0 AS BIGINT), 'name=A' || chr(9) || 'size=1'), ('g.csv', 1, 'name=B' || chr(9) || 'size=2'), ('h.csv', 0, 'n=x'), ('h.csv', 1, 'n=y' || chr(9) || 's=2' || chr(9) || '9')) v(name, row, line)")
+@example("sc04_csv", "SELECT * FROM (VALUES ('g.csv', CAST(0 AS BIGINT), 'name=A' || chr(9) || 'size=1'), ('g.csv', 1, 'name=B' || chr(9) || 'size=2'), ('h.csv', 0, 'n=x'), ('h.csv', 1, 'n=y' || chr(9) || 's=2' || chr(9) || '9')) v(name, row, line)")
 def sc04(spark, d):
     """SC04: rows of a CSV file as col=value, the separator found in the first line; empty cells go, cells beyond the header
     stand alone. The expected lines are written out."""
@@ -190,7 +190,7 @@ def sc04(spark, d):
     return files_of(spark).filter("name like '%.csv'").select("name", F.posexplode(rows(read("content"))).alias("row", "line")).select("name", F.col("row").cast("long").alias("row"), "line")
 
 
-@query("sc14_drawings", "SELECT * FROM (VALUES ('d.dwg', 'd.dwg')) v(name, text)")
+@example("sc14_drawings", "SELECT * FROM (VALUES ('d.dwg', 'd.dwg')) v(name, text)")
 def sc14(spark, d):
     """SC14: of a drawing only the name is indexed."""
     ext = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
@@ -202,7 +202,7 @@ FAILURES = ((1, "Connection reset by peer", 0), (2, "timeout after 30s", 2), (3,
 TRANSIENT = "(?i)timeout|timed out|connection|reset|refused|locked|5[0-9]{2}|temporar"
 
 
-@query("st04_transient_errors", "WITH f(id, message, retries) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{m}', CAST({n} AS BIGINT))" for i, m, n in FAILURES) + f") SELECT id, CASE WHEN NOT regexp_matches(message, '{TRANSIENT}') THEN 'failed' WHEN retries >= 3 THEN 'dead' ELSE 'retrying' END AS state, CASE WHEN regexp_matches(message, '{TRANSIENT}') AND retries < 3 THEN CAST(5 * pow(2, retries) AS BIGINT) END AS wait_s FROM f")
+@example("st04_transient_errors", "WITH f(id, message, retries) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{m}', CAST({n} AS BIGINT))" for i, m, n in FAILURES) + f") SELECT id, CASE WHEN NOT regexp_matches(message, '{TRANSIENT}') THEN 'failed' WHEN retries >= 3 THEN 'dead' ELSE 'retrying' END AS state, CASE WHEN regexp_matches(message, '{TRANSIENT}') AND retries < 3 THEN CAST(5 * pow(2, retries) AS BIGINT) END AS wait_s FROM f")
 def st04(spark, d):
     """ST04: errors that pass are retried after 5 x 2^n seconds, three times at most, then dead; others fail at once."""
     f = spark.createDataFrame(list(FAILURES), "id long, message string, retries long")
@@ -214,4 +214,4 @@ def st04(spark, d):
 def rt19(spark, d):
     """RT19: models, sizes and materials that a query names, whatever their case, once each."""
     found = F.regexp_extract_all(F.lower("text"), F.lit(MODEL_RULE), F.lit(0))
-    return asked(spark).select("qid", F.array_join(F.array_sort(F.array_distinct(found)), "|").alias("models"))
+    return asked(spark, d).select("qid", F.array_join(F.array_sort(F.array_distinct(found)), "|").alias("models"))

@@ -1,4 +1,5 @@
-"""All queries of the library and their DuckDB oracles. Operator modules add theirs with ``query``."""
+"""All queries of the library and their DuckDB oracles. Operator modules add theirs with ``query``; those over rows that are
+written out (files of several kinds, replies, manifests) are ``example``s, which only the tests run."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from .plans.views import CTES
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+EXAMPLES: dict[str, Callable] = {}
 MODULES = ("retrieval", "fusion", "vector_index", "text", "graph", "storage", "analytics", "joins", "streams", "ranking", "rules", "tables", "listings", "queries", "structure", "upkeep", "archives")
 
 
@@ -30,6 +32,17 @@ def query(name: str, sql: str | None = None, views: str = ""):
     return add
 
 
+def example(name: str, sql: str | None = None, views: str = ""):
+    """As ``query``, for the tests alone."""
+
+    def add(f):
+        query(name, sql, views)(f)
+        EXAMPLES[name] = QUERIES.pop(name)
+        return f
+
+    return add
+
+
 def load() -> None:
     for m in MODULES:
         importlib.import_module(f"tessera.operators.{m}")

@@ -27,9 +27,9 @@ def norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES | registry.EXAMPLES))
 def test_query(spark, duck, name):
-    df = registry.QUERIES[name](spark, DATA)
+    df = (registry.QUERIES | registry.EXAMPLES)[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=str)
     if name not in registry.ORACLES:
