@@ -120,13 +120,12 @@ def local_graph(e: DataFrame, center: DataFrame, hops: int, most: int = SHOWN) -
     hops = max(1, min(hops, FARTHEST))
     both = e.select(F.col("source").alias("a"), F.col("target").alias("b")).union(e.select("target", "source"))
     seen = cut(center.select("name", F.lit(0).cast("long").alias("hop")))
-    met = e.limit(0)
     for hop in range(1, hops + 1):
         front = seen.filter(F.col("hop") == hop - 1).select(F.col("name").alias("a"))
         step = both.join(front, "a", "left_semi").select(F.col("b").alias("name")).distinct().join(seen, "name", "left_anti")
         seen = cut(seen.union(step.select("name", F.lit(hop).cast("long"))))
     inner = seen.filter(F.col("hop") < hops).select("name")
-    met = e.join(inner.withColumnRenamed("name", "source"), "source", "left_semi").union(e.join(inner.withColumnRenamed("name", "target"), "target", "left_semi")).distinct()
+    met = e.join(inner.withColumnRenamed("name", "source"), "source", "left_semi").unionByName(e.join(inner.withColumnRenamed("name", "target"), "target", "left_semi")).distinct()
     met = cut(met)
     ends = met.select(F.col("source").alias("name"), "weight").union(met.select("target", "weight"))
     weight = ends.groupBy("name").agg((F.sum(F.when(F.col("weight") >= STRONG_WEIGHT, 100).otherwise(0)) + F.count("*")).alias("w"))
@@ -150,7 +149,7 @@ def _local_sql(hops: int) -> str:
  seen AS (SELECT name, min(hop) AS hop FROM walk GROUP BY name),
  met AS (SELECT DISTINCT source, target, weight FROM edges WHERE source IN (SELECT name FROM seen WHERE hop < {n}) OR target IN (SELECT name FROM seen WHERE hop < {n})),
  w AS (SELECT name, sum(CASE WHEN weight >= {STRONG_WEIGHT} THEN 100 ELSE 0 END) + count(*) AS w FROM (SELECT source AS name, weight FROM met UNION ALL SELECT target, weight FROM met) GROUP BY name),
- kept AS (SELECT name, hop FROM seen LEFT JOIN w USING (name) ORDER BY hop > 0, coalesce(w, 0) DESC, name LIMIT {SHOWN}),
+ kept AS (SELECT name, hop FROM seen LEFT JOIN w USING (name) ORDER BY hop > 0, coalesce(w.w, 0) DESC, name LIMIT {SHOWN}),
  l AS (SELECT * FROM met WHERE source IN (SELECT name FROM kept) AND target IN (SELECT name FROM kept))
  SELECT name, CAST(hop AS BIGINT) AS hop, (SELECT count(*) FROM l WHERE l.source = kept.name) + (SELECT count(*) FROM l WHERE l.target = kept.name) AS degree, (SELECT count(*) FROM l WHERE l.target = kept.name) AS in_degree, (SELECT count(*) FROM l WHERE l.source = kept.name) AS out_degree, (SELECT count(*) FROM seen) AS total FROM kept)"""
 
