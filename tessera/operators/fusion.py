@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -271,14 +272,32 @@ def golden(spark, d) -> DataFrame:
     return met.select("qid", "file_id").union(short.select("qid", "file_id"))
 
 
-@query("ag14_ir_metrics", f"WITH {FUSED.strip()}, {GOLD}, best AS (SELECT qid, file_id, max(score) AS s FROM fused GROUP BY qid, file_id), rk AS (SELECT qid, file_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, file_id) AS rank FROM best QUALIFY rank <= 10), rel AS (SELECT qid, count(*) AS n FROM gold GROUP BY qid) SELECT rel.qid, rel.n AS relevant, count(rk.rank) AS found, round(coalesce(1.0 / min(rk.rank), 0), 6) AS rr, round(coalesce(sum(1 / log2(rk.rank + 1)), 0), 6) AS dcg FROM rel LEFT JOIN (SELECT rk.* FROM rk JOIN gold USING (qid, file_id)) rk ON rk.qid = rel.qid GROUP BY rel.qid, rel.n", "chunks postings questions")
-def ag14(spark, d):
-    """AG14: recall, reciprocal rank and DCG at ten against passages known to be relevant."""
+#: Gains of the first ten ranks, summed up: the best that so many relevant files can give.
+IDEAL = [round(sum(1 / math.log2(i + 1) for i in range(1, n + 1)), 12) for n in range(1, 11)]
+METRICS = f"{FUSED.strip()}, {GOLD}, best AS (SELECT qid, file_id, max(score) AS s FROM fused GROUP BY qid, file_id), rk AS (SELECT qid, file_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, file_id) AS rank FROM best QUALIFY rank <= 10), rel AS (SELECT qid, count(*) AS n FROM gold GROUP BY qid), met AS (SELECT rel.qid, rel.n AS relevant, count(rk.rank) AS found, round(coalesce(1.0 / min(rk.rank), 0), 6) AS rr, round(coalesce(sum(1 / log2(rk.rank + 1)), 0), 6) AS dcg, round(coalesce(sum(1 / log2(rk.rank + 1)), 0) / list_extract([{', '.join(f'{x}::DOUBLE' for x in IDEAL)}], CAST(least(rel.n, 10) AS BIGINT)), 6) AS ndcg FROM rel LEFT JOIN (SELECT rk.* FROM rk JOIN gold USING (qid, file_id)) rk ON rk.qid = rel.qid GROUP BY rel.qid, rel.n)"
+
+
+def metrics(spark, d) -> DataFrame:
+    """Recall, reciprocal rank, DCG and nDCG at ten of each question, against the passages known to be relevant."""
     gold = golden(spark, d)
     best = fused(spark, d).groupBy("qid", "file_id").agg(F.max("score").alias("s"))
     w = Window.partitionBy("qid").orderBy(F.desc("s"), "file_id")
     rk = best.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").join(gold, ["qid", "file_id"], "left_semi")
     rel = gold.groupBy("qid").agg(F.count("*").alias("relevant"))
     m = rk.groupBy("qid").agg(F.count("*").alias("found"), (1.0 / F.min("rank")).alias("rr"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
-    z = F.lit(0.0)
-    return rel.join(m, "qid", "left").select("qid", "relevant", F.coalesce("found", F.lit(0)).alias("found"), F.round(F.coalesce("rr", z), 6).alias("rr"), F.round(F.coalesce("dcg", z), 6).alias("dcg"))
+    z, ideal = F.lit(0.0), F.element_at(F.array(*map(F.lit, IDEAL)), F.least("relevant", F.lit(10)).cast("int"))
+    return rel.join(m, "qid", "left").select("qid", "relevant", F.coalesce("found", F.lit(0)).alias("found"), F.round(F.coalesce("rr", z), 6).alias("rr"), F.round(F.coalesce("dcg", z), 6).alias("dcg"), F.round(F.coalesce("dcg", z) / ideal, 6).alias("ndcg"))
+
+
+@query("ag14_ir_metrics", f"WITH {METRICS} SELECT qid, relevant, found, rr, dcg, ndcg FROM met", "chunks postings questions")
+def ag14(spark, d):
+    """AG14: recall, reciprocal rank, DCG and nDCG at ten of each question."""
+    return metrics(spark, d)
+
+
+@query("ag14_macro", f"WITH {METRICS}, k AS (SELECT qid, {_CLASS_SQL} AS class FROM questions) SELECT class, count(*) AS questions, round(avg(found / relevant), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM met JOIN k USING (qid) GROUP BY class", "chunks postings questions")
+def ag14_macro(spark, d):
+    """AG14: means of the questions of each class."""
+    kind = V.questions(spark, d).select("qid", query_class(F.col("text")).alias("class"))
+    m = metrics(spark, d).join(kind, "qid").groupBy("class")
+    return m.agg(F.count("*").alias("questions"), F.round(F.avg(F.col("found") / F.col("relevant")), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"))

@@ -16,8 +16,8 @@ from ..functions.passages import PASSAGES_SQL, passages
 from ..functions.vectors import hashed, hashed_sql
 from ..session import shared_dir, table
 
-#: Folders of an index: a search reads those that its terms hash to.
-PARTS = 64
+#: Folders of an index: a search reads those that its terms hash to (a parameter; thousands for tables of terabytes).
+PARTS = 16
 #: Places for the chunks of a document in a chunk's id: more than the longest string can have.
 PLACES = 1 << 24
 TOKEN = "[a-zà-ÿ0-9]+"
