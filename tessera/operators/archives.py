@@ -18,6 +18,7 @@ from ..sources import office
 from ..streaming.appends import BatchLog, continued
 from ..streaming.sources import ingest, sliding_counts, watch_folder
 from ..streaming.state import PROVIDER, Breaker, Ordered, RateLimit, keyed
+from . import streams  # noqa: F401  (its oracles are those of the streams)
 from .tables import Store
 
 

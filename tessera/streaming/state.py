@@ -28,14 +28,13 @@ class Ordered(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.pending = handle.getMapState("pending", "event_id long", "at long, ok boolean")
-        self.held = handle.getValueState("held", f"{self.state_schema}, done long")
+        self.held = handle.getValueState("held", self.state_schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        done = self.held.get()[-1] if self.held.exists() else -1
-        first = None
+        passed, first = timerValues.getCurrentWatermarkInMs() * 1000, None
         for b in rows:
             for event, at, ok in zip(b["event_id"].tolist(), b["at"].tolist(), b["ok"].tolist(), strict=True):
-                if at > done:
+                if at > passed:
                     self.pending.updateValue((event,), (at, ok))
                     first = at if first is None else min(first, at)
         if first is not None:
@@ -46,21 +45,21 @@ class Ordered(StatefulProcessor):
         upto = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted((v[0], k[0], v[1]) for k, v in self.pending.iterator())
         due = [e for e in waiting if e[0] <= upto]
-        state = tuple(self.held.get()) if self.held.exists() else (*self.start(), -1)
+        state = tuple(self.held.get()) if self.held.exists() else self.start()
         out = []
         for at, event, ok in due:
-            told, kept = self.step(state[:-1], at, ok)
-            state = (*kept, at)
+            told, state = self.step(state, at, ok)
             out.append((event, told))
             self.pending.removeKey((event,))
         if len(due) < len(waiting):
             self.handle.registerTimer(-(-waiting[len(due)][0] // 1000))
-        if due:
+        until = self.until(state)
+        if until is not None and until <= upto and len(due) == len(waiting):
+            self.held.clear()
+        elif due:
             self.held.update(state)
-            if (until := self.until(state[:-1])) is not None:
-                self.handle.registerTimer(-(-until // 1000) + 1)
-        elif not waiting and (until := self.until(state[:-1])) is not None and until <= upto:
-            self.held.update((*self.start(), state[-1]))
+            if until is not None:
+                self.handle.registerTimer(max(-(-until // 1000), upto // 1000) + 1)
         if out:
             yield pd.DataFrame(out, columns=["event_id", self.value])
 

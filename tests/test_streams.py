@@ -34,7 +34,7 @@ def test_bytes_follow_the_input(spark, tmp_path):
     write = archives.page_ingest(spark, log)
     grown = [0]
     for n in (0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9):
-        text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(250)), lambda i: F.md5((i * 100 + n).cast("string"))))
+        text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(250)), lambda i: F.md5(F.concat_ws("-", i.cast("string"), F.col("id").cast("string"), F.lit(str(n))))))
         write(spark.range(8).select(F.col("id").alias("doc_id"), F.lit(n).alias("page"), text.alias("text")), n)
         grown.append(size(tmp_path))
     steps = [b - a for a, b in zip(grown, grown[1:])]
