@@ -11,7 +11,17 @@ from ..session import table
 from .fusion import _CLASS_SQL, _W_SQL, class_weight, query_class
 from .retrieval import BM25, VEC, bm25, ranked, vector_scores
 
-TOP = f"{BM25}, top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm25 QUALIFY rank <= 30)"
+
+
+def top_sql(n: int) -> str:
+    return f"{BM25.strip()}, top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm25 QUALIFY rank <= {n})"
+
+
+TOP = top_sql(30)
+
+
+def rerank_sql() -> str:
+    return f"t AS (SELECT qid, top.id, score, list_distinct(terms) AS terms, regexp_extract_all(lower(content), '{V.TOKEN}') AS words FROM top JOIN chunks c ON c.id = top.id JOIN questions q USING (qid)), r AS (SELECT qid, id, score, list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(words, t) THEN len(list_filter(words, lambda x: x = t)) / len(words) * 1000.0 + 5 WHEN len(list_filter(words, lambda x: contains(x, t))) > 0 THEN 2.5 ELSE 0.0 END)) AS raw FROM t), reranked AS (SELECT qid, id, round(0.6::DOUBLE * score / max(score) OVER w + 0.4::DOUBLE * coalesce((raw - min(raw) OVER w) / nullif(max(raw) OVER w - min(raw) OVER w, 0), 0), 4) AS score FROM r WINDOW w AS (PARTITION BY qid))"
 
 
 @query("rt04_dynamic_weights", f"SELECT item_id, class, {_W_SQL(0)} AS w_vec, {_W_SQL(1)} AS w_bm25 FROM (SELECT item_id, {_CLASS_SQL} AS class FROM benchmark)")
@@ -28,14 +38,8 @@ def rt07(spark, d):
     return V.questions(spark, d).filter(F.size("terms") > 0).select("qid", F.array_join(grams, " OR ").alias("bigrams"))
 
 
-@query(
-    "rt16_local_rerank",
-    f"WITH {TOP.strip()}, t AS (SELECT qid, top.id, score, list_distinct(terms) AS terms, regexp_extract_all(lower(content), '{V.TOKEN}') AS words FROM top JOIN chunks c ON c.id = top.id JOIN questions q USING (qid) WHERE rank <= 10), r AS (SELECT qid, id, score, list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(words, t) THEN len(list_filter(words, lambda x: x = t)) / len(words) * 1000.0 + 5 WHEN len(list_filter(words, lambda x: contains(x, t))) > 0 THEN 2.5 ELSE 0.0 END)) AS raw FROM t) SELECT qid, id, round(0.6::DOUBLE * score / max(score) OVER w + 0.4::DOUBLE * coalesce((raw - min(raw) OVER w) / nullif(max(raw) OVER w - min(raw) OVER w, 0), 0), 4) AS score FROM r WINDOW w AS (PARTITION BY qid)",
-    "chunks postings questions",
-)
-def rt16(spark, d):
-    """RT16: local re-rank of the ten best: term frequency, or a term inside a word; blended with the first score."""
-    top = ranked(bm25(spark, d), limit=10)
+def local_rerank(spark, d, top):
+    """qid, id, score of candidates (qid, id, score): term frequency, or a term inside a word; blended with the first score."""
     asked = V.questions(spark, d).select("qid", "terms")
     t = top.join(V.chunks(spark, d).select("id", "content"), "id").join(asked, "qid").withColumn("words", V.tokens(F.col("content")))
     n = lambda test: F.size(F.filter("words", test))
@@ -47,7 +51,13 @@ def rt16(spark, d):
     return r.select("qid", "id", F.round(0.6 * F.col("score") / F.max("score").over(w) + 0.4 * part, 4).alias("score"))
 
 
-@query("rt18_rerank_key", f"WITH {TOP.strip()} SELECT qid, substring(md5(string_agg(id, ',' ORDER BY rank)), 1, 12) AS cache_key FROM top GROUP BY qid", "chunks postings questions")
+@query("rt16_local_rerank", f"WITH {top_sql(40)}, {rerank_sql()} SELECT * FROM reranked", "chunks postings questions")
+def rt16(spark, d):
+    """RT16: local re-rank of the forty best."""
+    return local_rerank(spark, d, ranked(bm25(spark, d), limit=40).select("qid", "id", "score"))
+
+
+@query("rt18_rerank_key", f"WITH {TOP} SELECT qid, substring(md5(string_agg(id, ',' ORDER BY rank)), 1, 12) AS cache_key FROM top GROUP BY qid", "chunks postings questions")
 def rt18(spark, d):
     """RT18: key of the re-rank cache, from the candidates in order."""
     top = ranked(bm25(spark, d), limit=30)
@@ -55,7 +65,7 @@ def rt18(spark, d):
     return top.groupBy("qid").agg(F.substring(F.md5(F.array_join(ids, ",")), 1, 12).alias("cache_key"))
 
 
-@query("pf11_preview", f"WITH {TOP.strip()} SELECT qid, top.id, rank, substring(content, 1, 160) AS preview FROM top JOIN chunks c ON c.id = top.id", "chunks postings questions")
+@query("pf11_preview", f"WITH {TOP} SELECT qid, top.id, rank, substring(content, 1, 160) AS preview FROM top JOIN chunks c ON c.id = top.id", "chunks postings questions")
 def pf11(spark, d):
     """PF11: the debug listing, 30 rows a query with 160 characters each."""
     top = ranked(bm25(spark, d), limit=30)

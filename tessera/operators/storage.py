@@ -117,11 +117,31 @@ def pf01(spark, d):
     return V.files(spark, d).filter((F.col("category") == "en") & (F.col("authority") >= 3) & ((F.col("folder") == "/src1") | F.col("folder").startswith("/src1/")) & ~F.col("deleted")).select("id", "name")
 
 
-@query("pf14_upload_gate", "SELECT page_id, CASE WHEN html IS NULL OR length(html) = 0 THEN 'empty' WHEN length(html) > 3000 THEN 'too_large' ELSE 'ok' END AS verdict, sha256(html) AS digest FROM pages")
+# Kinds of files that are taken in, and the most megabytes of one (fixed values).
+TAKEN = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".txt", ".csv", ".md", ".log", ".json", ".xml")
+MEGABYTES = 200
+
+
+def upload_gate(files: DataFrame, megabytes: int = MEGABYTES) -> DataFrame:
+    """PF14: files (name, content) with ``verdict`` (ok, unsupported, too_large, empty) and ``digest`` of those that are ok. The
+    kind is what follows the last dot of the last part of a name, in lower case; a name that begins with its only dot has none."""
+    last = F.lower(F.element_at(F.split(F.coalesce("name", F.lit("")), "/"), -1))
+    kind = F.regexp_extract(last, r"[^.].*([.][^.]+)$", 1)
+    size = F.octet_length(F.coalesce("content", F.lit("")))
+    v = F.when(~kind.isin(*TAKEN), "unsupported").when(size > megabytes << 20, "too_large").when(size == 0, "empty").otherwise("ok")
+    return files.withColumn("verdict", v).withColumn("digest", F.when(F.col("verdict") == "ok", F.sha2("content", 256)))
+
+
+@query(
+    "pf14_upload_gate",
+    f"SELECT relation, id, verdict, CASE WHEN verdict = 'ok' THEN sha256(content) END AS digest FROM (SELECT *, CASE WHEN regexp_extract(lower(list_last(string_split(name, '/'))), '[^.].*([.][^.]+)$', 1) NOT IN ({', '.join(f"'{x}'" for x in TAKEN)}) THEN 'unsupported' WHEN strlen(content) > {MEGABYTES << 20} THEN 'too_large' WHEN strlen(content) = 0 THEN 'empty' ELSE 'ok' END AS verdict FROM (SELECT 'files' AS relation, id, name, coalesce(text, '') AS content FROM files UNION ALL SELECT 'pages', page_id, url, coalesce(html, '') FROM pages))",
+    "files",
+)
 def pf14(spark, d):
-    """PF14: size gate with digest."""
-    v = F.when(F.col("html").isNull() | (F.length("html") == 0), "empty").when(F.length("html") > 3000, "too_large").otherwise("ok")
-    return table(spark, d, "pages").select("page_id", v.alias("verdict"), F.sha2("html", 256).alias("digest"))
+    """PF14: the gate over the documents' files and over pages, whose addresses are names without a kind."""
+    files = V.files(spark, d).select(F.lit("files").alias("relation"), "id", "name", F.col("text").alias("content"))
+    pages = table(spark, d, "pages").select(F.lit("pages"), "page_id", "url", "html")
+    return upload_gate(files.union(pages)).select("relation", "id", "verdict", "digest")
 
 
 @query("sk14_backfill_counts", "SELECT f.id, f.name, count(c.id) AS chunk_count FROM files f LEFT JOIN chunks c ON c.file_id = f.id GROUP BY ALL", "files chunks")

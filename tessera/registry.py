@@ -11,7 +11,7 @@ from .plans.views import CTES
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 EXAMPLES: dict[str, Callable] = {}
-MODULES = ("retrieval", "fusion", "vector_index", "text", "graph", "storage", "analytics", "joins", "streams", "ranking", "rules", "tables", "listings", "queries", "structure", "upkeep", "aliases", "segmenter", "archives")
+MODULES = ("retrieval", "fusion", "vector_index", "text", "graph", "storage", "analytics", "joins", "streams", "ranking", "rules", "tables", "listings", "queries", "structure", "upkeep", "aliases", "segmenter", "versions", "archives")
 
 
 def query(name: str, sql: str | None = None, views: str = ""):

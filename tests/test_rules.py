@@ -19,7 +19,7 @@ TURNS = ((1, 1, "user", "FAKRA 的阻抗"), (1, 2, "assistant", "50 Ω"), (1, 3,
 SERVERS = (("a/brave-search", "Brave", "web search and fetch"), ("b/notes", "Notes", "vector database of documents, semantic search"), ("c/exa-brave", "", "search"), ("d/game", "Game", "chess"))
 PAPERS = ((1, "泛微使用手册.pdf", "后台设置"), (2, "连接器设计手册.docx", "端子"), (3, "标准件新表.xlsx", "供应商 型号 图片"), (4, "标准件.xlsx", "gb/t 65"), (5, "x.txt", "齿轮与轴承"), (6, "y.txt", "随笔"), (7, "飞书操作指南.md", ""))
 HAN = ((1, "連接器電鍍後"), (2, "后面"), (3, "國學 テスト 點"), (4, ""), (5, None))
-NAMES = ["gr01_rule_entities", "gr03_parameters", "gr09_suitable_processes", "rt02_query_route", "rt03_query_class", "rt27_intent", "rt28_complexity", "rt24_exact_entity", "rt26_rule_rewrite", "rt25_pointing_turns", "rt35_server_relevance", "tx11_document_category", "tx12_system_folder", "tx13_kind_authority", "tx22_simplify"]
+NAMES = ["gr01_rule_entities", "gr03_parameters", "gr09_suitable_processes", "gr19_file_rules", "gr19_rule_edges", "rt02_query_route", "rt03_query_class", "rt27_intent", "rt28_complexity", "rt24_exact_entity", "rt26_rule_rewrite", "rt25_pointing_turns", "rt35_server_relevance", "tx11_document_category", "tx12_system_folder", "tx13_kind_authority", "tx22_simplify"]
 
 
 @pytest.fixture(scope="module")
