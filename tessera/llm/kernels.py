@@ -212,16 +212,18 @@ def first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def squeezed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _text: texts (also null) as zstd blocks, two fifths of their size, for the shuffle of a join."""
+def squeezed(docs: DataFrame, id_col: str, text_col: str, *numbers: str) -> DataFrame:
+    """_id, _text and the columns ``numbers``: texts (also null) as zstd blocks, two fifths of their size, for the shuffle of a
+    join."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
         c = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else c.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], ["_id", "_text"])
+            packed = pa.array([None if t is None else c.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), packed, *b.columns[2:]], ["_id", "_text", *numbers])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(work), f"_id {kind}, _text binary")
+    return docs.select(F.col(id_col), F.col(text_col), *numbers).mapInArrow(tidy(work), f"_id {kind}, _text binary" + "".join(f", {c} long" for c in numbers))
 
 
 def unsqueezed(block: bytes | None) -> str:

@@ -10,9 +10,9 @@ recurs; each goes, as its word sequence, into Aho-Corasick automata of bounded s
 streamed through them: a phrase found twice or more marks all its occurrences. The words themselves decide, not hashes.
 
 Defined results: null text has no words; rows whose id is null are compared with nothing and kept whole; rows that
-repeat both id and text are one document given twice (an id must not stand for two different texts); texts of fewer
-words than the window are kept; an empty table gives an empty result; other columns are ignored. Long texts are
-hashed in slices.
+repeat both id and text are one document given twice; rows that share an id with different texts are documents of their
+own, with results of their own; texts of fewer words than the window are kept; an empty table gives an empty result;
+other columns are ignored. Long texts are hashed in slices.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import shards as S
 from .kernels import STEP, Rolling, byte_values, expand, minimizer_runs, mix64, squeezed, text_bytes, tidy, tidy_group, unsqueezed
-from .suffix_dedup import SPANS, covered
+from .suffix_dedup import covered
 
 GRAM = 5
 #: Phrases in one automaton, about; windows of one minimizer go to one automaton.
@@ -114,7 +114,7 @@ def deal(parts: list[S.Runs], shards: int):
     r.weight[first] = np.minimum(total, 2)
     done_at = (r.doc[done], r.start[done], r.count[done])
     doc = r.doc.copy()
-    doc[first[many]] = -1
+    doc[first[many]] = S.NOWHERE
     s_first, s_done = S.shard_of(r.key[first], shards), S.shard_of(r.key[done], shards)
     r.doc = doc
     o1, o2 = np.argsort(s_first, kind="stable"), np.argsort(s_done, kind="stable")
@@ -168,7 +168,7 @@ def repeated_in(r: S.Runs, length: int, out: list) -> None:
         times = np.bincount(p, weights=r.weight[own[w]], minlength=len(part))
         hit[w[times[p] > 1]] = True
     doc, start, count = S.spans_of(windows - base[own], hit, r.doc, r.start, own)
-    real = doc >= 0  # a passage that is known to recur has had its places decided
+    real = doc != S.NOWHERE  # a passage that is known to recur has had its places decided
     out.append((doc[real], start[real], count[real]))
 
 
@@ -188,11 +188,11 @@ def solve_shard(blocks: list[bytes], length: int):
         # equal runs recur: every place that isn't decided yet is decided now
         many = np.flatnonzero(total > 1)
         done = np.concatenate([first[many], other])
-        done = done[r.doc[done] >= 0]
+        done = done[r.doc[done] != S.NOWHERE]
         out.append((r.doc[done], r.start[done], r.count[done]))
         r.weight[first] = np.minimum(total, 2)
         r.doc = r.doc.copy()
-        r.doc[first[many]] = -1
+        r.doc[first[many]] = S.NOWHERE
         r = r.take(first)
         _, inverse, counts = np.unique(r.key, return_inverse=True, return_counts=True)
         r = r.take(np.flatnonzero((counts[inverse] > 1) | r.again))
@@ -202,16 +202,26 @@ def solve_shard(blocks: list[bytes], length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """doc_id, start, windows: the windows at words start .. start + windows - 1 recur."""
-    n = shards or S.shards_for(docs, text_col)
+    """doc_id, tie (see shards.told_apart), start, windows: the windows at words start .. start + windows - 1 recur."""
+    return spans_of_texts(S.told_apart(plain(docs, id_col, text_col), "_id", "_text"), length, shards)
+
+
+def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+
+def spans_of_texts(docs: DataFrame, length: int, shards: int | None = None) -> DataFrame:
+    """As repeated_spans, of _id, _text, _tie."""
+    n = shards or S.shards_for(docs, "_text")
 
     def to_shards(batches):
         parts, held = [], 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ties = b.column(2).to_numpy(zero_copy_only=False)
             raw, off = text_bytes(b.column(1))
-            for r in map_runs(ids, raw, off, length):
-                parts.append(r)
+            for r in map_runs(np.arange(len(ids)), raw, off, length):
+                parts.append(S.owned(r, ids, ties))
                 held += len(r.data)
                 if held >= S.GATHER:
                     yield deal(parts, n)
@@ -220,23 +230,17 @@ def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
             yield deal(parts, n)
 
     def solve(table: pa.Table) -> pa.Table:
-        doc, start, count = solve_shard(table.column("block").to_pylist(), length)
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "windows": pa.array(count, pa.int64())})
-
-    known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
-    return known.mapInArrow(tidy(to_shards), "shard int, block binary").repartitionById(n, "shard").groupBy("shard").applyInArrow(tidy_group(solve), SPANS)
-
+        return S.spans_batch(*solve_shard(table.column("block").to_pylist(), length))
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
-    """docs with ``_spans``: its sorted (start, windows), null where there is none."""
-    by_doc = spans.groupBy(F.col("doc_id").alias("_own")).agg(F.sort_array(F.collect_list(F.struct("start", "windows"))).alias("_spans"))
-    return docs.join(by_doc, F.col(id_col).cast("long") == F.col("_own"), "left").drop("_own")
+    known = docs.filter("_id is not null").select(F.col("_id").cast("long"), "_text", "_tie")
+    return known.mapInArrow(tidy(to_shards), "shard int, block binary").repartitionById(n, "shard").groupBy("shard").applyInArrow(tidy_group(solve), S.SPANS)
 
 
 def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256[, kept]: one row for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    both = with_spans(squeezed(docs, id_col, text_col), repeated_spans(docs, length, id_col, text_col), "_id")
+    told = S.told_apart(plain(docs, id_col, text_col), "_id", "_text")
+    both = S.with_spans(squeezed(told, "_id", "_text", "_tie"), spans_of_texts(told, length), "_id")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_words
 
     def work(batches):

@@ -11,9 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
@@ -31,6 +32,56 @@ def shards_for(docs: DataFrame, text_col: str, share: int = SHARE) -> int:
     return max(shuffle_partitions(docs.sparkSession), -(-size // share))
 
 
+#: Bits of a start that count places in a text (a string has fewer than 2^31 bytes); those above hold the text's tie.
+PLACE = 31
+#: The owner of content that travels without a place.
+NOWHERE = np.iinfo(np.int64).min
+#: Bits of a digest, and of a number, that make a tie.
+DIGEST, NUMBER = 12, 20
+
+
+def told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with ``_tie``, so that (id, tie) names one text: 0 where an id stands for one text, however often it is given. The
+    texts of an id that stands for several are numbered by the order of their digests, in groups by the digest's head, so
+    that one such id is no single task; a group holds 2^20 texts. Rows without an id get numbers in turn: nothing matches
+    them, and a join by (id, tie) deals them to all tasks. What is shuffled to find such ids is an id and two hashes a row."""
+    id_, text = F.col(id_col), F.coalesce(text_col, F.lit(""))
+    turn = F.when(id_.isNull(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << NUMBER) - 1)))
+    seen = docs.filter(id_.isNotNull()).select(id_.alias("_i"), F.xxhash64(text).alias("h")).groupBy("_i").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    shared = seen.filter("lo <> hi").select("_i")
+    if shared.isEmpty():
+        return docs.withColumn("_tie", F.coalesce(turn, F.lit(0)).cast("long"))
+    digest = F.sha2(text, 256)
+    texts = docs.select(id_.alias("_i"), digest.alias("_d")).join(shared, "_i", "left_semi").distinct()
+    head = F.conv(F.substring("_d", 1, DIGEST // 4), 16, 10).cast("long")
+    nth = F.row_number().over(Window.partitionBy("_i", "_head").orderBy("_d")) - 1
+    ties = texts.withColumn("_head", head).select("_i", "_d", (F.col("_head") * (1 << NUMBER) + nth).alias("_n"))
+    both = docs.join(ties, (id_ == F.col("_i")) & (digest == F.col("_d")), "left")
+    return both.withColumn("_tie", F.coalesce("_n", turn, F.lit(0)).cast("long")).drop("_i", "_d", "_n")
+
+
+def owned(runs: Runs, ids: np.ndarray, ties: np.ndarray) -> Runs:
+    """Runs whose owners are row numbers, with the rows' ids as owners and their ties in the starts."""
+    runs.start = runs.start + (ties[runs.doc] << PLACE)
+    runs.doc = ids[runs.doc]
+    return runs
+
+
+def spans_batch(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Table:
+    """SPANS of owners, starts with their ties, and windows."""
+    cols = (doc, start >> PLACE, start & ((1 << PLACE) - 1), count)
+    return pa.table([pa.array(c, pa.int64()) for c in cols], ["doc_id", "tie", "start", "windows"])
+
+
+SPANS = "doc_id long, tie long, start long, windows long"
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
+    """docs (see told_apart) with ``_spans``: the sorted (start, windows) of a row's text, null where there is none."""
+    by_text = spans.groupBy(F.col("doc_id").alias("_own"), F.col("tie").alias("_t")).agg(F.sort_array(F.collect_list(F.struct("start", "windows"))).alias("_spans"))
+    return docs.join(by_text, (F.col(id_col).cast("long") == F.col("_own")) & (F.col("_tie") == F.col("_t")), "left").drop("_own", "_t")
+
+
 @dataclass
 class Runs:
     """Runs of windows: owner id, first window, number of windows, minimizer, whether the minimizer recurs in the run,
@@ -111,7 +162,7 @@ def first_copies(r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order, new = equal_contents(r)
     same = np.zeros(len(order), bool)
     d, s = r.doc[order], r.start[order]
-    same[1:] = ~new[1:] & (d[1:] == d[:-1]) & (s[1:] == s[:-1]) & (d[1:] >= 0)
+    same[1:] = ~new[1:] & (d[1:] == d[:-1]) & (s[1:] == s[:-1]) & (d[1:] != NOWHERE)
     weight = np.where(same, 0, r.weight[order])
     at = np.flatnonzero(new)
     total = np.add.reduceat(weight, at) if len(at) else weight[:0]

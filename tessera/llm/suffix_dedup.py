@@ -13,9 +13,9 @@ further. Values come out by increasing size and the search stops at ``length``:
 ``length`` bytes with the row above. In each stretch of such rows the least position is the first occurrence.
 
 Defined results: null text counts as empty; rows whose id is null are compared with nothing and kept whole; rows
-that repeat both id and text are one document given twice and both get that document's result (an id must not
-stand for two different texts); ties don't occur, since (id, start) is unique; texts shorter than the window are
-kept; an empty table gives an empty result; other columns are ignored. Long texts are taken in slices.
+that repeat both id and text are one document given twice and both get that document's result; rows that share an id
+with different texts are documents of their own, the one of the lesser SHA-256 being the earlier; so ties don't occur.
+Texts shorter than the window are kept; an empty table gives an empty result; other columns are ignored. Long texts are taken in slices.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from .kernels import Rolling, byte_values, expand, minimizer_runs, pieces, squee
 GRAM = 10
 #: Bytes that one transform is built over, about; a larger group of one minimizer is taken whole.
 TRANSFORM = 1_000_000
-SPANS = "doc_id long, start long, windows long"
 
 
 def content_hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray):
@@ -255,16 +254,26 @@ def compact(r: S.Runs) -> S.Runs:
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """doc_id, start, windows: windows start .. start + windows - 1 of the document are repeats."""
-    n = shards or S.shards_for(docs, text_col)
+    """doc_id, tie (see shards.told_apart), start, windows: windows start .. start + windows - 1 of the document are repeats."""
+    return spans_of_texts(S.told_apart(plain(docs, id_col, text_col), "_id", "_text"), length, shards)
+
+
+def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+
+def spans_of_texts(docs: DataFrame, length: int, shards: int | None = None) -> DataFrame:
+    """As repeated_spans, of _id, _text, _tie."""
+    n = shards or S.shards_for(docs, "_text")
 
     def to_shards(batches):
         parts, held = [], 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ties = b.column(2).to_numpy(zero_copy_only=False)
             raw, off = text_bytes(b.column(1))
-            for r in map_runs(ids, raw, off, length):
-                parts.append(r)
+            for r in map_runs(np.arange(len(ids)), raw, off, length):
+                parts.append(S.owned(r, ids, ties))
                 held += len(r.data)
                 if held >= S.GATHER:
                     yield deal(parts, n)
@@ -273,12 +282,11 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             yield deal(parts, n)
 
     def solve(table: pa.Table) -> pa.Table:
-        doc, start, count = solve_shard(table.column("block").to_pylist(), length)
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "windows": pa.array(count, pa.int64())})
+        return S.spans_batch(*solve_shard(table.column("block").to_pylist(), length))
 
-    known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
+    known = docs.filter("_id is not null").select(F.col("_id").cast("long"), "_text", "_tie")
     dealt = known.mapInArrow(tidy(to_shards), "shard int, block binary")
-    return dealt.repartitionById(n, "shard").groupBy("shard").applyInArrow(tidy_group(solve), SPANS)
+    return dealt.repartitionById(n, "shard").groupBy("shard").applyInArrow(tidy_group(solve), S.SPANS)
 
 
 def covered(starts: np.ndarray, windows: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,10 +302,9 @@ def covered(starts: np.ndarray, windows: np.ndarray, length: int, size: int) ->
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]: one row for each row of docs."""
-    spans = repeated_spans(docs, length, id_col, text_col)
-    by_doc = spans.groupBy(F.col("doc_id").alias("_own")).agg(F.sort_array(F.collect_list(F.struct("start", "windows"))).alias("_spans"))
     kind = docs.schema[id_col].dataType.simpleString()
-    both = squeezed(docs, id_col, text_col).join(by_doc, F.col("_id").cast("long") == F.col("_own"), "left")
+    told = S.told_apart(plain(docs, id_col, text_col), "_id", "_text")
+    both = S.with_spans(squeezed(told, "_id", "_text", "_tie"), spans_of_texts(told, length), "_id")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
 
     def work(batches):

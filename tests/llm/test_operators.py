@@ -108,6 +108,44 @@ def test_phrase_dedup(spark):
     assert phrase_dedup.cut_out("a b  c\nd", [(1, 3)]) == "a d"
 
 
+def test_texts_of_one_id(spark):
+    """Ids that stand for several texts, rows given twice, negative and null ids: the window operators against brute force, where
+    the texts of an id are documents in the order of their digests."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    passage = [" ".join(word() for _ in range(60)) for _ in range(3)]
+    text = lambda: " ".join(r.choice([*passage, *(" ".join(word() for _ in range(30)) for _ in range(3))]) for _ in range(r.randint(1, 6)))
+    rows = [(r.choice([-3, 1, 1, 1, 2, 7]), text()) for _ in range(40)] + [(2, ""), (2, None), (1, passage[0] + " " + passage[0]), (1, "short other text")]
+    rows += rows[:12] + [(8, rows[0][1]), (None, passage[1]), (None, passage[1]), (None, None)]
+    texts_ = sorted({(i, hashlib.sha256((t or "").encode()).hexdigest(), t or "") for i, t in rows if i is not None})
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+    seen, gone, count = set(), {}, Counter()
+    for i, h, t in texts_:
+        raw = t.encode()
+        out = np.zeros(len(raw), bool)
+        for k in range(len(raw) - 99):
+            w = raw[k : k + 100]
+            if w in seen:
+                out[k : k + 100] = True
+            seen.add(w)
+        gone[i, h] = out
+        words = phrase_dedup.WORD.findall(t)
+        count.update(tuple(words[k : k + 35]) for k in range(len(words) - 34))
+    want, want_words = [], []
+    for i, t in rows:
+        raw, words = (t or "").encode(), phrase_dedup.WORD.findall(t or "")
+        out = gone.get((i, digest(raw)), np.zeros(len(raw), bool))
+        edges = np.diff(np.concatenate([[0], out.astype(int), [0]]))
+        want.append((i, len(raw), int(out.sum()), int((edges == 1).sum()), digest(bytes(np.frombuffer(raw, np.uint8)[~out]))))
+        hit = {x for k in range(len(words) - 34) if i is not None and count[tuple(words[k : k + 35])] > 1 for x in range(k, k + 35)}
+        want_words.append((i, len(words), len(hit), digest(" ".join(w for k, w in enumerate(words) if k not in hit).encode())))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(df).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, phrase_dedup.remove_repeats(df).collect()), key=str) == sorted(want_words, key=str)
+    clash = df.selectExpr("*", "1 as _tie", "2 as _id", "3 as _text", "4 as _i")
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(clash).collect()), key=str) == sorted(want, key=str)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 16))
