@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, line_dedup, minhash, packing, phrase_dedup
+from tessera.llm import language_id, line_dedup, minhash, packing, phrase_dedup, shards
 from tessera.session import table
 
 #: A document goes when the mean probability of its best language is below this: its bytes don't read as any.
@@ -48,7 +48,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes recurring passages out of the texts; documents that consist of nothing else go."""
     length = 35
-    both = phrase_dedup.with_spans(docs.select(*COLUMNS), phrase_dedup.repeated_spans(docs, length), "doc_id")
+    told = shards.told_apart(docs.select(*COLUMNS), "doc_id", "text")
+    spans = phrase_dedup.spans_of_texts(told.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "_tie"), length)
+    both = shards.with_spans(told, spans, "doc_id")
     at = COLUMNS.index("text")
 
     def work(batches):
