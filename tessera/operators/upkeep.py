@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -115,9 +116,13 @@ class Snapshots:
         self.numbers: list[int] = []
 
     def digest(self, rows: DataFrame) -> DataFrame:
-        """Partition, rows, digest: the sum of the rows' own digests, so that neither order nor files matter."""
-        row = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in self.keys])), 1, 12), 16, 10).cast("long")
-        return rows.groupBy(self.partition).agg(F.count("*").alias("rows"), F.sum(row).alias("digest"))
+        """Partition, rows, digest: the sum of the rows' own digests, so that neither order nor files matter. A sum beyond 64 bits
+        goes on from the least number."""
+        row = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in self.keys])), 1, 12), 16, 10).cast("decimal(20,0)")
+        around = F.lit(Decimal(1 << 64))
+        left = F.col("digest") % around
+        digest = F.when(left >= Decimal(1 << 63), left - around).otherwise(left).cast("long")
+        return rows.groupBy(self.partition).agg(F.count("*").alias("rows"), F.sum(row).alias("digest")).withColumn("digest", digest)
 
     def take(self, number: int, rows: DataFrame) -> None:
         rows.select(*dict.fromkeys([*self.keys, self.partition])).write.partitionBy(self.partition).parquet(f"{self.root}/{number}/rows")

@@ -1,12 +1,13 @@
 """What a query may shuffle or store, and brute force for the ways that were made for it."""
 
+import hashlib
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import registry
-from tessera.operators import retrieval
+from tessera.operators import retrieval, upkeep
 from tessera.plans import views as V
 from tessera.session import shared_dir
 
@@ -39,3 +40,12 @@ def test_no_row_is_stored_for_each_character(spark):
 @pytest.mark.parametrize("name", ["wn01_file_cap", "rt05_bm25"])
 def test_scores_are_added_up_where_the_file_lies(spark, name):
     assert not re.search(r"Exchange hashpartitioning\(qid#\d+L, (id|file_id)#", plan(registry.QUERIES[name](spark, DATA)))
+
+
+def test_digests_of_many_rows(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("event_id"), F.lit("a").alias("kind"))
+    snapshots = upkeep.Snapshots(spark, ["event_id"], "kind")
+    snapshots.take(0, rows)
+    total = sum(int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) for i in range(200_000))
+    got = snapshots.verified(0).first()
+    assert total >= 1 << 63 and got["whole"] and got["digest"] == (total + (1 << 63)) % (1 << 64) - (1 << 63)
