@@ -10,7 +10,7 @@ from ..plans import views as V
 from ..registry import example, query
 from ..session import table
 from .fusion import RANKED, lexical, phrases
-from .retrieval import BM25, VEC, bm25, ranked, vector_scores
+from .retrieval import BM25, VEC, bm25, nearest_vectors, ranked, vector_sums
 
 
 @query("pf02_file_list", "SELECT id, name FROM files WHERE NOT deleted AND category = 'en' AND folder = '/src1/en' AND id % 400 BETWEEN 1 AND 365", "files")
@@ -93,7 +93,7 @@ def jn03(spark, d):
 @query("jn12_query_vectors", VEC + " SELECT qid, count(*) AS scored, round(avg(score), 4) AS mean FROM s GROUP BY qid")
 def jn12(spark, d):
     """JN12: a stated set of query vectors against all vectors; the scores are summed up where they are made."""
-    return vector_scores(spark, d).groupBy("qid").agg(F.count("*").alias("scored"), F.round(F.avg("score"), 4).alias("mean"))
+    return vector_sums(spark, d).groupBy("qid").agg(F.sum("n").alias("scored"), F.round(F.sum("s") / F.sum("n"), 4).alias("mean"))
 
 
 @query("jn15_orphans", "SELECT 'labels' AS relation, count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lines', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'suppliers', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)")
@@ -209,7 +209,7 @@ def tk01(spark, d):
 @query("tk02_nearest", VEC + " SELECT qid, id, score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 50")
 def tk02(spark, d):
     """TK02: fifty nearest vectors."""
-    return ranked(vector_scores(spark, d), limit=50).select("qid", "id", "score")
+    return ranked(nearest_vectors(spark, d, 50), limit=50).select("qid", "id", "score")
 
 
 @query("tk03_fused_cut", f"WITH {RANKED.strip()}, f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(src) AS src, min(rank) AS best FROM (SELECT *, 1 AS src FROM r1 UNION ALL SELECT *, 2 AS src FROM r2) GROUP BY qid, id) SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, src, best, id) AS rank FROM f QUALIFY rank <= 30", "chunks postings questions")

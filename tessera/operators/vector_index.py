@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import dot, doubles, first_of
 from ..registry import query
 from ..session import shared_dir, table
-from .retrieval import VEC, ranked, vector_scores
+from .retrieval import VEC, nearest_vectors, ranked
 
 #: Cells at most, cells for the square root of the rows, training rounds, rows that train at most.
 CELLS, PER_ROOT, ROUNDS, SAMPLE = 4096, 4, 3, 262_144
@@ -171,7 +171,7 @@ def rt08_index(spark: SparkSession, d: str) -> DataFrame:
 @query("rt08_index_recall", f"{INDEX_SQL}, {VEC.removeprefix("WITH ")}, exact AS (SELECT qid, id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 50) SELECT e.qid, count(*) AS nearest, count(top.id) AS found, (SELECT count(*) FROM probe p JOIN own USING (cell) WHERE p.qid = e.qid) AS rows_read FROM exact e LEFT JOIN top ON top.qid = e.qid AND top.id = e.id GROUP BY e.qid")
 def rt08_recall(spark: SparkSession, d: str) -> DataFrame:
     """RT08: of the 50 exactly nearest of each query, how many the index finds, and how many rows it reads for that."""
-    exact = ranked(vector_scores(spark, d), limit=50).select("qid", "id")
+    exact = ranked(nearest_vectors(spark, d, 50), limit=50).select("qid", "id")
     got = rt08_index(spark, d).select("qid", "id", F.lit(1).alias("hit"))
     found = exact.join(got, ["qid", "id"], "left").groupBy("qid").agg(F.count("*").alias("nearest"), F.count("hit").alias("found"))
     path, centroids, n = build(spark, d)

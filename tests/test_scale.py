@@ -3,10 +3,12 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import registry
+from tessera.functions import vectors
 from tessera.operators import retrieval, upkeep
 from tessera.plans import views as V
 from tessera.session import shared_dir
@@ -49,3 +51,23 @@ def test_digests_of_many_rows(spark):
     total = sum(int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) for i in range(200_000))
     got = snapshots.verified(0).first()
     assert total >= 1 << 63 and got["whole"] and got["digest"] == (total + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def test_vectors_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "COMPARED", 3)
+    monkeypatch.setattr(vectors, "ROWS", 60)
+    for name in ("rt08_vector", "pf03_vector_threshold", "jn12_query_vectors", "rt29_semantic_cache", "tk10_relevant_results"):
+        df = registry.QUERIES[name](spark, DATA)
+        assert "NestedLoop" not in plan(df) and "CartesianProduct" not in plan(df)
+        want = duckdb.connect().execute(registry.ORACLES[name].replace("FROM embeddings", f"FROM '{DATA}/embeddings.parquet'"))
+        names = [x[0] for x in want.description]
+        near = lambda rows: sorted(tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in rows)
+        assert near(tuple(r) for r in df.select(*names).collect()) == near(want.fetchall())
+
+
+def test_vectors_without_length_are_at_zero(spark):
+    kind = "qid bigint, score double, id bigint"
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "id bigint, v array<double>")
+    queries = spark.createDataFrame([(7, [2.0, 0.0])], "qid bigint, v array<double>")
+    got = vectors.compared(queries, rows, lambda qid, about, score: vectors.leading(qid, about, score, 5), kind)
+    assert {(r["id"], r["score"]) for r in got.collect()} == {(1, 1.0), (2, 0.0), (3, 0.0)}
