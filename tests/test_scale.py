@@ -71,3 +71,10 @@ def test_vectors_without_length_are_at_zero(spark):
     queries = spark.createDataFrame([(7, [2.0, 0.0])], "qid bigint, v array<double>")
     got = vectors.compared(queries, rows, lambda qid, about, score: vectors.leading(qid, about, score, 5), kind)
     assert {(r["id"], r["score"]) for r in got.collect()} == {(1, 1.0), (2, 0.0), (3, 0.0)}
+
+
+def test_pairs_are_listed_where_the_chunk_lies(spark):
+    df = registry.QUERIES["jn10_pairs_in_chunk"](spark, DATA)
+    assert df.columns == ["chunk_id", "source", "target"] and "Exchange" not in plan(df)
+    weights = df.groupBy("source", "target").agg(F.count("*").alias("weight"))
+    assert sorted(map(tuple, weights.collect())) == sorted(map(tuple, V.edges(spark, DATA).collect()))
