@@ -31,18 +31,29 @@ def learned(spark: SparkSession, d: str, words: int = WORDS) -> dict[str, float]
     return {t: math.log(total / n) for t, n in zip(top["term"], top["cf"], strict=True)}
 
 
-def cut(run: str, costs: dict[str, float]) -> list[str]:
-    """The words of a run on the path of least cost."""
+def beginnings(costs: dict[str, float]) -> set[str]:
+    """What words of the dictionary begin with: beyond these no longer word need be looked for."""
+    return {w[:n] for w in costs for n in range(1, len(w) + 1)}
+
+
+def cut(run: str, costs: dict[str, float], begins: set[str] | None = None) -> list[str]:
+    """The words of a run on the path of least cost: from each place to the ends of the words that begin there."""
+    begins = beginnings(costs) if begins is None else begins
     stray = max(costs.values(), default=1.0) + 5.0
-    best, back = [0.0], [0]
-    for i in range(1, len(run) + 1):
-        least, at = best[i - 1] + costs.get(run[i - 1], stray), i - 1
-        for j in range(max(0, i - LONGEST), i - 1):
-            c = costs.get(run[j:i])
-            if c is not None and (best[j] + c < least or (best[j] + c == least and j < at)):
-                least, at = best[j] + c, j
-        best.append(least)
-        back.append(at)
+    best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
+    for i in range(len(run)):
+        here = best[i]
+        one = here + costs.get(run[i], stray)
+        if one < best[i + 1]:
+            best[i + 1], back[i + 1] = one, i
+        # places come in order, so that of equal paths the one with the longer last word is there first
+        for end in range(i + 2, min(i + LONGEST, len(run)) + 1):
+            w = run[i:end]
+            if w not in begins:
+                break
+            c = costs.get(w)
+            if c is not None and here + c < best[end]:
+                best[end], back[end] = here + c, i
     out, i = [], len(run)
     while i:
         out.append(run[back[i] : i])
@@ -55,8 +66,9 @@ def segmented(df: DataFrame, key: str, runs: str, costs: dict[str, float]) -> Da
     sent = df.sparkSession.sparkContext.broadcast(costs)
 
     def work(batches):
+        costs, begins = sent.value, beginnings(sent.value)
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "words": [[w for r in (rs if rs is not None else ()) for w in cut(r, sent.value)] for rs in b["runs"]]})
+            yield pd.DataFrame({"key": b["key"], "words": [[w for r in (rs if rs is not None else ()) for w in cut(r, costs, begins)] for rs in b["runs"]]})
 
     kind = dict(df.dtypes)[key]
     return df.select(F.col(key).alias("key"), F.col(runs).alias("runs")).mapInPandas(work, f"key {kind}, words array<string>").withColumnRenamed("key", key)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.functions import vectors
-from tessera.operators import retrieval, upkeep
+from tessera.operators import retrieval, segmenter, upkeep
 from tessera.plans import views as V
 from tessera.session import shared_dir
 
@@ -78,3 +78,19 @@ def test_pairs_are_listed_where_the_chunk_lies(spark):
     assert df.columns == ["chunk_id", "source", "target"] and "Exchange" not in plan(df)
     weights = df.groupBy("source", "target").agg(F.count("*").alias("weight"))
     assert sorted(map(tuple, weights.collect())) == sorted(map(tuple, V.edges(spark, DATA).collect()))
+
+
+class Counted(dict):
+    asked = 0
+
+    def get(self, *a):
+        self.asked += 1
+        return super().get(*a)
+
+
+def test_runs_are_cut_without_looking_for_words_that_nothing_begins():
+    costs = Counted({"a": 2.0, "ab": 1.0, "abc": 2.5, "c": 1.5, "bc": 1.0, "abcdefghijklmnopqrst": 9.0})
+    run = "abcabxbc" * 50
+    assert segmenter.cut("abc", costs) == ["abc"] and segmenter.cut("abxbc", costs) == ["ab", "x", "bc"]
+    costs.asked = 0
+    assert "".join(segmenter.cut(run, costs)) == run and costs.asked < 4 * len(run)
