@@ -11,6 +11,7 @@ from ..registry import example, query
 from ..session import table
 from .fusion import RANKED, lexical, phrases
 from .retrieval import BM25, VEC, bm25, nearest_vectors, ranked, vector_sums
+from .text import readable
 
 
 @query("pf02_file_list", "SELECT id, name FROM files WHERE NOT deleted AND category = 'en' AND folder = '/src1/en' AND id % 400 BETWEEN 1 AND 365", "files")
@@ -186,10 +187,7 @@ def wn08(spark, d):
 @query("wn11_segment_ratios", "WITH s AS (SELECT doc_id, i, substring(text, CAST(i * (length(text) // 24) + 1 AS BIGINT), 800) AS seg FROM documents, range(0, 24) r(i)) SELECT doc_id, round(min(r), 6) AS lowest, round(max(r), 6) AS highest FROM (SELECT doc_id, length(regexp_replace(seg, '[^a-zA-ZÀ-ÿ0-9 ]', '', 'g')) / greatest(length(seg), 1) AS r FROM s) GROUP BY doc_id")
 def wn11(spark, d):
     """WN11: readable share of 24 sampled segments of 800 characters, the least and the greatest."""
-    step = F.floor(F.length("text") / 24)
-    seg = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.substring(F.col("text"), (i * step + 1).cast("int"), F.lit(800)))
-    r = F.transform(seg, lambda s: F.length(F.regexp_replace(s, "[^a-zA-ZÀ-ÿ0-9 ]", "")) / F.greatest(F.length(s), F.lit(1)))
-    return V.documents(spark, d).select("doc_id", r.alias("r")).select("doc_id", F.round(F.array_min("r"), 6).alias("lowest"), F.round(F.array_max("r"), 6).alias("highest"))
+    return V.documents(spark, d).select("doc_id", readable("text").alias("r")).select("doc_id", F.round(F.array_min("r"), 6).alias("lowest"), F.round(F.array_max("r"), 6).alias("highest"))
 
 
 @query("wn12_task_eviction", "SELECT event_id FROM events WHERE event_type NOT IN ('error', 'purchase') UNION ALL SELECT event_id FROM (SELECT event_id FROM events WHERE event_type IN ('error', 'purchase') ORDER BY ts DESC, event_id DESC LIMIT 200)")

@@ -6,6 +6,7 @@ import json
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -108,14 +109,32 @@ def tx08(spark, d):
     return t.select("doc_id", F.round("q", 2).alias("quality"), F.when(F.col("q") >= 80, "excellent").when(F.col("q") >= 60, "good").when(F.col("q") >= 40, "fair").otherwise("poor").alias("label"))
 
 
+#: Segments that are sampled of a text, and the characters of each.
+SEGMENTS, SEGMENT = 24, 800
+#: Of the first 256 code points, those that count as readable; all others don't.
+_READABLE = np.array([bool(re.match("[a-zA-ZÀ-ÿ0-9 ]", chr(i))) for i in range(256)])
+
+
+def readable_shares(text: str | None) -> np.ndarray | None:
+    """The share of readable characters in each of a text's segments, which begin at even steps and may overlap: counted once
+    over the whole text, a segment's number is the difference between its ends."""
+    if text is None:
+        return None
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    upto = np.concatenate([[0], np.cumsum(_READABLE[np.minimum(code, 255)] & (code < 256))])
+    begin = np.arange(SEGMENTS) * (len(code) // SEGMENTS)
+    end = np.minimum(begin + SEGMENT, len(code))
+    return (upto[end] - upto[begin]) / np.maximum(end - begin, 1)
+
+
+def readable(text) -> F.Column:
+    return F.pandas_udf(lambda s: s.map(readable_shares), "array<double>")(text)
+
+
 @query("tx09_garble", "WITH s AS (SELECT doc_id, i, substring(text, CAST(i * (length(text) // 24) + 1 AS BIGINT), 800) AS seg FROM documents, range(0, 24) r(i)), q AS (SELECT doc_id, i, length(regexp_replace(seg, '[^a-zA-ZÀ-ÿ0-9 ]', '', 'g')) / greatest(length(seg), 1) AS ratio FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ratio, i) AS rn FROM q) SELECT doc_id, round(avg(ratio), 6) AS low, avg(ratio) < 0.45 AS garbled FROM o WHERE rn IN (2, 3) GROUP BY doc_id")
 def tx09(spark, d):
     """TX09: median of the four least readable of 24 sampled segments; kept inside a row, so no shuffle."""
-    step = F.floor(F.length("text") / 24)
-    seg = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.substring(F.col("text"), (i * step + 1).cast("int"), F.lit(800)))
-    ratio = F.array_sort(F.transform(seg, lambda s: F.length(F.regexp_replace(s, "[^a-zA-ZÀ-ÿ0-9 ]", "")) / F.greatest(F.length(s), F.lit(1))))
-    low = (ratio[1] + ratio[2]) / 2
-    return V.documents(spark, d).select("doc_id", low.alias("l")).select("doc_id", F.round("l", 6).alias("low"), (F.col("l") < 0.45).alias("garbled"))
+    return V.documents(spark, d).select("doc_id", F.array_sort(readable("text")).alias("r")).select("doc_id", ((F.col("r")[1] + F.col("r")[2]) / 2).alias("l")).select("doc_id", F.round("l", 6).alias("low"), (F.col("l") < 0.45).alias("garbled"))
 
 
 @query("tx10_headers", "WITH l AS (SELECT source, regexp_extract(text, '^[^\n]*') AS line FROM documents), g AS (SELECT source, line, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source) SELECT g.source, line, n FROM g JOIN p USING (source) WHERE n >= greatest(3, 0.1 * pages)")

@@ -1,6 +1,7 @@
 """What a query may shuffle or store, and brute force for the ways that were made for it."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.functions import vectors
-from tessera.operators import retrieval, segmenter, upkeep
+from tessera.operators import retrieval, segmenter, text, upkeep
 from tessera.plans import views as V
 from tessera.session import shared_dir
 
@@ -94,3 +95,20 @@ def test_runs_are_cut_without_looking_for_words_that_nothing_begins():
     assert segmenter.cut("abc", costs) == ["abc"] and segmenter.cut("abxbc", costs) == ["ab", "x", "bc"]
     costs.asked = 0
     assert "".join(segmenter.cut(run, costs)) == run and costs.asked < 4 * len(run)
+
+
+@pytest.mark.parametrize("name", ["tx09_garble", "wn11_segment_ratios"])
+def test_segments_are_counted_over_the_text_once(spark, name):
+    assert "regexp_replace" not in plan(registry.QUERIES[name](spark, DATA))
+
+
+def test_readable_shares_by_brute_force():
+    draw = random.Random(3)
+    for n in (0, 1, 23, 24, 25, 799, 801, 5000):
+        t = "".join(draw.choice("aZ9 é×ÿ\u0100\n.汉😀\x00") for _ in range(n))
+        want = []
+        for i in range(24):
+            seg = t[i * (n // 24) : i * (n // 24) + 800]
+            want.append(len(re.sub("[^a-zA-ZÀ-ÿ0-9 ]", "", seg)) / max(len(seg), 1))
+        assert list(text.readable_shares(t)) == want
+    assert text.readable_shares(None) is None
