@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.functions import vectors
-from tessera.operators import retrieval, segmenter, text, upkeep
+from tessera.operators import retrieval, rules, segmenter, text, upkeep
 from tessera.plans import views as V
 from tessera.session import shared_dir
 
@@ -112,3 +112,19 @@ def test_readable_shares_by_brute_force():
             want.append(len(re.sub("[^a-zA-ZÀ-ÿ0-9 ]", "", seg)) / max(len(seg), 1))
         assert list(text.readable_shares(t)) == want
     assert text.readable_shares(None) is None
+
+
+def test_texts_without_names_are_passed_over_by_one_test(spark):
+    bits = [*rules.MATERIALS, *rules.CONNECTORS, *rules.PROCESSES, *rules.PARAMS, "温度范围: -40 ~ 125", "GB/T 2423.1-2008", "QC/T\n1067", "iso 916", "mlg12-3", "xMLG7", "_PP", "ſPP", "中", "-", ".", "a"]
+    draw = random.Random(5)
+    rows = [(i, "".join(draw.choice(bits) + draw.choice(["", " ", "-", "a"]) for _ in range(draw.randint(0, 4)))) for i in range(2000)] + [(-1, None)]
+    t = F.col("text")
+    df = spark.createDataFrame(rows, "id long, text string")
+    every = [rules.word_test(t, n) for n in (*rules.MATERIALS, *rules.CONNECTORS, *rules.PROCESSES)]
+    every += [t.rlike(p) for p in (f"(?i){rules.CONNECTOR_SERIES}", f"(?i){rules.STANDARDS}", *rules.PARAMS.values(), rules.TEMPERATURE)]
+    hit = F.lit(False)
+    for e in every:
+        hit = hit | e
+    left_out = ~(t.rlike(rules.HAN) | t.rlike(rules.NAMED) | t.rlike(rules.NUMBERED))
+    assert df.filter(hit).filter(left_out).isEmpty() and not df.filter(left_out).isEmpty()
+    assert re.search(r"Filter [^\n]*RLIKE", plan(rules.rule_entities(df)))
