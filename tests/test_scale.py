@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.functions import vectors
-from tessera.operators import retrieval, rules, segmenter, text, upkeep
+from tessera.operators import graph, retrieval, rules, segmenter, text, upkeep
 from tessera.plans import views as V
 from tessera.session import shared_dir
 
@@ -128,3 +128,20 @@ def test_texts_without_names_are_passed_over_by_one_test(spark):
     left_out = ~(t.rlike(rules.HAN) | t.rlike(rules.NAMED) | t.rlike(rules.NUMBERED))
     assert df.filter(hit).filter(left_out).isEmpty() and not df.filter(left_out).isEmpty()
     assert re.search(r"Filter [^\n]*RLIKE", plan(rules.rule_entities(df)))
+
+
+def test_near_names_by_brute_force():
+    draw = random.Random(7)
+    for band in (0, 3, 100):
+        c, p = ([(draw.randint(0, 40), draw.choice("abcdef") + k) for _ in range(60)] for k in "cp")
+        want = {}
+        for i, x in c:
+            for j, y in p:
+                if abs(i - j) <= band:
+                    want[x, y] = min(abs(i - j), want.get((x, y), band))
+        assert {(x, y): far for x, near in graph.near_names(c, p, band).items() for y, far in near.items()} == want
+
+
+def test_pairs_of_a_file_go_around_once_as_lists(spark):
+    got = plan(registry.QUERIES["gr08_spec_edges"](spark, DATA))
+    assert len(re.findall(r"Exchange hashpartitioning", got)) == 2 and not re.search(r"Exchange hashpartitioning\([^)]*target", got)
