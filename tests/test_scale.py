@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -97,6 +98,24 @@ def test_runs_are_cut_without_looking_for_words_that_nothing_begins():
     assert "".join(segmenter.cut(run, costs)) == run and costs.asked < 4 * len(run)
 
 
+def test_words_are_counted_in_one_way_through_them(spark):
+    words = [f"w{i * i % 20011}" for i in range(60_000)]
+    df = spark.createDataFrame([(1, words), (2, [])], "id int, w array<string>").select("id", F.sort_array("w").alias("w"))
+    got = {r["id"]: r["n"] for r in df.select("id", vectors.counts(F.col("w")).alias("n")).collect()}
+    assert got == {1: dict(Counter(words)), 2: {}}
+
+
+def test_vectors_of_words_by_brute_force(spark):
+    rows = [["a", "b", "a", "ab", "ñu"], [], None, [f"w{i}" for i in range(300)]]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, w array<string>")
+    for r in df.select("id", vectors.hashed(F.col("w")).alias("h")).collect():
+        v = [0] * vectors.DIMENSIONS
+        for w in rows[r["id"]] or ():
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            v[h % vectors.DIMENSIONS] += 1 if h // vectors.DIMENSIONS % 2 == 0 else -1
+        assert r["h"]["v"] == v and r["h"]["norm"] == (None if rows[r["id"]] is None else sum(x * x for x in v) ** 0.5)
+
+
 @pytest.mark.parametrize("name", ["tx09_garble", "wn11_segment_ratios"])
 def test_segments_are_counted_over_the_text_once(spark, name):
     assert "regexp_replace" not in plan(registry.QUERIES[name](spark, DATA))
