@@ -461,6 +461,62 @@ def test_lines_brute_force(spark):
     assert all(len(got[i] or "") >= len(want[i] or "") for i in range(len(rows)))
 
 
+def test_lines_of_one_passage_are_no_rows_for_each_pair(spark, monkeypatch):
+    """Lines that share a passage without being alike: pairs that become rows grow with the lines, not with their square; and those
+    that are alike are found."""
+    r = random.Random(35)
+    own = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = own(52)
+    rows = [own(36) + passage for _ in range(200)]
+    rows += [rows[i][:7] + "é" + rows[i][8:] for i in range(0, 200, 20)]
+    rows = [t if i % 2 else t.upper() for i, t in enumerate(rows)]
+    made, compare = [], components.compare_stars
+    monkeypatch.setattr(components, "compare_stars", lambda stars, *x: made.append(stars.count()) or compare(stars, *x))
+    monkeypatch.setattr(components, "BLOCK", 16)
+    got = {x["doc_id"]: x["kept"] for x in line_dedup.dedup_lines(table(spark, rows, True)).collect()}
+    want = line_groups(rows)
+    assert sum(got[i] == want[i] for i in range(len(rows))) >= 0.97 * len(rows)
+    assert all(len(got[i]) >= len(want[i]) for i in range(len(rows)))
+    assert sum(made) <= 10 * len(rows)
+
+
+def test_lines_of_a_block():
+    """All alike pairs of different groups are joined, whatever the counts of characters leave out."""
+    r = random.Random(36)
+    rows = []
+    for _ in range(30):
+        line = "".join(r.choice("abcé ü中") for _ in range(r.randint(1, 60)))
+        for _ in range(3):
+            v = list(line)
+            for _ in range(r.randint(0, len(v) // 4)):
+                v[r.randrange(len(v))] = r.choice("abcdé")
+            rows.append("".join(v))
+    n = len(rows)
+    columns = [np.array([len(t) for t in rows]), *np.zeros((2, n), np.int64)]
+    own = np.arange(n)
+    want = groups_of(n, [(i, j) for i in range(n) for j in range(i) if line_dedup.alike(rows[i], rows[j])])
+    assert groups_of(n, list(zip(*line_dedup.linked_lines(own, None, columns, rows, 0.8), strict=True))) == want
+    # two blocks meet, and each is met in itself elsewhere
+    half = own % 2
+    links = [(i, j) for i, j in zip(*line_dedup.linked_lines(own, half, columns, rows, 0.8), strict=True)]
+    assert all(half[i] != half[j] for i, j in links)
+    for k in (0, 1):
+        at = np.flatnonzero(half == k)
+        links += [(at[i], at[j]) for i, j in zip(*line_dedup.linked_lines(own[at], None, [c[at] for c in columns], [rows[i] for i in at], 0.8), strict=True)]
+    assert groups_of(n, links) == want
+
+
+def test_simhashes_of_a_block():
+    """Bits of SimHashes are counted whatever their signs."""
+    line = "".join(random.Random(37).choice("abcdefgh ") for _ in range(300))
+    one, other = np.array([-1, 5, 7, 9, -3]), np.array([0, -6, -8, -9, 4])
+    for x in one.tolist():
+        for y in other.tolist():
+            columns = [np.array([300, 300]), np.array([x, y]), np.array([0, 0])]
+            close = ((x ^ y) & (1 << 64) - 1).bit_count() <= line_dedup.APART
+            assert line_dedup.linked_lines(np.array([1, 2]), None, columns, [line, line[:-1] + "z"], 0.8) == (([0], [1]) if close else ([], []))
+
+
 def test_simhash_and_bounds():
     r = random.Random(32)
     rows = [x for t in line_rows(33) if t for x in t.split("\n")]
