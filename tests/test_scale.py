@@ -164,3 +164,48 @@ def test_near_names_by_brute_force():
 def test_pairs_of_a_file_go_around_once_as_lists(spark):
     got = plan(registry.QUERIES["gr08_spec_edges"](spark, DATA))
     assert len(re.findall(r"Exchange hashpartitioning", got)) == 2 and not re.search(r"Exchange hashpartitioning\([^)]*target", got)
+
+
+def neighbourhood(edges, center, hops, most):
+    """What ``local_graphs`` returns for one number of hops, step by step."""
+    n = max(1, min(hops, graph.FARTHEST))
+    near, hop, todo = {}, {center: 0}, [center]
+    for a, b, _ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for x in todo:
+        for y in sorted(near.get(x, ()) if hop[x] < n else ()):
+            if y not in hop:
+                hop[y] = hop[x] + 1
+                todo.append(y)
+    met = [(a, b, w) for a, b, w in edges if min(hop.get(a, n), hop.get(b, n)) < n]
+    weight = Counter()
+    for a, b, w in met:
+        weight.update({a: 101 if w >= 3 else 1})
+        weight.update({b: 101 if w >= 3 else 1})
+    kept = sorted(hop, key=lambda x: (hop[x] > 0, -weight[x], x))[:most]
+    ins, outs = (Counter(e[i] for e in met if e[0] in kept and e[1] in kept) for i in (1, 0))
+    return {(hops, x, hop[x], ins[x] + outs[x], ins[x], outs[x], len(hop)) for x in kept}
+
+
+def test_neighbourhoods_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BITS", 16)
+    draw = random.Random(2)
+    for many, most in ((110, 5), (60, 40), (300, 40)):
+        pairs = {tuple(sorted((f"n{draw.randint(0, 80)}", f"n{int(draw.random() ** 3 * 80)}"))) for _ in range(many)}
+        rows = [(a, b, draw.randint(1, 4)) for a, b in sorted(pairs) if a != b]
+        e = spark.createDataFrame(rows, "source string, target string, weight bigint")
+        for center in (rows[0][0], "nowhere"):
+            got = graph.local_graphs(e, spark.createDataFrame([(center,)], "name string"), (1, 2, 3, 9), most)
+            assert {tuple(r) for r in got.collect()} == set().union(*(neighbourhood(rows, center, h, most) for h in (1, 2, 3, 9)))
+    assert graph.local_graphs(e, spark.createDataFrame([], "name string"), (1, 2)).isEmpty()
+
+
+def test_walks_keep_no_copies_of_edges(spark, monkeypatch):
+    V.edges(spark, DATA)
+
+    def never(df):
+        raise AssertionError("a checkpoint")
+
+    monkeypatch.setattr(graph, "cut", never)
+    assert registry.QUERIES["gr14_hops"](spark, DATA).count()
