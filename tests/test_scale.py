@@ -209,3 +209,20 @@ def test_walks_keep_no_copies_of_edges(spark, monkeypatch):
 
     monkeypatch.setattr(graph, "cut", never)
     assert registry.QUERIES["gr14_hops"](spark, DATA).count()
+
+
+def test_relevant_pairs_are_not_sorted(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(vectors, "HELD", (50, 2))
+    draw = random.Random(4)
+    v = [[draw.random(), draw.random(), 0.0] for _ in range(230)]
+    v[50], v[100], v[150] = [-1.0, -1.0, 0.0], [0.0, 0.0, 1.0], [0.0, 0.0, -1.0]  # one other, of many at less, is to be found
+    rows = spark.createDataFrame([(i, x, i % 10) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>, label int")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = registry.QUERIES["tk10_relevant_results"](spark, str(tmp_path))
+    # what is ranked is cut to two a query before; the pairs go from where they are found into the result
+    assert "WindowGroupLimit" in plan(df) and "CoGroup" not in plan(df) and len(re.findall(r"Exchange", plan(df))) == 3
+    want = duckdb.connect().execute(registry.ORACLES["tk10_relevant_results"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'"))
+    assert [x[0] for x in want.description] == df.columns
+    near = lambda rows: sorted((q, i, round(s, 4)) for q, i, s in rows)
+    got = near(df.collect())
+    assert got == near(want.fetchall()) and sum(q == 50 for q, _, _ in got) == 2
