@@ -6,12 +6,13 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.functions import vectors
-from tessera.operators import graph, retrieval, rules, segmenter, text, upkeep
+from tessera.operators import fusion, graph, retrieval, rules, segmenter, text, upkeep
 from tessera.plans import views as V
 from tessera.session import shared_dir
 
@@ -226,3 +227,51 @@ def test_relevant_pairs_are_not_sorted(spark, monkeypatch, tmp_path):
     near = lambda rows: sorted((q, i, round(s, 4)) for q, i, s in rows)
     got = near(df.collect())
     assert got == near(want.fetchall()) and sum(q == 50 for q, _, _ in got) == 2
+
+
+def test_foremost_of_blocks():
+    r = np.random.default_rng(6)
+    for k in (1, 3, 40):
+        score, ids = r.integers(0, 6, (7, 90)).astype(float), r.permutation(1000)[:90]
+        score[score == 0], score[6] = -np.inf, -np.inf
+        top = vectors.Foremost(7, k)
+        for i in range(0, 90, 20):
+            top.add(score[:, i : i + 20], ids[i : i + 20])
+        want = [(q, i) for q in range(7) for _, i in sorted((-s, i) for s, i in zip(score[q], ids) if s > 0)[:k]]
+        assert list(zip(top.query, top.ids)) == want
+
+
+def test_words_are_scored_where_the_file_lies_and_cut_there(spark, monkeypatch, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    twice = docs.limit(40).withColumn("doc_id", F.lit(7).cast("bigint"))  # documents of one id
+    docs.union(twice).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for d in (DATA, str(tmp_path)):
+        for held, limit in ((2_000_000, 200), (3000, 5)):
+            monkeypatch.setattr(retrieval, "SCORES", held)
+            near = lambda df: sorted((r["qid"], r["rank"], r["id"], r["file_id"], round(r["score"], 5)) for r in df.collect())
+            assert near(retrieval.best_bm25(spark, d, limit)) == near(retrieval.ranked(retrieval.bm25(spark, d), limit=limit))
+    assert re.search(r"MapInArrow", plan(fusion.lexical(spark, DATA))) and "HashAggregate" not in plan(fusion.lexical(spark, DATA))
+
+
+def test_what_is_stored_of_chunks(spark):
+    got = V.postings(spark, DATA).select("id", "file_id", "chunk_index", "words", "term", "tf")
+    assert spark.read.parquet(V._stored[V._seen(spark, DATA, "postings")]).columns == ["id", "words", "term", "tf", "part"]
+    c = V.chunks(spark, DATA).select("id", "file_id", "chunk_index", "words", F.explode(V.tokens(F.col("content"))).alias("term"))
+    want = c.groupBy(*c.columns).agg(F.count("*").alias("tf"))
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    h = vectors.hashed(V.content_words(F.col("content")))
+    want = V.chunks(spark, DATA).select("id", "file_id", h.alias("h")).select("id", "file_id", "h.v", "h.norm").filter("norm > 0")
+    got = V.vectors(spark, DATA)
+    assert got.dtypes == want.dtypes and got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_what_is_looked_for_goes_to_the_chunks(spark):
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        assert "SortMergeJoin" not in plan(registry.QUERIES["rt10_graph_recall"](spark, DATA))
+        assert not re.search(r"Exchange hashpartitioning\(id#", plan(fusion.reranked(spark, DATA)))
+    finally:
+        spark.conf.set(size, before)
