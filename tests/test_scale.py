@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import shutil
 from collections import Counter
 
 import duckdb
@@ -275,3 +276,14 @@ def test_what_is_looked_for_goes_to_the_chunks(spark):
         assert not re.search(r"Exchange hashpartitioning\(id#", plan(fusion.reranked(spark, DATA)))
     finally:
         spark.conf.set(size, before)
+
+
+def test_a_task_keeps_its_files_open(spark, monkeypatch, tmp_path):
+    # Spark goes over to sorting as soon as a task has as many writers as it may have
+    shutil.copy(f"{DATA}/documents.parquet", tmp_path)
+    conf, told = type(spark.conf), []
+    before = conf.set
+    monkeypatch.setattr(conf, "set", lambda self, key, value: (told.append((key, value)), before(self, key, value))[1])
+    V.postings(spark, str(tmp_path))
+    most = [int(value) for key, value in told if key.endswith("maxConcurrentOutputFileWriters")]
+    assert max(most) > V.PARTS and most[-1] == 0
